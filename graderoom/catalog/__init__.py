@@ -1,3 +1,4 @@
 """Importing this package registers every query with its oracle SQL."""
 
 from graderoom.catalog import metrics  # noqa: F401
+from graderoom.catalog import relational  # noqa: F401
