@@ -3,3 +3,4 @@
 from graderoom.catalog import metrics  # noqa: F401
 from graderoom.catalog import relational  # noqa: F401
 from graderoom.catalog import verdict  # noqa: F401
+from graderoom.catalog import perf  # noqa: F401
