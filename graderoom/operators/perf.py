@@ -135,9 +135,9 @@ def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str =
     w = Window.partitionBy(task).orderBy(order)
     cnt = F.count(F.lit(1)).over(Window.partitionBy(task))
     out = samples.withColumn("_rn", F.row_number().over(w)).withColumn("_cnt", cnt)
-    out = out.withColumn("_chk", F.when(F.col("_cnt") < n, F.raise_error(
-        F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string")))))
-    return out.where(F.col("_rn") <= n).drop("_rn", "_cnt", "_chk")
+    keep = F.when(F.col("_cnt") < n, F.raise_error(
+        F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string")))).otherwise(F.col("_rn") <= n)
+    return out.withColumn("_keep", keep).where("_keep").drop("_rn", "_cnt", "_keep")
 
 
 def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order: str = "round_id",
