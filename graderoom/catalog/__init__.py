@@ -5,3 +5,4 @@ from graderoom.catalog import relational  # noqa: F401
 from graderoom.catalog import verdict  # noqa: F401
 from graderoom.catalog import perf  # noqa: F401
 from graderoom.catalog import vectors  # noqa: F401
+from graderoom.catalog import text  # noqa: F401
