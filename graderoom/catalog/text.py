@@ -251,7 +251,8 @@ from h""")
 def q_legacy_drop_unindented(spark, sf_dir):
     t = code_texts(Inputs(spark, sf_dir))
     prot = F.concat(F.lit("def "), F.col("entry_point"), F.lit("("))
-    return t.select("text_id", T.drop_unindented("text", prot, C.LEGACY_EXCEPTIONS, C.LEGACY_TRIM_TAILS).alias("text"))
+    d = T.drop_unindented(t, "text", "_out", prot, C.LEGACY_EXCEPTIONS, C.LEGACY_TRIM_TAILS)
+    return d.select("text_id", F.col("_out").alias("text"))
 
 
 @register("legacy_clean_code")

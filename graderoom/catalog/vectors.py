@@ -56,7 +56,7 @@ def q_mean_pool(spark, sf_dir):
     return long.select("model_identifier", "dim", r6("value").alias("value"))
 
 
-@register("load_fingerprints_dims", _FP + "select model_identifier, cast(len(emb) as integer) as dims from fp")
+@register("fingerprint_dims", _FP + "select model_identifier, cast(len(emb) as integer) as dims from fp")
 def q_fingerprint_dims(spark, sf_dir):
     fps = Vec.check_dimensions(fingerprints(Inputs(spark, sf_dir)))
     return fps.select("model_identifier", F.size("embedding").alias("dims"))

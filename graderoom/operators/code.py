@@ -137,20 +137,18 @@ def legacy_clean_code(df: DataFrame, text: str = "text", entry: str = "entry_poi
     code = F.col(text)
     if rm_prefix is not None:
         code = T.strip_prefix_lines(code, rm_prefix)
-    chunk = T.select_chunk(code, F.col(entry))
+    d = df.withColumn("_chunk", T.select_chunk(code, F.col(entry)))
     split_re = F.concat(F.lit("def "), F.col(entry), F.lit(r"\s*\("))
-    chunks = F.call_function("split", chunk, split_re, F.lit(-1))
+    d = d.withColumn("_chunks", F.call_function("split", F.col("_chunk"), split_re, F.lit(-1)))
     def_left = F.concat(F.lit("def "), F.col(entry), F.lit("("))
-    bodies = F.filter(F.slice(chunks, 2, F.size(chunks)),
+    bodies = F.filter(F.slice("_chunks", 2, F.size("_chunks")),
                       lambda ch: F.split(ch, "\ndef", -1).getItem(0).contains("    return "))
-    joined = F.when(F.size(bodies) > 0, F.concat(def_left, F.call_function("array_join", bodies, def_left))) \
+    d = d.withColumn("_bodies", bodies)
+    joined = F.when(F.size("_bodies") > 0, F.concat(def_left, F.call_function("array_join", F.col("_bodies"), def_left))) \
         .otherwise(F.lit(""))
-    step = T.fix_indent(joined)
-    step = T.cut_eofs(step, list(eofs))
-    step = T.drop_unindented(step, def_left, LEGACY_EXCEPTIONS, LEGACY_TRIM_TAILS)
-    step = F.concat(F.element_at(chunks, 1), step)
-    parts = F.split(step, "\ndef ", -1)
-    d = df.withColumn("_parts", parts)
+    d = d.withColumn("_step", T.cut_eofs(T.fix_indent(joined), list(eofs)))
+    d = T.drop_unindented(d, "_step", "_step2", def_left, LEGACY_EXCEPTIONS, LEGACY_TRIM_TAILS)
+    d = d.withColumn("_parts", F.split(F.concat(F.element_at("_chunks", 1), F.col("_step2")), "\ndef ", -1))
     fns = F.slice(F.col("_parts"), 2, F.size("_parts"))
     d = d.withColumn("_fn_ok", _syntax_ok_each(F.transform(fns, lambda f: F.concat(F.lit("\ndef "), f))))
     keep = F.filter(F.arrays_zip(fns.alias("f"), F.col("_fn_ok").alias("ok")),
@@ -158,4 +156,5 @@ def legacy_clean_code(df: DataFrame, text: str = "text", entry: str = "entry_poi
                     | T.py_strip(z["f"]).startswith(F.concat(F.col(entry), F.lit("(")))
                     | z["ok"])
     rebuilt = F.array_join(F.concat(F.slice(F.col("_parts"), 1, 1), F.transform(keep, lambda z: z["f"])), "\ndef ")
+    d = d.drop("_chunk", "_chunks", "_bodies", "_step", "_step2")
     return d.withColumn(out, T.py_strip(rebuilt)).drop("_parts", "_fn_ok")

@@ -131,10 +131,13 @@ def match_reference_ladder(samples: DataFrame, ladder: DataFrame, task: str = "t
 
 
 def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str = "round_id") -> DataFrame:
-    """First n samples per task in arrival order; fails at run time if a task has fewer than n."""
-    w = Window.partitionBy(task).orderBy(order)
-    cnt = F.count(F.lit(1)).over(Window.partitionBy(task))
-    out = samples.withColumn("_rn", F.row_number().over(w)).withColumn("_cnt", cnt)
+    """First n samples per task in arrival order; fails at run time if a task has fewer than n.
+    Numbering is skew-safe (a task holding most samples is spread over partitions)."""
+    from graderoom.operators.ranking import running_within
+
+    numbered = running_within(samples, task, order, None, "_rn")
+    counts = samples.groupBy(task).agg(F.count(F.lit(1)).alias("_cnt"))  # partial aggregation, one row per task
+    out = numbered.join(counts, task)
     keep = F.when(F.col("_cnt") < n, F.raise_error(
         F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string")))).otherwise(F.col("_rn") <= n)
     return out.withColumn("_keep", keep).where("_keep").drop("_rn", "_cnt", "_keep")
@@ -142,10 +145,12 @@ def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str =
 
 def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order: str = "round_id",
                  passed: str = "passed") -> DataFrame:
-    """Only the first ``max_profile`` passing samples of a task get profiled and scored."""
-    run = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n_pass = F.sum(F.col(passed).cast("int")).over(run)
-    return samples.withColumn("profiled", F.col(passed) & (n_pass <= max_profile))
+    """Only the first ``max_profile`` passing samples of a task get profiled and scored
+    (running count of passes, skew-safe)."""
+    from graderoom.operators.ranking import running_within
+
+    run = running_within(samples, task, order, F.col(passed).cast("int"), "_npass")
+    return run.withColumn("profiled", F.col(passed) & (F.col("_npass") <= max_profile)).drop("_npass")
 
 
 def dps_task(scored: DataFrame, min_correct: int, task: str = "task", passed: str = "passed") -> DataFrame:

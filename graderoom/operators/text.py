@@ -157,36 +157,30 @@ def fix_indent(x: str | Column) -> Column:
     return F.when(F.size(lines) == 0, F.lit("")).otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
 
 
-def drop_unindented(x: str | Column, protect_before: str | Column, exceptions: Sequence[str],
-                    trim_tails: Sequence[str]) -> Column:
+def drop_unindented(df: DataFrame, src: str, out: str, protect_before: str | Column, exceptions: Sequence[str],
+                    trim_tails: Sequence[str]) -> DataFrame:
     """Drop unindented lines (except the first line starting with ``protect_before``, blank lines and
     lines starting with an exception prefix); the first checked line starting with a tail marker cuts
-    everything from there on."""
-    lines = py_lines(x)
-    prot = c(protect_before) if isinstance(protect_before, Column) else F.lit(protect_before)
-    first_protect = F.array_position(F.transform(lines, lambda l: l.startswith(prot)), True)  # 1-based, 0 = none
-    idx = F.sequence(F.lit(1), F.size(lines))
+    everything from there on. Intermediate arrays are real columns so each is computed once."""
+    prot = protect_before if isinstance(protect_before, Column) else F.lit(protect_before)
+    d = df.withColumn("_lines", py_lines(src))
+    d = d.withColumn("_fp", F.array_position(F.transform("_lines", lambda l: l.startswith(prot)), True))
 
-    def checked(l, i):
+    def flags(l, i):
         exc = F.lit(False)
         for e in exceptions:
             exc = exc | l.startswith(e)
-        return (i != first_protect) & (py_strip(l) != "") & ~exc
-
-    def is_tail(l):
-        t = F.lit(False)
-        for s in trim_tails:
-            t = t | F.regexp_replace(l, r"\s+\z", "").startswith(s)
-        return t
-
-    flags = F.transform(F.arrays_zip(lines.alias("l"), idx.alias("i")),
-                        lambda z: F.struct(
-                            (checked(z["l"], z["i"]) & (lspace(z["l"]) == 0)).alias("cut"),
-                            (checked(z["l"], z["i"]) & is_tail(z["l"])).alias("tail")))
-    first_tail = F.array_position(F.transform(flags, lambda f: f["tail"]), True)
-    kept = F.filter(F.arrays_zip(lines.alias("l"), idx.alias("i"), flags.alias("f")),
-                    lambda z: ~z["f"]["cut"] & ((first_tail == 0) | (z["i"] < first_tail)))
-    return F.when(F.size(lines) == 0, F.lit("")).otherwise(F.array_join(F.transform(kept, lambda z: z["l"]), "\n"))
+        checked = (i != F.col("_fp")) & (py_strip(l) != "") & ~exc
+        tail = F.lit(False)
+        for t in trim_tails:
+            tail = tail | F.regexp_replace(l, r"\s+\z", "").startswith(t)
+        return F.struct(l.alias("l"), i.alias("i"), (checked & (lspace(l) == 0)).alias("cut"), (checked & tail).alias("tail"))
+
+    d = d.withColumn("_f", F.transform("_lines", lambda l, i: flags(l, i + 1)))
+    d = d.withColumn("_ft", F.array_position(F.transform("_f", lambda f: f["tail"]), True))
+    kept = F.filter("_f", lambda f: ~f["cut"] & ((F.col("_ft") == 0) | (f["i"] < F.col("_ft"))))
+    res = F.when(F.size("_lines") == 0, F.lit("")).otherwise(F.array_join(F.transform(kept, lambda f: f["l"]), "\n"))
+    return d.withColumn(out, res).drop("_lines", "_fp", "_f", "_ft")
 
 
 def insert_contract(code: str | Column, entry_point: str | Column, contract: str | Column) -> Column:
