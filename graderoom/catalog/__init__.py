@@ -7,3 +7,4 @@ from graderoom.catalog import perf  # noqa: F401
 from graderoom.catalog import vectors  # noqa: F401
 from graderoom.catalog import text  # noqa: F401
 from graderoom.catalog import sources  # noqa: F401
+from graderoom.catalog import inputs  # noqa: F401
