@@ -9,3 +9,4 @@ from graderoom.catalog import text  # noqa: F401
 from graderoom.catalog import sources  # noqa: F401
 from graderoom.catalog import inputs  # noqa: F401
 from graderoom.catalog import streaming  # noqa: F401
+from graderoom.catalog import plans  # noqa: F401
