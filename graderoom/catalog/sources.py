@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graderoom.catalog.perf import _SCORED, _stats_sql
 from graderoom.catalog.vectors import fingerprints
 from graderoom.catalog.vectors import _FP as FP_SQL
 from graderoom.fixtures import Inputs, cte
@@ -220,7 +221,10 @@ def q_upgrade_legacy_report(spark, sf_dir):
     return io.upgrade_legacy_report(legacy).select("sample_id", "nfiles")
 
 
-@register("write_perf_brief")
+@register("write_perf_brief", _stats_sql(0.1) + _SCORED + """,
+np as (select task, count(*) filter (where profiled) as n_listed from scored group by task)
+select p.task, round(p.dps, 6) as dps, round(p.dps_norm, 6) as dps_norm, p.n_profiled, n.n_listed
+from per_task p join np n using (task)""")
 def q_write_perf_brief(spark, sf_dir):
     """Brief perf result: per task dps and its profiled samples, written as JSON and read back."""
     from graderoom.catalog.perf import scored_samples
@@ -236,4 +240,4 @@ def q_write_perf_brief(spark, sf_dir):
     brief.write.mode("overwrite").json(path)
     back = spark.read.json(path)
     return back.select("task", r6("dps").alias("dps"), r6("dps_norm").alias("dps_norm"), "n_profiled",
-                       F.size("profiled_solutions").alias("n_listed"))
+                       F.coalesce(F.size("profiled_solutions"), F.lit(0)).cast("bigint").alias("n_listed"))

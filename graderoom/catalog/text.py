@@ -63,7 +63,7 @@ def q_strip_ansi(spark, sf_dir):
 def q_truncate_at_stop(spark, sf_dir):
     d = Inputs(spark, sf_dir).t("documents")
     out = T.truncate_at_stop("text", STOPS)
-    return d.select("doc_id", F.length(out).alias("n_chars_out"), F.md5(out).alias("out_md5"))
+    return d.select("doc_id", F.length(out).cast("bigint").alias("n_chars_out"), F.md5(out).alias("out_md5"))
 
 
 def _stop_values() -> str:
@@ -303,7 +303,7 @@ select doc_id, length({_ESC}) as n_chars_out, md5({_ESC}) as out_md5 from docume
 def q_escape_unicode(spark, sf_dir):
     d = Inputs(spark, sf_dir).t("documents")
     e = T.escape_unicode("text")
-    return d.select("doc_id", F.length(e).alias("n_chars_out"), F.md5(e).alias("out_md5"))
+    return d.select("doc_id", F.length(e).cast("bigint").alias("n_chars_out"), F.md5(e).alias("out_md5"))
 
 
 def _ratio_sql(x: str) -> str:

@@ -81,3 +81,16 @@ def pass_at_1_percent(results: DataFrame, task_col: str = "task", pass_col: str
         (F.avg(F.col(pass_col).cast("double")) * 100).alias("pass_at_1"),
         F.count(F.lit(1)).alias("n_samples"),
     )
+
+
+def sample_completeness(problems: DataFrame, samples: DataFrame, expected: int, key: str = "task_id") -> DataFrame:
+    """Samples per task against the expected count: tasks done (n >= expected) and incomplete, plus
+    the count under the reference tool's inverted test (n <= expected) for comparison."""
+    counts = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    j = problems.select(key).join(counts, key, "left").fillna(0, ["n"])
+    return j.agg(
+        F.count(F.lit(1)).alias("n_tasks"),
+        F.count_if(F.col("n") >= expected).alias("n_done"),
+        F.count_if(F.col("n") < expected).alias("n_incomplete"),
+        F.count_if(F.col("n") <= expected).alias("n_done_inverted"),
+    )
