@@ -48,7 +48,6 @@ def main() -> None:
     load_all()
     spark = build_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2) if cpus.isdigit() else 16,
                           app="graderoom-bench")
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
 
     def once(name: str) -> float:
         t0 = time.perf_counter()

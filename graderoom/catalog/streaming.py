@@ -22,7 +22,7 @@ def f1_stream(spark, sf_dir, label):
     s = Inputs(spark, sf_dir).v("f1_samples")
     folder = scratch_path(spark, label + "-src")
     S.split_by_key(s, folder, F.col("sample_id"), N_FILES, "json")
-    return S.file_stream(spark, folder, s.schema, "json")
+    return S.file_stream(spark, folder, s.schema, "json", files_per_batch=2)
 
 
 def events_stream(spark, sf_dir, label, with_copies=False):
@@ -31,7 +31,7 @@ def events_stream(spark, sf_dir, label, with_copies=False):
         e = e.unionByName(e.where(F.col("event_id") % 10 == 0))  # re-sent events
     folder = scratch_path(spark, label + "-src")
     S.split_by_time(e, folder, "ts", N_FILES)
-    return S.file_stream(spark, folder, e.schema)
+    return S.file_stream(spark, folder, e.schema, files_per_batch=2)
 
 
 @register("stream_sample_ingest", cte("f1_samples") + "select sample_id, task_id, model from f1_samples")

@@ -24,25 +24,32 @@ def syntax_check(code: str | None) -> bool:
 
 
 def longest_block(text: str) -> str:
-    """Longest line range i..j (j > i) that parses, measured in non-blank lines; the first such
-    range wins ties; falls back to line 0. Ranges that cannot beat the best so far are not parsed."""
+    """Longest line range i..j (j > i) that parses, measured in non-blank lines; among equally long
+    ranges the first in (i, j) order wins; falls back to line 0.
+
+    Ranges are tried longest first (for each length, i ascending, then j ascending), so the first
+    range that parses is the answer and shorter ranges are never parsed. Memory stays O(lines)."""
+    from bisect import bisect_left
+
     text = ANSI_ESCAPE.sub("", text)
     lines = text.split("\n")
     n = len(lines)
-    nonblank = [0] * (n + 1)
+    prefix = [0] * (n + 1)
     for k, line in enumerate(lines):
-        nonblank[k + 1] = nonblank[k] + (1 if line.strip() else 0)
-    best, pair = 0, (0, 0)
-    for i in range(n):
-        if nonblank[n] - nonblank[i] <= best:
-            break  # no range starting here or later can be longer
-        for j in range(i + 1, n):
-            length = nonblank[j + 1] - nonblank[i]
-            if length <= best:
-                continue
-            if syntax_check("\n".join(lines[i:j + 1])):
-                best, pair = length, (i, j)
-    return "\n".join(lines[pair[0]:pair[1] + 1])
+        prefix[k + 1] = prefix[k] + (1 if line.strip() else 0)
+    total = prefix[n]
+    for length in range(total, 0, -1):
+        for i in range(n - 1):
+            target = prefix[i] + length
+            if target > total:
+                break
+            # j > i with prefix[j + 1] == target; prefix is non-decreasing, so these j are contiguous
+            j = max(bisect_left(prefix, target) - 1, i + 1)
+            while j < n and prefix[j + 1] == target:
+                if syntax_check("\n".join(lines[i:j + 1])):
+                    return "\n".join(lines[i:j + 1])
+                j += 1
+    return "\n".join(lines[0:1])
 
 
 def _names(node: ast.AST) -> set[str]:

@@ -30,7 +30,12 @@ def _syntax_ok_each(s: pd.Series) -> pd.Series:
 
 
 def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.xxhash64(text).alias("_k"), F.col(text)).dropDuplicates(["_k", text])
+    """Distinct texts keyed by hash, spread over an explicit number of partitions: texts are small in
+    bytes but expensive in Python CPU, so AQE must not coalesce them into a few tasks (an explicit
+    repartition count is kept as is)."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)
+    return df.select(F.xxhash64(text).alias("_k"), F.col(text)).dropDuplicates(["_k", text]).repartition(n, "_k")
 
 
 def syntax_ok(df: DataFrame, text: str = "text", out: str = "syntax_ok") -> DataFrame:
