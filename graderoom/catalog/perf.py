@@ -140,8 +140,7 @@ def q_ladder_order_check(spark, sf_dir):
 
 def scored_samples(x: Inputs):
     s = x.v("f5_profiles").select("task", "round_id", "passed", "cost")
-    s = P.first_n_samples(s, N_SAMPLES)
-    s = P.cap_profiled(s, MAX_PROFILE)
+    s = P.first_n_and_cap(s, N_SAMPLES, MAX_PROFILE)
     return P.match_reference_ladder(s, ladder_of(x))
 
 

@@ -94,12 +94,15 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] =
     e = edges.select(*key, F.col("src").alias("node"), F.col("dst"))
     visited = roots.select(*key, "root", F.col("root").alias("node")).distinct().checkpoint()
     frontier = visited
-    for _ in range(max_rounds):
+    for rnd in range(1, max_rounds + 1):
         step = frontier.join(e, [*key, "node"]).select(*key, "root", F.col("dst").alias("node")).distinct()
         new = step.join(visited, [*key, "root", "node"], "left_anti").checkpoint()
         if new.isEmpty():
             break
-        visited = visited.unionByName(new).checkpoint()
+        # visited is a union of checkpointed frontiers; fold it into one checkpoint every 8 rounds
+        visited = visited.unionByName(new)
+        if rnd % 8 == 0:
+            visited = visited.checkpoint()
         frontier = new
     return visited
 

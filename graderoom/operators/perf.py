@@ -130,17 +130,19 @@ def match_reference_ladder(samples: DataFrame, ladder: DataFrame, task: str = "t
     ).drop("ladder", "n_ref")
 
 
+def _check_enough(n: int, task: str) -> Column:
+    return F.when(F.col("_rn_total") < n, F.raise_error(
+        F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string"))))
+
+
 def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str = "round_id") -> DataFrame:
     """First n samples per task in arrival order; fails at run time if a task has fewer than n.
     Numbering is skew-safe (a task holding most samples is spread over partitions)."""
     from graderoom.operators.ranking import running_within
 
-    numbered = running_within(samples, task, order, None, "_rn")
-    counts = samples.groupBy(task).agg(F.count(F.lit(1)).alias("_cnt"))  # partial aggregation, one row per task
-    out = numbered.join(counts, task)
-    keep = F.when(F.col("_cnt") < n, F.raise_error(
-        F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string")))).otherwise(F.col("_rn") <= n)
-    return out.withColumn("_keep", keep).where("_keep").drop("_rn", "_cnt", "_keep")
+    numbered = running_within(samples, task, order, out="_rn", totals=True)
+    keep = F.coalesce(_check_enough(n, task).cast("boolean"), F.col("_rn") <= n)
+    return numbered.withColumn("_keep", keep).where("_keep").drop("_rn", "_rn_total", "_keep")
 
 
 def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order: str = "round_id",
@@ -153,6 +155,20 @@ def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order
     return run.withColumn("profiled", F.col(passed) & (F.col("_npass") <= max_profile)).drop("_npass")
 
 
+def first_n_and_cap(samples: DataFrame, n: int, max_profile: int, task: str = "task", order: str = "round_id",
+                    passed: str = "passed") -> DataFrame:
+    """``cap_profiled(first_n_samples(...))`` in one skew-safe pass: the first n samples form a prefix,
+    so the running pass count over all samples equals the one inside the prefix."""
+    from graderoom.operators.ranking import running_within
+
+    run = running_within(samples, task, order, values={"_rn": F.lit(1), "_npass": F.col(passed).cast("int")},
+                         totals=True)
+    keep = F.coalesce(_check_enough(n, task).cast("boolean"), F.col("_rn") <= n)
+    run = run.withColumn("_keep", keep).where("_keep")
+    return run.withColumn("profiled", F.col(passed) & (F.col("_npass") <= max_profile)).drop(
+        "_rn", "_rn_total", "_npass", "_npass_total", "_keep")
+
+
 def dps_task(scored: DataFrame, min_correct: int, task: str = "task", passed: str = "passed") -> DataFrame:
     """Per task: mean dps / dps_norm over profiled samples, n_profiled and pass@1, only for tasks with
     at least ``min_correct`` passing samples (others get null dps)."""

@@ -18,30 +18,49 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def running_within(df: DataFrame, key: str, order: str | list[str], value: Column | None = None,
-                   out: str = "running", n_parts: int | None = None) -> DataFrame:
-    """Running sum of ``value`` (default 1, i.e. a 1-based row number) within ``key`` in ``order``,
-    safe for a key that holds a large share of all rows.
+                   out: str = "running", n_parts: int | None = None,
+                   values: dict[str, Column] | None = None, totals: bool = False) -> DataFrame:
+    """Running sums within ``key`` in ``order`` (default: one running count, i.e. a 1-based row
+    number), safe for a key that holds a large share of all rows.
 
     The rows are range-partitioned on (key, order), so a hot key is spread over many partitions,
     and materialised with a reliable checkpoint (partition ids must not change between the two uses).
     Inside one partition a window over (partition, key) is bounded by the partition size; a small
-    table of per-(partition, key) totals gives each run its offset."""
+    table of per-(partition, key) totals gives each run its offset. ``values`` computes several
+    running sums in the same pass; ``totals`` also adds each sum's total over the key as
+    ``<out>_total``."""
     from graderoom.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     orders = [order] if isinstance(order, str) else list(order)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.lit(1).cast("long") if value is None else value.cast("long")
-    s = (df.withColumn("_v", v).repartitionByRange(n, key, *orders)
-         .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    if values is None:
+        values = {out: F.lit(1) if value is None else value}
+    names = list(values)
+    s = df
+    for i, name in enumerate(names):
+        s = s.withColumn(f"_v{i}", values[name].cast("long"))
+    s = s.repartitionByRange(n, key, *orders).withColumn("_pid", F.spark_partition_id()).checkpoint()
     local_w = Window.partitionBy("_pid", key).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("_local", F.sum("_v").over(local_w))
-    runs = s.groupBy("_pid", key).agg(F.sum("_v").alias("_tot"))
+    for i in range(len(names)):
+        s = s.withColumn(f"_l{i}", F.sum(f"_v{i}").over(local_w))
+    runs = s.groupBy("_pid", key).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_tot").over(before), F.lit(0)))
-    return s.join(runs.select("_pid", key, "_before"), ["_pid", key]).withColumn(
-        out, F.col("_before") + F.col("_local")).drop("_v", "_pid", "_local", "_before")
+    whole = Window.partitionBy(key)
+    cols = []
+    for i in range(len(names)):
+        cols.append(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_b{i}"))
+        if totals:
+            cols.append(F.sum(f"_t{i}").over(whole).alias(f"_T{i}"))
+    runs = runs.select("_pid", key, *cols)
+    j = s.join(runs, ["_pid", key])
+    for i, name in enumerate(names):
+        j = j.withColumn(name, F.col(f"_b{i}") + F.col(f"_l{i}"))
+        if totals:
+            j = j.withColumn(f"{name}_total", F.col(f"_T{i}"))
+    drop = ["_pid"] + [f"_{p}{i}" for i in range(len(names)) for p in ("v", "l", "b", "T")]
+    return j.drop(*drop)
 
 
 def index_within(df: DataFrame, key: str, order: str | list[str], out: str = "idx") -> DataFrame:

@@ -68,8 +68,7 @@ def efficiency_run(samples: DataFrame, ladder: DataFrame, n_samples: int, min_co
     if not min_correct <= max_profile <= n_samples:
         raise ValueError("need min_correct <= max_profile <= n_samples")
     s = samples.join(ladder.select("task").distinct(), "task", "left_semi")
-    s = P.first_n_samples(s, n_samples)
-    s = P.cap_profiled(s, max_profile)
+    s = P.first_n_and_cap(s, n_samples, max_profile)
     scored = P.match_reference_ladder(s, ladder)
     per_task = P.dps_task(scored, min_correct)
     return per_task, P.dps_summary(per_task)

@@ -25,6 +25,7 @@ from graderoom.session import scratch_path
 def split_by_time(df: DataFrame, folder: str, ts: str, n_files: int, fmt: str = "parquet") -> None:
     """Write ``df`` as ``n_files`` time-ordered files, one write per range so that file modification
     times follow event time (the file source picks files up in that order)."""
+    df = df.checkpoint()  # computed once, then cut into files
     bounds = df.select(F.percentile_approx(F.col(ts).cast("timestamp").cast("double"),
                                            [i / n_files for i in range(1, n_files)], 1000).alias("b")).first()["b"]
     edges = [None] + list(bounds) + [None]
@@ -41,6 +42,7 @@ def split_by_time(df: DataFrame, folder: str, ts: str, n_files: int, fmt: str =
 
 def split_by_key(df: DataFrame, folder: str, key: Column, n_files: int, fmt: str = "parquet") -> None:
     """Write ``df`` as ``n_files`` files (hash buckets of ``key``), one write per file, in order."""
+    df = df.checkpoint()  # computed once, then cut into files
     for i in range(n_files):
         getattr(df.where(F.pmod(F.xxhash64(key), F.lit(n_files)) == i).coalesce(1).write.mode("append"), fmt)(folder)
 
