@@ -188,11 +188,8 @@ select task, segment,
 from pv""")
 def q_preview_list(spark, sf_dir):
     seg = P.segment_costs(stats_of(Inputs(spark, sf_dir)), P.EXPORT_SEGMENT_BASE)
-    per = seg.groupBy("task", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("rank_in_task", F.bround(F.col("mean_cost") * 1000, 0).cast("bigint").alias("v"))))
-        .alias("vals"))
-    vals = F.transform("vals", lambda s: s["v"])
-    return per.select("task", "segment", P.preview_list(vals).alias("preview"))
+    return P.preview_groups(seg, ["task", "segment"], "rank_in_task",
+                            F.bround(F.col("mean_cost") * 1000, 0).cast("bigint"))
 
 
 @register("pick_pe_input", cte("f5b_candidates") + """,

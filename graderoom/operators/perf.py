@@ -198,7 +198,7 @@ def dps_summary(per_task: DataFrame) -> DataFrame:
 
 
 def preview_list(values: Column, head: int = 4, tail: int = 4) -> Column:
-    """'[a, b, c]' when short, else '[h1, .., h4, ..., t1, .., t4]'."""
+    """'[a, b, c]' when short, else '[h1, .., h4, ..., t1, .., t4]' (for an already small array)."""
     as_text = F.transform(values, lambda v: v.cast("string"))
     short = F.concat(F.lit("["), F.array_join(as_text, ", "), F.lit("]"))
     long = F.concat(F.lit("["), F.array_join(F.slice(as_text, 1, head), ", "), F.lit(", ..., "),
@@ -206,6 +206,27 @@ def preview_list(values: Column, head: int = 4, tail: int = 4) -> Column:
     return F.when(F.size(values) <= head + tail, short).otherwise(long)
 
 
+def preview_groups(df: DataFrame, keys: list[str], order: str, value: Column, head: int = 4, tail: int = 4) -> DataFrame:
+    """Per group, the preview of its values in ``order`` without collecting the group: only the first
+    ``head`` and last ``tail`` rows (rank filters, limited per partition before the shuffle) and the
+    group size are gathered."""
+    asc = Window.partitionBy(*keys).orderBy(F.asc(order))
+    desc = Window.partitionBy(*keys).orderBy(F.desc(order))
+    d = df.withColumn("_v", value.cast("string"))
+    firsts = d.withColumn("_r", F.row_number().over(asc)).where(F.col("_r") <= head + tail).select(*keys, "_r", "_v")
+    lasts = d.withColumn("_r", F.row_number().over(desc)).where(F.col("_r") <= tail).select(
+        *keys, (-F.col("_r")).alias("_r"), "_v")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ends = firsts.unionByName(lasts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_e"))
+    j = ends.join(sizes, keys)
+    firsts_v = F.transform(F.filter("_e", lambda e: e["_r"] > 0), lambda e: e["_v"])  # up to head + tail
+    tails = F.transform(F.filter("_e", lambda e: e["_r"] < 0), lambda e: e["_v"])  # ranks -tail .. -1, in order
+    short = F.concat(F.lit("["), F.array_join(firsts_v, ", "), F.lit("]"))
+    long = F.concat(F.lit("["), F.array_join(F.slice(firsts_v, 1, head), ", "), F.lit(", ..., "),
+                    F.array_join(tails, ", "), F.lit("]"))
+    return j.select(*keys, F.when(F.col("_n") <= head + tail, short).otherwise(long).alias("preview"))
+
+
 # ---------------------------------------------------------------- input curation
 
 
