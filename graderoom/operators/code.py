@@ -34,7 +34,7 @@ def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
     bytes but expensive in Python CPU, so AQE must not coalesce them into a few tasks (an explicit
     repartition count is kept as is)."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)
+    n = spark.sparkContext.defaultParallelism * 2
     return df.select(F.xxhash64(text).alias("_k"), F.col(text)).dropDuplicates(["_k", text]).repartition(n, "_k")
 
 

@@ -11,6 +11,7 @@ Event times arrive as TIMESTAMP_NTZ and are cast to TIMESTAMP before ``withWater
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +48,26 @@ def split_by_key(df: DataFrame, folder: str, key: Column, n_files: int, fmt: str
         getattr(df.where(F.pmod(F.xxhash64(key), F.lit(n_files)) == i).coalesce(1).write.mode("append"), fmt)(folder)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """A stateful query fixes its number of state partitions when it first starts (it is stored in the
+    checkpoint). Size it from the cluster's parallelism rather than the batch shuffle setting."""
+    n = n or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Run to completion (availableNow) into the parquet file sink; return the sink as a batch table."""
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, label + "-out"), scratch_path(spark, label + "-ckpt")
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -66,8 +81,9 @@ def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-         .outputMode("update").trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+             .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     changes = spark.read.parquet(out)
     cols = [c for c in stream.columns if c not in keys]
