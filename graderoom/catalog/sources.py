@@ -82,13 +82,13 @@ def q_read_samples_dir(spark, sf_dir):
     return back.select("task_id", F.col("n").cast("bigint").alias("step"), "solution")
 
 
-@register("load_problems", cte("f0_problems") + """
+@register("load_problems", cte("problems_catalog") + """
 select task_id, case when variant = 'mini' then prompt || ' # v2' else prompt end as prompt, entry_point
-from f0_problems""")
+from problems_catalog""")
 def q_load_problems(spark, sf_dir):
     x = Inputs(spark, sf_dir)
     base = scratch_path(spark, "problems")
-    p = x.v("f0_problems")
+    p = x.v("problems_catalog")
     p.write.mode("overwrite").json(base + "/a")
     # a later file repeats the mini tasks with a new prompt: the later record must win
     p.where(F.col("variant") == "mini").withColumn("prompt", F.concat("prompt", F.lit(" # v2"))) \

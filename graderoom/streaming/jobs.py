@@ -61,10 +61,12 @@ def state_partitions(spark: SparkSession, n: int | None = None):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Run to completion (availableNow) into the parquet file sink; return the sink as a batch table."""
+def run_append(stream: DataFrame, label: str, out: str | None = None, ckpt: str | None = None) -> DataFrame:
+    """Run to completion (availableNow) into the parquet file sink; return the sink as a batch table.
+    Re-running with the same ``out`` / ``ckpt`` resumes: only files added since are processed."""
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, label + "-out"), scratch_path(spark, label + "-ckpt")
+    out = out or scratch_path(spark, label + "-out")
+    ckpt = ckpt or scratch_path(spark, label + "-ckpt")
     with state_partitions(spark):
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode("append").trigger(availableNow=True).start())
