@@ -247,3 +247,20 @@ def test_load_problems_last_record_wins(spark):
     spark.createDataFrame([Row(task_id="T/1", prompt="new")]).write.json(base + "/b")
     got = io.load_problems(spark, base + "/*", "task_id string, prompt string").collect()
     assert [(r.task_id, r.prompt) for r in got] == [("T/1", "new")]
+
+
+def test_segments_of_a_task_split_across_partitions(spark):
+    import math
+
+    rnd = random.Random(5)
+    means = [round(rnd.choice([1e5, 3e5, 1e6, 4e6]) * rnd.uniform(0.9, 1.1), 3) for _ in range(60)]
+    stats = spark.createDataFrame([(7, i, m) for i, m in enumerate(means)], "task long, solution_idx long, mean_cost double")
+    got = _rows(P.segment_costs(stats, base=0.2, n_parts=7), "solution_idx", "segment", "rank_in_task")
+    order = sorted(range(len(means)), key=lambda i: (-means[i], i))
+    expect, seg, prev = [], 0, None
+    for rank, i in enumerate(order, start=1):
+        if prev is not None and (prev - means[i]) / prev > 0.2 + math.sqrt(10000 / prev):
+            seg += 1
+        expect.append((i, seg, rank))
+        prev = means[i]
+    assert got == sorted(expect)
