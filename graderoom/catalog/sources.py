@@ -127,9 +127,7 @@ select task_id from s where is_val""")
 def q_load_split_ids(spark, sf_dir):
     path = scratch_path(spark, "split")
     split = Vec.seeded_split(Inputs(spark, sf_dir).v("problems_catalog"))
-    # a split file is one JSON array of ids (bounded by the number of tasks)
-    split.where(F.col("split") == "val").agg(F.to_json(F.collect_list("task_id")).alias("value")) \
-        .coalesce(1).write.mode("overwrite").text(path)
+    io.export_split_ids(split.where(F.col("split") == "val"), path)
     return io.load_split_ids(spark, path)
 
 

@@ -147,6 +147,14 @@ def dataset_fingerprint(df: DataFrame, cols: Sequence) -> DataFrame:
         .alias("fingerprint"), F.sum("n").alias("n_rows"))
 
 
+def export_split_ids(ids: DataFrame, path: str, key: str = "task_id") -> None:
+    """Write a split as one JSON array of ids in numeric order of the number after '/' (a split file is
+    one document; its size is bounded by the number of tasks)."""
+    num = F.split(F.col(key), "/").getItem(1).cast("long")
+    ids.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(num.alias("n"), F.col(key).alias("id")))),
+                                  lambda s: s["id"])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def load_split_ids(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of ids (a bare string is wrapped into a one-element list) -> one row per id."""
     raw = spark.read.text(path, wholetext=True)

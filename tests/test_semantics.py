@@ -264,3 +264,22 @@ def test_segments_of_a_task_split_across_partitions(spark):
         expect.append((i, seg, rank))
         prev = means[i]
     assert got == sorted(expect)
+
+
+def test_split_export_numeric_order_and_scalar_wrap(spark):
+    path = scratch_path(spark, "test-split")
+    ids = spark.createDataFrame([("T/10",), ("T/2",), ("T/1",)], "task_id string")
+    io.export_split_ids(ids, path)
+    text = "".join(r.value for r in spark.read.text(path).collect())
+    assert json.loads(text) == ["T/1", "T/2", "T/10"]
+    single = scratch_path(spark, "test-split-scalar")
+    spark.createDataFrame([('"T/5"',)], "value string").coalesce(1).write.text(single)
+    assert [r.task_id for r in io.load_split_ids(spark, single).collect()] == ["T/5"]
+
+
+def test_pass_at_k_json_export(spark):
+    path = scratch_path(spark, "test-export")
+    pk = spark.createDataFrame([("m", "base", 1, 0.5), ("m", "base", 5, 0.9)], "model string, suite string, k int, pass_at_k double")
+    io.export_pass_at_k_json(pk, path)
+    row = spark.read.json(path).first()
+    assert json.loads(row.pass_at_k) == {"base": {"pass@1": 0.5, "pass@5": 0.9}}
