@@ -17,7 +17,7 @@ GATE_SEGMENT_BASE = 0.2
 EXPORT_SEGMENT_BASE = 0.10
 
 
-def cost6(c: str | Column) -> Column:
+def cost_key(c: str | Column) -> Column:
     """Costs (instruction counts, up to ~1e10) are kept at milli-unit precision so that summation
     order in the mean cannot flip a later comparison."""
     c = F.col(c) if isinstance(c, str) else c
@@ -28,8 +28,8 @@ def solution_stats(profiles: DataFrame, task: str = "task", sol: str = "solution
     """Per solution: mean, median, population CV over rounds; mean/median null if any round broken."""
     broken = F.max(F.col(cost).isNull())
     return profiles.groupBy(task, sol).agg(
-        F.when(~broken, cost6(F.avg(cost))).alias("mean_cost"),
-        F.when(~broken, cost6(F.percentile(cost, 0.5))).alias("median_cost"),
+        F.when(~broken, cost_key(F.avg(cost))).alias("mean_cost"),
+        F.when(~broken, cost_key(F.percentile(cost, 0.5))).alias("median_cost"),
         (F.lit(100.0) * F.stddev_pop(cost) / F.avg(cost)).alias("cv"),
         F.count(F.lit(1)).alias("n_rounds"),
         broken.alias("has_broken_round"),
@@ -144,7 +144,7 @@ def match_reference_ladder(samples: DataFrame, ladder: DataFrame, task: str = "t
     dps = that reference's score, dps_norm = 100 * (j + 1) / n_ref."""
     arr = ladder_arrays(ladder, task)
     j = samples.join(arr, task, "left")
-    c = cost6(cost)
+    c = cost_key(cost)
     hits = F.filter("ladder", lambda r: r["ref_cost"] >= c)
     best = F.aggregate(hits, F.lit(-1).cast("bigint"), lambda acc, r: F.greatest(acc, r["ref_idx"].cast("bigint")))
     j = j.withColumn("matching_idx", F.when(F.col(cost).isNull() | F.col("ladder").isNull(), F.lit(-1).cast("bigint"))
