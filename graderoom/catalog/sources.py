@@ -204,9 +204,12 @@ def q_run_provenance(spark, sf_dir):
 
     g = Inputs(spark, sf_dir).v("f3_generations")
     direct = F.col("step") % 2 == 0
-    return g.select("task_id", "step", F.md5("prompt").alias("prompt_md5"),
+    prov = g.select("task_id", "step", F.md5("prompt").alias("prompt_md5"),
                     F.when(direct & (F.col("step") > 0), F.md5(F.concat(py_strip("prompt"), F.lit("\n")))).alias("refinement_md5"),
                     F.md5("solution").alias("impl_md5"), direct.alias("direct_completion"))
+    back = io.write_provenance(prov, scratch_path(spark, "provenance"), "run-1")
+    return back.select("task_id", F.col("step").cast("bigint").alias("step"), "prompt_md5", "refinement_md5", "impl_md5",
+                       "direct_completion")
 
 
 @register("upgrade_legacy_report", cte("f1_samples") + """

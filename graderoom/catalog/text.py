@@ -356,7 +356,8 @@ def q_parse_dedup_rates(spark, sf_dir):
 def q_syntax_audit(spark, sf_dir):
     b = blocks(Inputs(spark, sf_dir))
     checked = C.syntax_ok(b.fillna("", ["block"]), "block")
-    return checked.groupBy("entry_point").agg(
+    # per task and overall (entry_point null) in one grouping-sets aggregate
+    return checked.rollup("entry_point").agg(
         F.count(F.lit(1)).alias("n_code"),
         F.count_if(T.py_strip("block") == "").alias("n_empty"),
         F.count_if(~F.col("syntax_ok")).alias("n_not_compilable"),

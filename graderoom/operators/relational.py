@@ -164,6 +164,11 @@ def generation_worklist(problems: DataFrame, samples: DataFrame, n_samples: int,
     )
 
 
+def worklist_complete(worklist: DataFrame) -> bool:
+    """True when every task already has its samples (the worklist is empty)."""
+    return worklist.isEmpty()
+
+
 def pad_samples(samples: DataFrame, n: int, key: str = "task_id", idx: str = "step", text: str = "solution") -> DataFrame:
     """Every task gets exactly n rows 0..n-1; missing ones carry empty text."""
     slots = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(idx))

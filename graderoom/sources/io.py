@@ -205,6 +205,12 @@ def load_selection(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.row_number().over(w).alias("rank"), "model_identifier")
 
 
+def write_provenance(rows: DataFrame, root: str, run_id: str) -> DataFrame:
+    """Per-sample provenance (prompt, refinement prompt, raw output) under run_id=<id>/step=<n>."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "step").parquet(root)
+    return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
+
+
 def upgrade_legacy_report(df: DataFrame) -> DataFrame:
     """Old rows carry a ``files`` list and no ``nfiles``: nfiles = len(files)."""
     return df.withColumn("nfiles", F.coalesce(F.col("nfiles"), F.size("files"))).drop("files")
