@@ -283,3 +283,17 @@ def test_pass_at_k_json_export(spark):
     io.export_pass_at_k_json(pk, path)
     row = spark.read.json(path).first()
     assert json.loads(row.pass_at_k) == {"base": {"pass@1": 0.5, "pass@5": 0.9}}
+
+
+def test_syntax_ok_and_definition_table(spark):
+    src = ("import os\nX = 1\n@dec\ndef decorated():\n    return 1\ndef no_ret():\n    pass\n"
+           "def f(a):\n    return g(a) + X\ndef g(b):\n    return b\ndef f(a):\n    return 2\n")
+    df = spark.createDataFrame([(1, src), (2, "def broken(:\n")], "id long, code string")
+    ok = {r.id: r.syntax_ok for r in C.syntax_ok(df, "code").collect()}
+    assert ok == {1: True, 2: False}
+    defs = C.definition_table(df, "code")
+    got = sorted((r.seq, r.kind, r.name) for r in defs.collect())
+    assert got == [(0, "import", None), (1, "variable", "X"), (3, "function_noreturn", "no_ret"),
+                   (4, "function", "f"), (5, "function", "g"), (6, "function", "f")]
+    firsts = sorted((r.seq, r.name) for r in C.first_definitions(defs).collect())
+    assert firsts == [(1, "X"), (4, "f"), (5, "g")]  # first f wins, no_ret never counts
