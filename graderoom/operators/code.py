@@ -91,7 +91,8 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] =
     key = list(key)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(*key, F.col("src").alias("node"), F.col("dst"))
+    # every round joins the edges: materialise them once instead of re-deriving them per round
+    e = edges.select(*key, F.col("src").alias("node"), F.col("dst")).checkpoint()
     visited = roots.select(*key, "root", F.col("root").alias("node")).distinct().checkpoint()
     frontier = visited
     for rnd in range(1, max_rounds + 1):
@@ -110,10 +111,13 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] =
 def clean_code(df: DataFrame, text: str = "text", entry: str = "entry_point", out: str = "clean") -> DataFrame:
     """Imports plus definitions reachable from the entry point, in source order (imports first);
     falls back to the longest parseable block when that is empty."""
-    blocks = longest_code_block(df.select(text).distinct(), text, "_block")
+    ensure_checkpoint_dir(df.sparkSession)
+    # the Python stages run once per distinct text; their outputs are reused by several joins and by
+    # every reachability round, so they are materialised
+    blocks = longest_code_block(df.select(text).distinct(), text, "_block").checkpoint()
     base = df.join(blocks, text, "left")
     keyed = base.withColumn("_k", F.xxhash64("_block"))
-    defs = definition_table(keyed.select(F.col("_block").alias("code")), "code")
+    defs = definition_table(blocks.select(F.col("_block").alias("code")), "code").checkpoint()
     firsts = first_definitions(defs)
     # dependency edges inside one text: name -> dep where dep is a defined name
     edges = firsts.select("_k", F.col("name").alias("src"), F.explode("deps").alias("dst")).join(
