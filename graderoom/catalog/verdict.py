@@ -85,7 +85,7 @@ select v.sample_id, v.suite, v.status,
 from ver v""")
 def q_failed_tests(spark, sf_dir):
     d = V.verdict_details(executions(spark, sf_dir), F2_LIMITS, fast=False)
-    return V.failed_tests(d, V.derive_verdict(d), fast=False)
+    return V.failed_tests(d, fast=False)
 
 
 @register("concat_suites_verdict", cte("f2_executions") + f""",

@@ -84,19 +84,32 @@ def verdict_details(ex: DataFrame, limits: Limits, fast: bool = True,
 
 
 def derive_verdict(details: DataFrame, key: Sequence[str] = ("sample_id", "suite"),
-                   load_error: str | None = None) -> DataFrame:
+                   load_error: str | None = None, failed: str | None = None,
+                   order: str = "input_idx") -> DataFrame:
     """status: load error -> fail (no details); a kept input beyond the budget -> timeout;
-    a failing detail -> fail; else pass."""
-    agg = details.groupBy(*key).agg(
+    a failing detail -> fail; else pass. With ``failed`` = 'fast' or 'full' the failing inputs are
+    produced by the same aggregation (see ``failed_tests``)."""
+    aggs = [
         F.max(F.col("kept") & ~F.col("in_budget")).alias("timed_out"),
         F.max(F.col("detail") & ~F.col("ok")).alias("any_fail"),
         F.count_if(F.col("detail")).alias("n_details"),
         F.count(F.lit(1)).alias("n_inputs"),
-    )
+    ]
+    if failed == "fast":
+        aggs.append(F.max(F.when(F.col("detail"), F.col(order))).cast("string").alias("_failed"))
+    elif failed == "full":
+        # failing inputs of one suite: bounded by the suite's input count
+        aggs.append(F.array_join(F.transform(F.sort_array(F.collect_list(
+            F.when(F.col("detail") & ~F.col("ok"), F.col(order)))), lambda i: i.cast("string")), ",").alias("_failed"))
+    agg = details.groupBy(*key).agg(*aggs)
     status = F.when(F.col("timed_out"), "timeout").when(F.col("any_fail"), "fail").otherwise("pass")
     if load_error is not None:
         status = F.when(F.col(load_error), "fail").otherwise(status)
-    return agg.withColumn("status", status)
+    agg = agg.withColumn("status", status)
+    if failed is not None:
+        agg = agg.withColumn("failed_inputs", F.when(F.col("status") == "pass", F.lit(""))
+                             .otherwise(F.coalesce(F.col("_failed"), F.lit("")))).drop("_failed")
+    return agg
 
 
 def input_time_limit(ex: DataFrame, limits: Limits, key: Sequence[str] = ("sample_id", "suite")) -> DataFrame:
@@ -107,20 +120,13 @@ def input_time_limit(ex: DataFrame, limits: Limits, key: Sequence[str] = ("sampl
     )
 
 
-def failed_tests(details: DataFrame, verdicts: DataFrame, fast: bool,
-                 key: Sequence[str] = ("sample_id", "suite"), order: str = "input_idx") -> DataFrame:
+def failed_tests(details: DataFrame, fast: bool, key: Sequence[str] = ("sample_id", "suite"),
+                 order: str = "input_idx") -> DataFrame:
     """Failing inputs per suite as a comma-joined, index-ordered list: every failing detail in full
     mode; in fast mode the last executed input (even when it passed and the suite timed out).
-    Empty on pass or when there are no details."""
-    if fast:
-        picked = details.where("detail").groupBy(*key).agg(F.max(order).cast("string").alias("failed_inputs"))
-    else:
-        picked = details.where(F.col("detail") & ~F.col("ok")).groupBy(*key).agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda i: i.cast("string")), ",")
-            .alias("failed_inputs"))
-    v = verdicts.join(picked, list(key), "left")
-    return v.select(*key, "status", F.when(F.col("status") == "pass", F.lit(""))
-                    .otherwise(F.coalesce(F.col("failed_inputs"), F.lit(""))).alias("failed_inputs"))
+    Empty on pass or when there are no details. One aggregation together with the status."""
+    v = derive_verdict(details, key, failed="fast" if fast else "full", order=order)
+    return v.select(*key, "status", "failed_inputs")
 
 
 # ---------------------------------------------------------------- special oracles

@@ -24,8 +24,7 @@ def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFram
     ex = Rel.filter_subset(executions, split_ids)
     ex = ex.join(problems.select("task_id"), "task_id", "left_semi")  # unknown tasks are quarantined
     details = V.verdict_details(ex, limits, fast=fast)
-    verdicts = V.derive_verdict(details)
-    failed = V.failed_tests(details, verdicts, fast=fast)
+    failed = V.failed_tests(details, fast=fast)
     samples = ex.select("sample_id", "task_id", "model").distinct()
     wide = failed.groupBy("sample_id").pivot("suite", ["base", "plus"]).agg(
         F.first("status").alias("status"), F.first("failed_inputs").alias("fail"))

@@ -70,9 +70,9 @@ def test_fast_mode_stops_at_first_failure_and_reports_last_executed(spark):
     d = V.verdict_details(ex, LIM, fast=True)
     v = V.derive_verdict(d).first()
     assert (v.status, v.n_details) == ("fail", 2)
-    assert V.failed_tests(d, V.derive_verdict(d), fast=True).first().failed_inputs == "1"
+    assert V.failed_tests(d, fast=True).first().failed_inputs == "1"
     full = V.verdict_details(ex, LIM, fast=False)
-    assert V.failed_tests(full, V.derive_verdict(full), fast=False).first().failed_inputs == "1"
+    assert V.failed_tests(full, fast=False).first().failed_inputs == "1"
 
 
 def test_per_input_overrun_is_a_failed_detail_not_a_timeout(spark):
@@ -86,7 +86,7 @@ def test_budget_overrun_is_timeout_and_fast_report_names_last_executed_even_if_i
     d = V.verdict_details(ex, LIM)
     v = V.derive_verdict(d).first()
     assert (v.status, v.n_details) == ("timeout", 2)
-    assert V.failed_tests(d, V.derive_verdict(d), fast=True).first().failed_inputs == "1"
+    assert V.failed_tests(d, fast=True).first().failed_inputs == "1"
 
 
 def test_sticky_float_tolerance(spark):
