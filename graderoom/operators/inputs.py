@@ -32,18 +32,62 @@ def randint(lo: int | Column, hi: int | Column, *parts) -> Column:
 
 # ---------------------------------------------------------------- typed decode / encode
 
+# MBPP task numbers whose inputs need a typed decode, by decode class.
+REFERENCE_DECODE_RULES = {
+    "tuple_items": [2, 116, 132, 143, 222, 261, 273, 394, 399, 421, 424, 429, 470, 560, 579, 596, 616, 630,
+                    726, 740, 744, 809],
+    "nested_tuple_items": [63, 64, 70, 94, 120, 237, 272, 299, 400, 409, 417, 438, 473, 614, 780],
+    "first_arg_tuple_items": [75, 413, 444, 753],
+    "second_arg_tuple": [106, 750],
+    "set_items": [115],
+    "float_complex": [124],
+    "first_arg_tuple": [250, 405, 446, 617, 720, 763, 808],
+    "nested_tuple_tuple": [259, 401, 445],
+    "mixed_tuple_tuple": [278],
+    "first_arg_tuple_three": [307],
+    "dict_tuple_values": [722],
+    "complex": [252],
+    "all_tuples": [580, 615, 791],
+}
+
+
+def reference_rule_table(spark, prefix: str = "Mbpp/") -> DataFrame:
+    """(task_id, rule) for the fixed decode table above: 86 rows, a bounded literal."""
+    rows = [(f"{prefix}{n}", rule) for rule, ids in REFERENCE_DECODE_RULES.items() for n in ids]
+    return F.broadcast(spark.createDataFrame(rows, "task_id string, rule string"))
+
+
+COMPLEX_TEXT = r"^\(?\s*([-+]?[0-9.eE]+)?\s*([-+]\s*[0-9.eE]*)j\s*\)?$"
+
+
+def parse_complex(text: Column) -> Column:
+    """Python complex literal text ('1+2j', '-3j', '(0.5-1j)', '4') -> struct<re double, im double>."""
+    re_part = F.regexp_extract(text, COMPLEX_TEXT, 1)
+    im_part = F.regexp_replace(F.regexp_extract(text, COMPLEX_TEXT, 2), r"\s", "")
+    im = F.when(im_part.isin("+", "-", ""), F.concat(im_part, F.lit("1"))).otherwise(im_part)
+    has_j = text.rlike(COMPLEX_TEXT)
+    return F.when(has_j, F.struct(F.coalesce(F.nullif(re_part, F.lit("")), F.lit("0")).cast("double").alias("re"),
+                                  im.cast("double").alias("im"))) \
+        .otherwise(F.struct(text.cast("double").alias("re"), F.lit(0.0).alias("im")))
+
 
 def decode_inputs(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """Typed decode by the task's rule: 'set' lists become sorted distinct arrays, 'tuple' lists keep
-    order with a tag, anything else decodes plainly. ``rules`` is one row per task (broadcastable)."""
+    """Typed decode by the task's rule class. Lists stay arrays (a tuple is an array tagged
+    ``is_tuple``); set classes become sorted distinct arrays (set equality); complex classes parse the
+    text into struct<re, im>; anything else decodes plainly. ``rules`` has one row per task."""
     j = values.join(rules, "task_id", "left").withColumn("rule", F.coalesce("rule", F.lit("plain")))
+    rule = F.col("rule")
+    is_set = rule.isin("set", "set_items")
     arr = F.from_json("value_text", "array<bigint>")
-    arr = F.when(F.col("rule") == "set", F.array_sort(F.array_distinct(arr))).otherwise(arr)
+    arr = F.when(is_set, F.array_sort(F.array_distinct(arr))).otherwise(arr)
+    is_complex = rule.isin("complex", "float_complex")
     return j.select(
         "task_id", "seed_id", "rule", "kind",
         F.when(F.col("kind").isin("int", "float"), F.col("value_text").cast("double")).alias("num_value"),
         F.when(F.col("kind") == "list", arr).alias("list_value"),
         F.when(F.col("kind") == "str", F.col("value_text")).alias("text_value"),
+        ((F.col("kind") == "list") & (rule.contains("tuple"))).alias("is_tuple"),
+        F.when(is_complex, parse_complex(F.col("value_text"))).alias("complex_value"),
     )
 
 

@@ -297,3 +297,21 @@ def test_syntax_ok_and_definition_table(spark):
                    (4, "function", "f"), (5, "function", "g"), (6, "function", "f")]
     firsts = sorted((r.seq, r.name) for r in C.first_definitions(defs).collect())
     assert firsts == [(1, "X"), (4, "f"), (5, "g")]  # first f wins, no_ret never counts
+
+
+def test_typed_decode_classes(spark):
+    from graderoom.operators import inputs as I
+
+    rules = I.reference_rule_table(spark)
+    assert rules.count() == sum(len(v) for v in I.REFERENCE_DECODE_RULES.values())
+    vals = spark.createDataFrame([("Mbpp/115", 1, "list", "[3,1,3]"), ("Mbpp/2", 2, "list", "[3,1]"),
+                                  ("Mbpp/252", 3, "str", "1+2j"), ("Mbpp/252", 4, "str", "(0.5-1j)"),
+                                  ("Mbpp/252", 5, "str", "-3j"), ("Mbpp/9", 6, "list", "[2,2]")],
+                                 "task_id string, seed_id long, kind string, value_text string")
+    got = {r.seed_id: r for r in I.decode_inputs(vals, rules).collect()}
+    assert got[1].list_value == [1, 3] and got[1].rule == "set_items"
+    assert got[2].is_tuple and got[2].list_value == [3, 1]
+    assert (got[3].complex_value.re, got[3].complex_value.im) == (1.0, 2.0)
+    assert (got[4].complex_value.re, got[4].complex_value.im) == (0.5, -1.0)
+    assert (got[5].complex_value.re, got[5].complex_value.im) == (0.0, -3.0)
+    assert got[6].rule == "plain" and not got[6].is_tuple
