@@ -68,7 +68,7 @@ def parse_complex(text: Column) -> Column:
     has_j = text.rlike(COMPLEX_TEXT)
     return F.when(has_j, F.struct(F.coalesce(F.nullif(re_part, F.lit("")), F.lit("0")).cast("double").alias("re"),
                                   im.cast("double").alias("im"))) \
-        .otherwise(F.struct(text.cast("double").alias("re"), F.lit(0.0).alias("im")))
+        .otherwise(F.struct(text.try_cast("double").alias("re"), F.lit(0.0).alias("im")))
 
 
 def decode_inputs(values: DataFrame, rules: DataFrame) -> DataFrame:

@@ -32,3 +32,13 @@ def test_running_counts_final_state_equals_batch(spark):
     batch = S.running_counts(data)
     key = ["model", "task_id", "n", "c_base", "c_plus"]
     assert sorted(tuple(r[k] for k in key) for r in final.collect()) == sorted(tuple(r[k] for k in key) for r in batch.collect())
+
+
+def test_stall_gaps_batch_twin(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(1, base), (1, base + dt.timedelta(seconds=30)), (1, base + dt.timedelta(seconds=400)),
+                                (2, base), (2, base + dt.timedelta(seconds=100))], "k long, ts timestamp_ntz")
+    got = [(r.k, r.stall_seconds) for r in S.stall_gaps(ev, "k", "ts", 180).collect()]
+    assert got == [(1, 370.0)]
