@@ -83,7 +83,7 @@ with t as (
 c as (
   select conv_id, list({'role': role, 'text': text} order by turn, role, text) as turns from t group by conv_id),
 h as (
-  select conv_id, turns, list_transform(turns, x -> md5(x.role || chr(10) || x.text)) as hs from c),
+  select conv_id, turns, list_transform(turns, lambda x: md5(x.role || chr(10) || x.text)) as hs from c),
 o as (
   select conv_id, turns, row_number() over (
     order by array_to_string(hs[1:3], ''), md5(array_to_string(hs, '')), conv_id) - 1 as pos from h),
@@ -91,7 +91,7 @@ i as (
   select pos // 2 as pair_id, min(conv_id) as chosen_id,
     case when count(*) > 1 then max(conv_id) end as rejected_id from o group by pos // 2),
 e as (
-  select conv_id, list_transform(turns, x -> {
+  select conv_id, list_transform(turns, lambda x: {
     'role': replace(x.role, '<|', '< |'), 'text': replace(x.text, '<|', '< |')}) as turns from c),
 p as (
   select i.*, a.turns as ch, coalesce(b.turns, a.turns[1:0]) as rj
@@ -102,11 +102,11 @@ q as (
     len(ch)) as n from p),
 r as (
   select pair_id, chosen_id, rejected_id, n,
-    array_to_string(list_transform(ch[1:n], x -> '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as prompt,
-    array_to_string(list_transform(ch[n+1:], x -> '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as chosen_text,
-    array_to_string(list_transform(rj[n+1:], x -> '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as rejected_text,
-    coalesce(list_sum(list_transform(ch[n+1:], x -> case when x.role = 'assistant' then length(x.text) else 0 end)), 0) as nc,
-    coalesce(list_sum(list_transform(rj[n+1:], x -> case when x.role = 'assistant' then length(x.text) else 0 end)), 0) as nr
+    array_to_string(list_transform(ch[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as prompt,
+    array_to_string(list_transform(ch[n+1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as chosen_text,
+    array_to_string(list_transform(rj[n+1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') as rejected_text,
+    coalesce(list_sum(list_transform(ch[n+1:], lambda x: case when x.role = 'assistant' then length(x.text) else 0 end)), 0) as nc,
+    coalesce(list_sum(list_transform(rj[n+1:], lambda x: case when x.role = 'assistant' then length(x.text) else 0 end)), 0) as nr
   from q)
 select pair_id, chosen_id, rejected_id, n::int as n_common, md5(prompt) as prompt_md5, md5(chosen_text) as chosen_md5,
   md5(rejected_text) as rejected_md5, nc::bigint as chosen_learned, nr::bigint as rejected_learned from r
