@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graderoom.llm.common import table
+from graderoom.llm import quality
+from graderoom.llm.common import materialise, table
 from graderoom.llm.mixing import SEED as MIX_SEED
 from graderoom.llm.mixing import TEMPERATURE, mix_sources
 from graderoom.llm.preference import preferences_from_turns
 from graderoom.llm.sharding import SHARDS, interleave
+from graderoom.llm.tokens import encode_documents
 from graderoom.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +38,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_packed_tokens")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_robust_outliers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.with_statistics(table(spark, sf_dir, "documents"))
+    slim = materialise(stats.select("doc_id", "lang", "source", "_q", "base_failed", "_x"), "quality-statistics")
+    return quality.judge(slim, quality.estimate(slim)).select(
+        "doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words",
+        "base_failed", "kept", F.round("distance", 3).alias("distance"))
+
+
 @query("op5_interleave_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = interleave(table(spark, sf_dir, "documents"), SHARDS)

@@ -67,11 +67,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     prefixes = F.transform(
-        F.filter(lengths.scalar(), lambda n: n <= F.length("path")),
+        F.filter("_lengths", lambda n: n <= F.length("path")),
         lambda n: F.substr(F.col("path"), F.lit(1), n))
     expressions = (
-        distinct.withColumn("e_host", F.explode(suffixes))
+        distinct.withColumn("_lengths", lengths.scalar())
+        .withColumn("e_host", F.explode(suffixes))
         .withColumn("e_path", F.explode(prefixes))
+        .drop("_lengths")
         .withColumn("e_digest", _digest(F.col("e_host"), F.col("e_path")))
         .withColumn("e_prefix", F.substring("e_digest", 1, PREFIX_DIGITS))
     )
