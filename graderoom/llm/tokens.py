@@ -10,8 +10,8 @@ it, into a numpy array without a loop over ids.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graderoom.llm.chunks import byte_values, mix
 from graderoom.llm.common import small_side
 from graderoom.session import scratch_path
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
-#: Entries of a task's table of encoded words; a full table is emptied, results do not depend on it.
-CACHE_WORDS = 400_000
+#: Entries of a task's table of encoded parts; results do not depend on it.
+CACHE_PARTS = 500_000
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4_000_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_tokens long, bits int, doc_ids array<long>, "
                 "ends array<long>, payload binary")
-#: One blank between two characters that are surely no blanks: byte-level BPE never joins across it.
-_GAP = re.compile(r"(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
-_ODD = re.compile(r"\s |\s$|^\s| \s")
+_VALUES = byte_values(7)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,51 +59,103 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file, word by word from a bounded table.
-
-    ``by_word`` holds for byte-level BPE whose splitting pattern gives a single blank to the word
-    after it: parts between such blanks are encoded on their own. Texts with a special token's
-    string, or vocabularies of another kind, are encoded whole.
+    """Encodes texts with a tokenizers file, every distinct part of a batch once.
+
+    A byte-level BPE splits a text by a pattern and merges within each piece. Texts are cut where
+    that pattern surely ends a piece: before a single blank or line end between two visible
+    characters, and before ASCII punctuation after an ASCII letter or digit. Each distinct part is
+    encoded by the library, kept in a bounded table, and the ids of all parts are then put together
+    with numpy. Texts with a special token's string, and vocabularies of another kind, are encoded
+    whole.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pre = self.tokenizer.pre_tokenizer
-        self.by_word = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.words = limit, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For every text its ids as little-endian unsigned 32-bit integers."""
-        whole, parted, needed = {}, {}, {}
-        for k, text in enumerate(texts):
-            if not text or not self.by_word or any(s in text for s in self.special):
-                whole[k] = text or ""
-            else:
-                parts = _GAP.split(text) if _ODD.search(text) else text.split(" ")
-                parted[k] = parts
-                needed[parts[0]] = None
-                needed.update(dict.fromkeys([" " + p for p in parts[1:]]))
-        if len(self.words) > self.limit:
-            self.words = {}
-        words = self.words
-        missing = [w for w in needed if w not in words]
+        self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit, self.fresh, self.older = limit, {}, {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _lookup(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts. A full table becomes the older one, which answers once more."""
+        if len(self.fresh) > self.limit:
+            self.fresh, self.older = {}, self.fresh
+        fresh, older = self.fresh, self.older
+        found = [fresh.get(p) or older.get(p) for p in parts]
+        missing = [k for k, x in enumerate(found) if x is None]
         for lo in range(0, len(missing), 20_000):
             some = missing[lo:lo + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        out: list[bytes] = [b""] * len(texts)
-        for k, parts in parted.items():
-            out[k] = b"".join([words[parts[0]], *[words[" " + p] for p in parts[1:]]])
-        for k, text in whole.items():
-            out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            for k, x in zip(some, self._ids([parts[k].decode("utf-8", "replace") for k in some])):
+                found[k] = x
+        fresh.update(zip(parts, found))
+        return found
+
+    def _parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their number per text."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not sizes.sum():
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        starts = np.flatnonzero(_cuts(data))
+        starts = np.unique(np.concatenate([starts, edges[:-1][sizes > 0]]))
+        lengths = np.diff(starts, append=len(data))
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
+        keys = mix(np.add.reduceat(_VALUES[data] * powers[place], starts)) + lengths.astype(np.uint64)
+        del place
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        ids = self._lookup([raw[a:a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist())])
+        sizes_of = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.concatenate([[0], np.cumsum(sizes_of)[:-1]])
+        per_part = sizes_of[which]
+        done = np.cumsum(per_part)
+        out = flat[np.repeat(begin[which] - done + per_part, per_part) + np.arange(int(done[-1]))]
+        upto = np.concatenate([[0], done])[np.searchsorted(starts, edges)]
+        return out, np.diff(upto)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text, as little-endian unsigned 32-bit integers."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        plain = [k for k, t in enumerate(raw) if self.by_part and not any(s in t for s in self.special)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        ids, counts = self._parts([raw[k] for k in plain])
+        for k, x in zip(plain, np.split(ids, np.cumsum(counts)[:-1]) if plain else []):
+            out[k] = x
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """True where a part starts: see ``WordEncoder``. Letters beyond ASCII count as visible if their
+    first byte is C3 to CA (Latin letters, no blanks among them)."""
+    shown = (data > 0x20) & (data < 0x7F)
+    latin = (data >= 0xC3) & (data <= 0xCA)
+    cut = np.zeros(len(data), bool)
+    if len(data) > 2:
+        middle = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
+        before = shown[:-2].copy()
+        before[1:] |= (data[1:-2] >= 0x80) & latin[:-3]
+        cut[1:-1] = middle & before & (shown | latin)[2:]
+    low = data | 0x20
+    letter = ((low >= 0x61) & (low <= 0x7A)) | ((data >= 0x30) & (data <= 0x39))
+    letter &= data < 0x80
+    cut[1:] |= letter[:-1] & shown[1:] & ~letter[1:]
+    return cut
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -111,6 +165,14 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def by_bytes(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Slices of a batch with about ``BATCH_BYTES`` of text each, one row at least."""
+    upto = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch["text"]])
+    group = upto // BATCH_BYTES
+    for lo, hi in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.append(np.flatnonzero(np.diff(group)) + 1, len(batch))):
+        yield batch.iloc[lo:hi]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, order: list[str] | None = None,
                  end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id") -> None:
     """Encode ``text`` of every row, append ``end_id`` and write blocks in ascending ``order``.
@@ -125,26 +187,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, order: list[str
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, block, first = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        end = np.uint32(end_id).astype("<u4").tobytes()
-        ids: list[bytes] = []
+        end = np.array([end_id], "<u4")
+        ids: list[np.ndarray] = []
         keys: list = []
 
         def full() -> pd.DataFrame:
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(sizes)
+            ends = np.cumsum([len(x) for x in ids])
             return pd.DataFrame({
                 "part": [part], "block": [block], "first": [first], "n_tokens": [int(ends[-1])], "bits": [bits],
-                "doc_ids": [keys], "ends": [ends], "payload": [pack(np.frombuffer(b"".join(ids), "<u4"), bits)]})
+                "doc_ids": [keys], "ends": [ends], "payload": [pack(np.concatenate(ids), bits)]})
 
         held = 0
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                some = batch.iloc[lo:lo + 500]
-                texts = [t if isinstance(t, str) else "" for t in some["text"]]
-                for doc, coded in zip(some["k"], encoder.encode(texts)):
-                    ids.append(coded + end)
+            for some in by_bytes(batch):
+                for doc, coded in zip(some["k"], encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])):
+                    ids.append(np.concatenate([coded, end]))
                     keys.append(None if pd.isna(doc) else int(doc))
-                    held += len(coded) // 4 + 1
+                    held += len(coded) + 1
                     if held >= block_tokens:
                         yield full()
                         block, first, held, ids, keys = block + 1, first + held, 0, [], []
