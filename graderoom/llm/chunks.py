@@ -31,14 +31,14 @@ REPLY_SCHEMA = "kind int, bucket int, chunk long, a binary, b binary, total long
 
 def squeeze(values: np.ndarray) -> bytes:
     """Compress an integer array by byte planes; ``stretch`` with its dtype gives it back."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def stretch(packed: bytes, dtype: type) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(dtype).ravel()
 
 
 def squeeze_sorted(keys: np.ndarray) -> bytes:

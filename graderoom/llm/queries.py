@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graderoom.llm import quality
+from graderoom.llm import exact, quality
 from graderoom.llm.common import materialise, table
+from graderoom.llm.lm import score_documents
 from graderoom.llm.mixing import SEED as MIX_SEED
 from graderoom.llm.mixing import TEMPERATURE, mix_sources
 from graderoom.llm.preference import preferences_from_turns
@@ -43,6 +44,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_prefix_doubling")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.summarise(exact.remove_repeats(table(spark, sf_dir, "documents"), exact.THRESHOLD))
+
+
+@query("op3_deleted_interpolation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op6_robust_outliers")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.with_statistics(table(spark, sf_dir, "documents"))
