@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,14 @@ from graderoom.session import scratch_path
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
 #: Entries of a task's table of encoded parts; results do not depend on it.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 2_000_000
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 4_000_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_tokens long, bits int, doc_ids array<long>, "
                 "ends array<long>, payload binary")
+BLOCK_ARROW = pa.schema({
+    "part": pa.int32(), "block": pa.int32(), "first": pa.int64(), "n_tokens": pa.int64(), "bits": pa.int32(),
+    "doc_ids": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "payload": pa.binary()})
 _VALUES = byte_values(7)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,8 +66,8 @@ class WordEncoder:
     """Encodes texts with a tokenizers file, every distinct part of a batch once.
 
     A byte-level BPE splits a text by a pattern and merges within each piece. Texts are cut where
-    that pattern surely ends a piece: before a single blank or line end between two visible
-    characters, and before ASCII punctuation after an ASCII letter or digit. Each distinct part is
+    that pattern surely ends a piece: before a single blank and around a single line end between two
+    visible characters, and before ASCII punctuation after an ASCII letter or digit. Each distinct part is
     encoded by the library, kept in a bounded table, and the ids of all parts are then put together
     with numpy. Texts with a special token's string, and vocabularies of another kind, are encoded
     whole.
@@ -77,65 +81,76 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pre = self.tokenizer.pre_tokenizer
         self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.fresh, self.older = limit, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in coded]
-
-    def _lookup(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of distinct parts. A full table becomes the older one, which answers once more."""
-        if len(self.fresh) > self.limit:
-            self.fresh, self.older = {}, self.fresh
-        fresh, older = self.fresh, self.older
-        found = [fresh.get(p) or older.get(p) for p in parts]
-        missing = [k for k, x in enumerate(found) if x is None]
-        for lo in range(0, len(missing), 20_000):
-            some = missing[lo:lo + 20_000]
-            for k, x in zip(some, self._ids([parts[k].decode("utf-8", "replace") for k in some])):
-                found[k] = x
-        fresh.update(zip(parts, found))
-        return found
-
-    def _parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and their number per text."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        if not sizes.sum():
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        starts = np.flatnonzero(_cuts(data))
-        starts = np.unique(np.concatenate([starts, edges[:-1][sizes > 0]]))
-        lengths = np.diff(starts, append=len(data))
-        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        """The table: sorted hashes of parts, and where their ids begin and end in ``flat``."""
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _lookup(self, parts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct parts begin in ``flat``, and how many they are."""
+        edges = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, parts.offset * 4).astype(np.int64)
+        data = np.frombuffer(parts.buffers()[2], np.uint8)[edges[0]:edges[-1]]
+        lengths = np.diff(edges)
+        place = np.arange(len(data)) - np.repeat(edges[:-1] - edges[0], lengths)
         powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-        keys = mix(np.add.reduceat(_VALUES[data] * powers[place], starts)) + lengths.astype(np.uint64)
-        del place
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        ids = self._lookup([raw[a:a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist())])
-        sizes_of = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.concatenate([[0], np.cumsum(sizes_of)[:-1]])
-        per_part = sizes_of[which]
+        hashes = mix(np.add.reduceat(_VALUES[data] * powers[place], edges[:-1] - edges[0])) + lengths.astype(np.uint64)
+        if len(self.hashes) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = new[np.argsort(hashes[new])]
+            ids: list[int] = []
+            count = np.empty(len(new), np.int64)
+            for lo in range(0, len(new), 20_000):
+                texts = [x.decode("utf-8", "replace") for x in parts.take(pa.array(new[lo:lo + 20_000])).to_pylist()]
+                for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                    own = e.ids
+                    ids += own
+                    count[lo + k] = len(own)
+            begin = len(self.flat) + np.cumsum(count) - count
+            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+            spot = np.searchsorted(self.hashes, hashes[new])
+            self.begin, self.count = np.insert(self.begin, spot, begin), np.insert(self.count, spot, count)
+            self.hashes = np.insert(self.hashes, spot, hashes[new])
+            at = np.searchsorted(self.hashes, hashes)
+        return self.begin[at], self.count[at]
+
+    def _parts(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (``data`` from edge to edge) one after the other, and their number per text."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
+        cut = _cuts(data)
+        cut[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(cut)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        begin, count = self._lookup(coded.dictionary)
+        per_part = count[which]
         done = np.cumsum(per_part)
-        out = flat[np.repeat(begin[which] - done + per_part, per_part) + np.arange(int(done[-1]))]
-        upto = np.concatenate([[0], done])[np.searchsorted(starts, edges)]
-        return out, np.diff(upto)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text, as little-endian unsigned 32-bit integers."""
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        plain = [k for k, t in enumerate(raw) if self.by_part and not any(s in t for s in self.special)]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        ids, counts = self._parts([raw[k] for k in plain])
-        for k, x in zip(plain, np.split(ids, np.cumsum(counts)[:-1]) if plain else []):
-            out[k] = x
-        for k, text in enumerate(texts):
-            if out[k] is None:
-                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return out
+        out = self.flat[np.repeat(begin[which] - done + per_part, per_part) + np.arange(int(done[-1]))]
+        return out, np.diff(np.concatenate([[0], done])[np.searchsorted(starts, edges)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their number per text; null is empty."""
+        raw = texts.cast(pa.large_binary())
+        plain = self.by_part and not any(
+            pc.any(pc.match_substring(raw, s)).as_py() for s in self.special)
+        if plain:
+            edges = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+            body = raw.buffers()[2]
+            data = np.frombuffer(body, np.uint8)[edges[0]:edges[-1]] if body is not None else np.zeros(0, np.uint8)
+            return self._parts(data, edges - edges[0])
+        ids = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
@@ -145,10 +160,12 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     latin = (data >= 0xC3) & (data <= 0xCA)
     cut = np.zeros(len(data), bool)
     if len(data) > 2:
-        middle = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
         before = shown[:-2].copy()
         before[1:] |= (data[1:-2] >= 0x80) & latin[:-3]
-        cut[1:-1] = middle & before & (shown | latin)[2:]
+        before &= (shown | latin)[2:]
+        line = before & (data[1:-1] == 0x0A)
+        cut[1:-1] = line | (before & (data[1:-1] == 0x20))
+        cut[2:] |= line
     low = data | 0x20
     letter = ((low >= 0x61) & (low <= 0x7A)) | ((data >= 0x30) & (data <= 0x39))
     letter &= data < 0x80
@@ -165,12 +182,12 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def by_bytes(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``BATCH_BYTES`` of text each, one row at least."""
-    upto = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch["text"]])
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     group = upto // BATCH_BYTES
-    for lo, hi in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.append(np.flatnonzero(np.diff(group)) + 1, len(batch))):
-        yield batch.iloc[lo:hi]
+    for lo, hi in zip(np.flatnonzero(np.diff(group, prepend=-1)), np.append(np.flatnonzero(np.diff(group)) + 1, len(group))):
+        yield batch.slice(lo, hi - lo)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, order: list[str] | None = None,
@@ -185,36 +202,28 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, order: list[str
     bits = bits_for(max(_encoder(tokenizer_path).vocabulary, end_id + 1))
     cols = order or [key]
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block, first = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4")
-        ids: list[np.ndarray] = []
-        keys: list = []
-
-        def full() -> pd.DataFrame:
-            ends = np.cumsum([len(x) for x in ids])
-            return pd.DataFrame({
-                "part": [part], "block": [block], "first": [first], "n_tokens": [int(ends[-1])], "bits": [bits],
-                "doc_ids": [keys], "ends": [ends], "payload": [pack(np.concatenate(ids), bits)]})
-
-        held = 0
         for batch in batches:
             for some in by_bytes(batch):
-                for doc, coded in zip(some["k"], encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])):
-                    ids.append(np.concatenate([coded, end]))
-                    keys.append(None if pd.isna(doc) else int(doc))
-                    held += len(coded) + 1
-                    if held >= block_tokens:
-                        yield full()
-                        block, first, held, ids, keys = block + 1, first + held, 0, [], []
-        if ids:
-            yield full()
+                ids, counts = encoder.encode(some["text"])
+                ends = np.cumsum(counts + 1)
+                stream = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+                cut = np.flatnonzero(np.diff(ends // block_tokens, append=-1)) + 1
+                for lo, hi in zip(np.append(0, cut[:-1]), cut):
+                    begin = int(ends[lo - 1]) if lo else 0
+                    here = ends[lo:hi] - begin
+                    yield pa.RecordBatch.from_pydict({
+                        "part": [part], "block": [block], "first": [first], "n_tokens": [int(here[-1])], "bits": [bits],
+                        "doc_ids": [some["k"].slice(lo, hi - lo).to_pylist()], "ends": [here],
+                        "payload": [pack(stream[begin:int(ends[hi - 1])], bits)]}, schema=BLOCK_ARROW)
+                    block, first = block + 1, first + int(here[-1])
 
     (docs.select(F.col(key).cast("long").alias("k"), "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(cols)])
      .repartitionByRange(*[f"_o{i}" for i in range(len(cols))])
      .sortWithinPartitions(*[f"_o{i}" for i in range(len(cols))], "text")
      .select("k", "text")
-     .mapInPandas(blocks, BLOCK_SCHEMA).write.parquet(out))
+     .mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(out))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
