@@ -8,6 +8,7 @@ local benches) do we create one ourselves.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,3 +56,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/graderoom-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    The Python stages import it on the workers, which see the driver's path only in local mode
+    started from the repository. The archive travels with Spark's own file distribution.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_graderoom_shipped", None) == sc.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it already came as an archive
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="graderoom-ship-"), "graderoom"), "zip",
+                                      os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(archive)
+    sc._graderoom_shipped = sc.applicationId
