@@ -37,6 +37,7 @@ CUT = 60.0
 #: A language and source with fewer rows uses its language, and that the whole table.
 LEAST_ROWS = 50
 ROUNDS = 6
+SHRINK = 0.1
 DISTANCE_STEPS = 128
 MIN_WORDS = 50
 
@@ -98,8 +99,10 @@ def _groups() -> Column:
 
 
 def _inverse(cov: np.ndarray) -> np.ndarray:
-    floor = np.array(FLOOR) ** 2
-    return np.linalg.inv(cov + np.diag(np.maximum(0.0, floor - np.diag(cov))))
+    """Inverse scatter with the least scales, and correlations drawn in so that it always exists."""
+    regular = (1 - SHRINK) * cov
+    np.fill_diagonal(regular, np.maximum(np.diag(cov), np.array(FLOOR) ** 2))
+    return np.linalg.inv(regular)
 
 
 def _distance(x: Column | str = "_x") -> Column:
