@@ -13,6 +13,7 @@ from graderoom.llm.common import materialise, table
 from graderoom.llm.lm import score_documents
 from graderoom.llm.mixing import SEED as MIX_SEED
 from graderoom.llm.mixing import TEMPERATURE, mix_sources
+from graderoom.llm.neardup import near_duplicates
 from graderoom.llm.preference import preferences_from_turns
 from graderoom.llm.sharding import SHARDS, interleave
 from graderoom.llm.tokens import encode_documents
@@ -141,6 +142,11 @@ select pair_id, chosen_id, rejected_id, n::int as n_common, md5(prompt) as promp
 """
 
 
+@query("op8_minmax_neardup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_preference_pairs", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     def learned(spans: str):
