@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "cc-large")
+        large = large.where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             lower.select("u", F.col("m").alias("v")))

@@ -25,7 +25,8 @@ PERCENT = 75
 #: 150 permutations give 300 values in 50 bands of 6: a pair at the threshold shares no band with
 #: probability (1 - 0.75 ** 6) ** 50, about 6 in 100,000.
 PERMUTATIONS, ROWS = 150, 6
-BLOCK = 64
+#: Nodes of a block, on the side of minor nodes and on the side of all.
+BLOCK, ALL_BLOCK = 64, 1024
 _LEFT = np.uint64(0xD1342543DE82EF95)
 
 
@@ -152,27 +153,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between different components within a block pair; a joined component is not tested again."""
-    part = part.sort_values(["block", "node"])
-    one_block = part["i"].iloc[0] == part["j"].iloc[0]
-    nodes, blocks, comps = part["node"].tolist(), part["block"].tolist(), part["comp"].tolist()
-    sets = [C.stretch_sorted(x) for x in part["hashes"]]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
+    """Links of a block of minor nodes (side 0) with a block of all nodes (side 1).
 
+    Only nodes of different components are tested, and components joined here are one from then on.
+    """
+    minor, every = (part[part["side"] == side].sort_values("node") for side in (0, 1))
+    if minor.empty or every.empty:
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    hashes = [C.stretch_sorted(x) for x in every["hashes"]]
+    sizes = np.array([len(x) for x in hashes])
+    flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), sizes)
+    nodes = every["node"].to_numpy()
+    # components by number; a link gives the numbers of one to the other
+    numbers, comps = np.unique(np.concatenate([minor["comp"], every["comp"]]), return_inverse=True)
+    of_minor, of_every = comps[:len(minor)], comps[len(minor):]
+    now = np.arange(len(numbers))
     found = []
-    for a in range(len(nodes)):
-        for b in range(a + 1, len(nodes)):
-            if not one_block and blocks[a] == blocks[b]:
-                continue
-            x, y = root(comps[a]), root(comps[b])
-            if x != y and _linked(sets[a], sets[b]):
-                parent[max(x, y)] = min(x, y)
-                found.append((nodes[a], nodes[b]))
+    for k, (node, packed) in enumerate(zip(minor["node"], minor["hashes"])):
+        other = now[of_every] != now[of_minor[k]]
+        if not other.any():
+            continue
+        own = C.stretch_sorted(packed)
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.bincount(owner[own[at] == flat], minlength=len(hashes))
+        linked = np.flatnonzero(other & (100 * both >= PERCENT * (sizes + len(own) - both)))
+        for j in linked:
+            x, y = now[of_minor[k]], now[of_every[j]]
+            if x != y:
+                now[now == max(x, y)] = min(x, y)
+                found.append((node, nodes[j]))
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
@@ -181,10 +190,53 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open_buckets(labelled: DataFrame) -> DataFrame:
-    """Buckets that still hold more than one component."""
+    """Buckets that still hold more than one component, with their most popular node."""
     return labelled.groupBy("bucket").agg(
-        F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        F.max(F.struct("popularity", "node")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    ).where("lo < hi").select("bucket", F.col("top.node").alias("centre"))
+
+
+def _against_centres(labelled: DataFrame) -> DataFrame:
+    """Pairs (centre, node) of open buckets in different components."""
+    comps = labelled.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")).distinct()
+    return (
+        labelled.join(_open_buckets(labelled), "bucket").select("node", "comp", "centre").distinct()
+        .join(comps, "centre").where("comp <> centre_comp")
+        .select(F.col("centre").alias("u"), F.col("node").alias("v")))
+
+
+def _left_over(labelled: DataFrame) -> DataFrame:
+    """Rows of block pairs that hold every pair of an open bucket in different components.
+
+    A bucket's largest component is its major one. The nodes that stand outside of a component in
+    any bucket where it is the major one are its minor nodes. They meet the whole component and each
+    other, so all pairs of its buckets are there once, however many buckets repeat them; two nodes
+    of the major component are connected already and never meet. Both sides are dealt into blocks:
+    minor blocks (side 0) meet blocks of all (side 1).
+    """
+    shares = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    majors = shares.groupBy("bucket").agg(
+        F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where("top.c < n").select(
+        "bucket", F.col("top.comp").alias("major"))
+    minors = materialise(
+        labelled.join(majors, "bucket").where("comp <> major").select("major", "node", "comp").distinct(), "near-minors")
+    wholes = labelled.select("node", "comp").distinct().join(
+        minors.select(F.col("major").alias("comp")).distinct(), "comp").select(
+        F.col("comp").alias("major"), "node", "comp")
+    every = minors.union(wholes)
+    sizes = minors.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("minor_blocks")).join(
+        every.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / ALL_BLOCK).cast("int").alias("all_blocks")), "major")
+
+    def meet(nodes: DataFrame, side: int) -> DataFrame:
+        own, other = ("i", "j") if side == 0 else ("j", "i")
+        count = {"i": "minor_blocks", "j": "all_blocks"}
+        return (
+            nodes.join(sizes, "major")
+            .withColumn(own, F.pmod(F.xxhash64("node"), count[own]).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(count[other]) - 1)))
+            .select("major", "i", "j", F.lit(side).alias("side"), "node", "comp"))
+
+    return meet(minors, 0).union(meet(every, 1))
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,40 +244,37 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     Every pair of a bucket is either tested or already connected:
 
-    1. each node is tested against the centre (smallest node) that most of its buckets have;
+    1. each node is tested against the centre that most of its buckets have: a bucket's centre is
+       the node that meets most others over all buckets, likely the text the others were made from;
     2. in buckets that still hold several components, nodes of other components are tested against
        the bucket's centre;
-    3. in those still open, nodes are dealt into blocks, and each pair of blocks is one group in which
-       nodes of different components are tested.
+    3. in those still open, the nodes outside the largest component are tested, block by block,
+       against that component and each other.
 
     So a family of copies costs a test or two per copy, whatever its size, and the last step leaves
     no pair out.
     """
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"))
-    by_centre = members.join(centres, "bucket").where("node <> centre").groupBy("node", "centre").agg(
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    popular = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("popularity"))
+    members = materialise(members.join(popular, "node"), "near-popular")
+    centres = members.groupBy("bucket").agg(F.max(F.struct("popularity", "node")).alias("top")).select(
+        "bucket", F.col("top.node").alias("centre"), F.col("top.popularity").alias("weight"))
+    by_centre = members.join(centres, "bucket").where("node <> centre").groupBy("node", "centre", "weight").agg(
         F.count(F.lit(1)).alias("n"))
-    first = by_centre.groupBy("node").agg(F.max(F.struct("n", "centre"))["centre"].alias("centre"))
+    first = by_centre.groupBy("node").agg(F.max(F.struct("n", "weight", "centre"))["centre"].alias("centre"))
     edges = materialise(confirmed(first.select(F.col("centre").alias("u"), F.col("node").alias("v")), sets), "near-1")
-    roots = materialise(components(edges), "near-roots-1")
 
-    labelled = materialise(_labelled(members, roots), "near-labels-1")
-    centre_comp = labelled.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp")).distinct()
-    pairs = (
-        labelled.join(_open_buckets(labelled), "bucket").select("node", "comp", "centre").distinct()
-        .join(centre_comp, "centre").where("comp <> centre_comp")
-        .select(F.col("centre").alias("u"), F.col("node").alias("v")))
-    edges = edges.union(materialise(confirmed(pairs, sets), "near-2"))
+    # two steps up from each node already join most of a family; any part of a component may do here
+    up = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    twice = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select(
+        "node", F.coalesce("next", "root").alias("root"))
+    labelled = materialise(_labelled(members, twice), "near-labels-1")
+    edges = edges.union(materialise(confirmed(_against_centres(labelled), sets), "near-2"))
     roots = materialise(components(edges), "near-roots-2")
 
     labelled = materialise(_labelled(members, roots), "near-labels-2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        labelled.join(_open_buckets(labelled).where("n > 2").select("bucket", "n"), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "node", "comp"))
-    found = dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_block_links, "u long, v long")
+    found = _left_over(labelled).join(sets, "node").groupBy("major", "i", "j").applyInPandas(
+        _block_links, "u long, v long")
     return components(edges.union(materialise(found, "near-3")))
 
 
