@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graderoom.llm import exact, quality
 from graderoom.llm.common import materialise, table
+from graderoom.llm.decontaminate import find_leaks
 from graderoom.llm.lm import score_documents
 from graderoom.llm.mixing import SEED as MIX_SEED
 from graderoom.llm.mixing import TEMPERATURE, mix_sources
@@ -64,6 +65,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
+@query("op4_simhash_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("similarity", F.round("similarity", 4))
+
+
 @query("op5_interleave_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = interleave(table(spark, sf_dir, "documents"), SHARDS)
