@@ -23,7 +23,7 @@ from graderoom.llm.common import materialise
 from graderoom.session import scratch_path
 
 #: UTF-8 bytes of text that fill a chunk; a chunk holds whole documents, at least one.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 CHUNK_SCHEMA = "chunk long, n_bytes long, doc_ids array<long>, sizes array<long>, texts binary"
 ASK_SCHEMA = "kind int, bucket int, chunk long, keys binary, a binary, b binary"
 REPLY_SCHEMA = "kind int, bucket int, chunk long, a binary, b binary, total long, distinct long"

@@ -48,8 +48,8 @@ def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(inside)
-    word = np.cumsum(first)[at] - 1
-    place = at - starts[word]
+    word = np.cumsum(first, dtype=np.int32)[at] - 1
+    place = (at - starts[word]).astype(np.int32)
     powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
     terms = C.byte_values(3)[_LOWER[data[at]]] * powers[place]
     cuts = np.flatnonzero(np.diff(word, prepend=-1))

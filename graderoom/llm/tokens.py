@@ -30,7 +30,7 @@ BLOCK_TOKENS = 1 << 16
 #: Entries of a task's table of encoded parts; results do not depend on it.
 CACHE_PARTS = 2_000_000
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 3_000_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_tokens long, bits int, doc_ids array<long>, "
                 "ends array<long>, payload binary")
 BLOCK_ARROW = pa.schema({
