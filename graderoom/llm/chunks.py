@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graderoom.llm.common import materialise
+from graderoom.llm.common import NO_ID, materialise
 from graderoom.session import scratch_path
 
 #: UTF-8 bytes of text that fill a chunk; a chunk holds whole documents, at least one.
@@ -88,13 +88,14 @@ def write_chunks(docs: DataFrame, label: str) -> DataFrame:
                 if held and held + len(raw) > CHUNK_BYTES:
                     yield full()
                     number, held, ids, texts = number + 1, 0, [], []
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(int(doc))
                 texts.append(raw)
                 held += len(raw) + 1
         if ids:
             yield full()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(build, CHUNK_SCHEMA)
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(build, CHUNK_SCHEMA)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"chunks_{label}_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "chunk").format("parquet").option("path", scratch_path(spark, label)).saveAsTable(name)
@@ -107,6 +108,10 @@ def key_ranges(chunks: DataFrame) -> int:
     return max(4, -(-total // CHUNK_BYTES))
 
 
+def ids_of(row) -> list[int | None]:
+    return [None if d == NO_ID else int(d) for d in row.doc_ids]
+
+
 def raw_of(row) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a chunk's texts, one after the other, and where each text starts and ends."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.texts), np.uint8)

@@ -11,6 +11,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words end at the space and at the characters 09 to 0D; no other character separates.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 ROW_BITS = (1 << 33) - 1
+#: Stands for a null key where numpy holds keys (it has no null integer).
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables of this library's scratch folders that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/graderoom-" in folder:
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

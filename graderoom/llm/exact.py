@@ -34,7 +34,6 @@ TILE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LEFT = np.uint64(0xD1342543DE82EF95)
-_NO_ID = -(1 << 63)
 
 
 def base_length(threshold: int) -> int:
@@ -101,7 +100,7 @@ class Runs:
         base = base_length(threshold)
         self.threshold, self.base = threshold, base
         self.data, self.edges = C.raw_of(row)
-        self.ids = np.array([_NO_ID if d is None else d for d in row.doc_ids], np.int64)
+        self.ids = np.asarray(row.doc_ids, np.int64)
         n = len(self.ids)
         rank = np.empty(n, np.int64)
         rank[np.lexsort((np.arange(n), self.ids))] = np.arange(n)
@@ -222,7 +221,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             kept.append(runs.data[lo:hi][~here].tobytes())
             starts.append(edge[::2])
             ends.append(edge[1::2])
-        return pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), "Int64"), "n_bytes": np.diff(runs.edges),
+        return pd.DataFrame({"doc_id": pd.array(C.ids_of(row), "Int64"), "n_bytes": np.diff(runs.edges),
                              "kept": kept, "span_starts": starts, "span_ends": ends})
 
     return C.with_replies(table, first.unionByName(second), cut, "doc_id long, n_bytes long, kept binary, "

@@ -75,7 +75,7 @@ class Stream:
         before[1:] = self.tokens[:-1]
         before[self.starts] = _START
         self.pairs = C.mix(before ^ C.mix(self.tokens + _BASE))
-        folds = np.array([fold_of(d) for d in row.doc_ids])
+        folds = np.array([fold_of(d) for d in C.ids_of(row)])
         self.train = np.repeat(folds != TEST_FOLD, counts)
         self.held = np.repeat(folds == HELD_FOLD, counts)
         self.folds = folds
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         p = w[:, 0] * _share(bi, context) + w[:, 1] * (uni / max(n, 1)) + w[:, 2] * uniform
         base = np.log10((uni + 1) / (n + v + 1))
         return pd.DataFrame({
-            "doc_id": pd.array(list(row.doc_ids), "Int64"), "held_out": s.folds == TEST_FOLD, "n_tokens": s.counts,
+            "doc_id": pd.array(C.ids_of(row), "Int64"), "held_out": s.folds == TEST_FOLD, "n_tokens": s.counts,
             "n_known": np.add.reduceat((uni > 0).astype(np.int64), s.starts), "train_tokens": n,
             "base_score": np.add.reduceat(base, s.starts),
             "score": np.add.reduceat(np.log10(np.maximum(p, 1e-300)), s.starts)})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graderoom.llm import chunks as C
-from graderoom.llm.common import materialise
+from graderoom.llm.common import discard, materialise
 from graderoom.llm.components import components
 from graderoom.llm.lm import word_hashes
 
@@ -114,7 +114,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(some):
                 for k, keys in zip(some, _signed(signature_bands(values, starts))):
                     bands[k] = keys
-            yield pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), "Int64"), "chunk": row.chunk,
+            yield pd.DataFrame({"doc_id": pd.array(C.ids_of(row), "Int64"), "chunk": row.chunk,
                                 "place": np.arange(len(counts)), "n_shingles": counts, "node": node, "bands": bands})
 
 
@@ -302,7 +302,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("chunk", "place")).alias("one")), "node")
     wanted = chosen.select("node", "one.chunk", "one.place")
     sets = materialise(C.with_replies(table, wanted, _sets, "node long, hashes binary"), "near-sets")
+    discard(table)
     roots = materialise(links(members, sets), "near-roots")
+    discard(members, sets)
 
     slim = signed.drop("bands", "chunk", "place").join(roots, "node", "left").withColumn(
         "comp", F.coalesce("root", "node"))

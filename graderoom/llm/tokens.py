@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graderoom.llm.chunks import byte_values, mix
-from graderoom.llm.common import small_side
+from graderoom.llm.common import NO_ID, small_side
 from graderoom.session import scratch_path
 
 END_ID = 2
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, order: list[str
                         "payload": [pack(stream[begin:int(ends[hi - 1])], bits)]}, schema=BLOCK_ARROW)
                     block, first = block + 1, first + int(here[-1])
 
-    (docs.select(F.col(key).cast("long").alias("k"), "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(cols)])
+    (docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), "text", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(cols)])
      .repartitionByRange(*[f"_o{i}" for i in range(len(cols))])
      .sortWithinPartitions(*[f"_o{i}" for i in range(len(cols))], "text")
      .select("k", "text")
@@ -239,7 +239,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = unpack(row.payload, row.bits, 0, int(ends[-1])).astype("<u4")
                 yield pd.DataFrame({
-                    "part": row.part, "block": row.block, "doc_id": pd.array(list(row.doc_ids), "Int64"),
+                    "part": row.part, "block": row.block, "doc_id": np.asarray(row.doc_ids, np.int64),
                     "at": starts + row.first, "n_tokens": ends - starts,
                     "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]})
 
@@ -249,7 +249,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     docs = blocks.mapInPandas(documents, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(small_side(offsets), "part").select(
-        "doc_id", (F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "part", "block")
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "part", "block")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, order: list[str] | None = None) -> DataFrame:
