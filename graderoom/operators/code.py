@@ -8,6 +8,7 @@ reliable checkpoints) and reassembly are DataFrame operations.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,23 +31,25 @@ def _syntax_ok_each(s: pd.Series) -> pd.Series:
 
 
 def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """Distinct texts keyed by hash, spread over an explicit number of partitions: texts are small in
+    """Distinct texts (no nulls) keyed by hash, spread over an explicit number of partitions: texts are small in
     bytes but expensive in Python CPU, so AQE must not coalesce them into a few tasks (an explicit
     repartition count is kept as is)."""
     spark = df.sparkSession
     n = spark.sparkContext.defaultParallelism * 2
-    return df.select(F.xxhash64(text).alias("_k"), F.col(text)).dropDuplicates(["_k", text]).repartition(n, "_k")
+    some = df.where(F.col(text).isNotNull())
+    return some.select(F.xxhash64(text).alias("_k"), F.col(text)).dropDuplicates(["_k", text]).repartition(n, "_k")
 
 
 def syntax_ok(df: DataFrame, text: str = "text", out: str = "syntax_ok") -> DataFrame:
-    """Does the text parse as Python. Each distinct text is parsed once."""
+    """Does the text parse as Python; a null text does not. Each distinct text is parsed once."""
     d = _distinct_texts(df, text).withColumn(out, _syntax_ok(F.col(text)))
-    return df.withColumn("_k", F.xxhash64(text)).join(d, ["_k", text], "left").drop("_k")
+    joined = df.withColumn("_k", F.xxhash64(text)).join(d, ["_k", text], "left").drop("_k")
+    return joined.withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def longest_code_block(df: DataFrame, text: str = "text", out: str = "block") -> DataFrame:
     """Longest parseable line range of each text (whole text, all ranges; pruned only by
-    ranges that cannot beat the best found)."""
+    ranges that cannot beat the best found); null for a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,12 +85,13 @@ def first_definitions(defs: DataFrame) -> DataFrame:
 
 
 def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] = (),
-                       max_rounds: int = 10_000) -> DataFrame:
+                       max_rounds: int | None = None) -> DataFrame:
     """All (key..., root, node) with node reachable from root (root itself included).
 
     Breadth-first frontier joins: frontier x edges -> new nodes, minus visited. Each round's frontier
     and the visited set are reliably checkpointed (lineage stays flat and survives executor loss);
-    the only driver action per round is an emptiness check. Cycle-safe."""
+    the only driver action per round is an emptiness check. Cycle-safe. Rounds go on until nothing new
+    is found; with ``max_rounds`` an unfinished closure raises instead of being returned."""
     key = list(key)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -95,17 +99,18 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] =
     e = edges.select(*key, F.col("src").alias("node"), F.col("dst")).checkpoint()
     visited = roots.select(*key, "root", F.col("root").alias("node")).distinct().checkpoint()
     frontier = visited
-    for rnd in range(1, max_rounds + 1):
+    for rnd in count(1):
         step = frontier.join(e, [*key, "node"]).select(*key, "root", F.col("dst").alias("node")).distinct()
         new = step.join(visited, [*key, "root", "node"], "left_anti").checkpoint()
         if new.isEmpty():
-            break
+            return visited
+        if max_rounds is not None and rnd >= max_rounds:
+            raise RuntimeError(f"closure not complete after {max_rounds} rounds")
         # visited is a union of checkpointed frontiers; fold it into one checkpoint every 8 rounds
         visited = visited.unionByName(new)
         if rnd % 8 == 0:
             visited = visited.checkpoint()
         frontier = new
-    return visited
 
 
 def clean_code(df: DataFrame, text: str = "text", entry: str = "entry_point", out: str = "clean") -> DataFrame:
@@ -117,7 +122,7 @@ def clean_code(df: DataFrame, text: str = "text", entry: str = "entry_point", ou
     blocks = longest_code_block(df.select(text).distinct(), text, "_block").checkpoint()
     base = df.join(blocks, text, "left")
     keyed = base.withColumn("_k", F.xxhash64("_block"))
-    defs = definition_table(blocks.select(F.col("_block").alias("code")), "code").checkpoint()
+    defs = definition_table(blocks.where("_block is not null").select(F.col("_block").alias("code")), "code").checkpoint()
     firsts = first_definitions(defs)
     # dependency edges inside one text: name -> dep where dep is a defined name
     edges = firsts.select("_k", F.col("name").alias("src"), F.explode("deps").alias("dst")).join(

@@ -82,28 +82,50 @@ def audit_columns(df: DataFrame, cols: Sequence[str] = REQUIRED_PROBLEM_COLUMNS)
 
 
 MAX_VALUE_BYTES = 64 * 1024 * 1024
+INTEGER_TEXT = r"^\s*[-+]?[0-9]+\s*$"
+QUOTED_TEXT = r"\"[^\"]*\"|'[^']*'"
+INTEGER_ELEMENT = r"(?<![\w.+-])([-+]?[0-9]+)(?![\w.])"
 
 
 def guard_int64_and_size(df: DataFrame, text: str = "value_text") -> DataFrame:
-    """Drop values that do not fit a signed 64-bit integer or whose text exceeds 64 MB."""
-    v = F.expr(f"try_cast({text} as bigint)")
-    return df.where(v.isNotNull() & (F.octet_length(F.col(text)) <= MAX_VALUE_BYTES)).withColumn("int_value", v)
+    """Drop integers, and lists with an integer element, that do not fit a signed 64-bit integer, and
+    values whose text exceeds 64 MB or is null. Other values pass. ``int_value`` is the value of an
+    integer, else null."""
+    col = F.col(text)
+    v = F.when(col.rlike(INTEGER_TEXT), F.trim(col).try_cast("bigint"))
+    unquoted = F.regexp_replace(col, QUOTED_TEXT, "")
+    elements = F.regexp_extract_all(unquoted, F.lit(INTEGER_ELEMENT), F.lit(1))
+    fits = (
+        F.when(col.rlike(INTEGER_TEXT), v.isNotNull())
+        .when(F.ltrim(col).startswith("["), F.forall(elements, lambda x: x.try_cast("bigint").isNotNull()))
+        .otherwise(F.lit(True)))
+    return df.where(fits & (F.octet_length(col) <= MAX_VALUE_BYTES)).withColumn("int_value", v)
 
 
 def contract_filter(candidates: DataFrame, rules: DataFrame, key: str = "task_id") -> DataFrame:
     """Keep candidates that satisfy their task's declarative contract (tasks without a rule keep
     everything). Rules: min_value, max_value (numbers and list elements), max_len and pattern
-    (strings). The rule table has one row per task and joins as a plain equi join."""
+    (strings). Each bound of a rule counts on its own; one that is null does not limit. A rule refuses
+    values of other kinds and numbers that cannot be read. The rule table has one row per task and
+    joins as a plain equi join."""
     j = candidates.join(rules, key, "left")
-    num = F.col("value_text").cast("double")
+    num = F.col("value_text").try_cast("double")
     lst = F.from_json(F.col("value_text"), "array<double>")
+
+    def within(least: Column, most: Column) -> Column:
+        return ((F.col("min_value").isNull() | (least >= F.col("min_value")))
+                & (F.col("max_value").isNull() | (most <= F.col("max_value"))))
+
+    no_rule = F.lit(True)
+    for bound in ("min_value", "max_value", "max_len", "pattern"):
+        no_rule = no_rule & F.col(bound).isNull()
     ok = (
-        F.when(F.col("min_value").isNull(), F.lit(True))
-        .when(F.col("kind").isin("int", "float"), num.between(F.col("min_value"), F.col("max_value")))
+        F.when(no_rule, F.lit(True))
+        .when(F.col("kind").isin("int", "float"), num.isNotNull() & within(num, num))
         .when(F.col("kind") == "str",
-              (F.length("value_text") <= F.col("max_len")) & F.regexp_like(F.col("value_text"), F.col("pattern")))
-        .when(F.col("kind") == "list",
-              (F.array_min(lst) >= F.col("min_value")) & (F.array_max(lst) <= F.col("max_value")))
+              (F.col("max_len").isNull() | (F.length("value_text") <= F.col("max_len")))
+              & (F.col("pattern").isNull() | F.regexp_like(F.col("value_text"), F.col("pattern"))))
+        .when(F.col("kind") == "list", lst.isNotNull() & within(F.array_min(lst), F.array_max(lst)))
         .otherwise(F.lit(False))
     )
     return j.where(ok).select(*candidates.columns)

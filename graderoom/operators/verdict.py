@@ -30,9 +30,14 @@ class Limits:
 
 
 def tolerant_equal(actual: Column, expected: Column, tol: Column) -> Column:
-    """Exact equality, else when tol != 0: |out - exp| <= tol + rtol * |exp| (allclose semantics)."""
+    """Exact equality, else when tol != 0: |out - exp| <= tol + rtol * |exp| (allclose semantics).
+
+    NaN equals nothing, itself included; an infinity equals only itself."""
+    infinity = F.lit(float("inf"))
+    number = ~F.isnan(actual) & ~F.isnan(expected)
+    finite = (F.abs(actual) < infinity) & (F.abs(expected) < infinity)
     close = F.abs(actual - expected) <= tol + F.lit(RTOL) * F.abs(expected)
-    return (actual == expected) | ((tol != 0) & close)
+    return number & ((actual == expected) | ((tol != 0) & finite & close))
 
 
 def compare_outputs(ex: DataFrame) -> DataFrame:
@@ -184,12 +189,13 @@ def surface_area(base: Column, height: Column) -> Column:
 
 
 def digit_distance(a: Column, b: Column) -> Column:
-    """Zero-pad both numbers to a common width and sum absolute digit differences."""
+    """Zero-pad both numbers to a common width and sum absolute digit differences; null where a
+    character is no digit, as for a negative number (a failed input)."""
     sa, sb = a.cast("string"), b.cast("string")
     width = F.greatest(F.length(sa), F.length(sb))
     pa, pb = F.lpad(sa, width, "0"), F.lpad(sb, width, "0")
     diffs = F.transform(F.sequence(F.lit(1), width),
-                        lambda i: F.abs(F.substring(pa, i, 1).cast("int") - F.substring(pb, i, 1).cast("int")))
+                        lambda i: F.abs(F.substring(pa, i, 1).try_cast("int") - F.substring(pb, i, 1).try_cast("int")))
     return F.aggregate(diffs, F.lit(0), lambda acc, d: acc + d)
 
 

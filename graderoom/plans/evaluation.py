@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graderoom.operators import metrics as M
@@ -16,24 +16,45 @@ from graderoom.operators import verdict as V
 
 
 def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFrame, limits: V.Limits,
-                 ks: Sequence[int] = M.DEFAULT_KS, fast: bool = True) -> tuple[DataFrame, DataFrame]:
+                 ks: Sequence[int] = M.DEFAULT_KS, fast: bool = True,
+                 samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Executions of the split's known tasks -> per-input verdict details -> per-suite status ->
     per-sample report rows (statuses, failing inputs) -> pass@k per model and suite.
 
-    A suite without inputs passes (zero inputs, clean load); plus-correct needs base pass too."""
+    A suite without inputs passes (zero inputs, clean load); plus-correct needs base pass too.
+
+    Without ``samples`` the samples are those of the executions. With it (sample_id, task_id, model and
+    a boolean load_error, which may be null) every listed sample of the split's known tasks counts: one
+    with a load error fails, and so does one without rows in a suite that other samples of its task
+    have run, or of a task that no sample has run. So n holds samples that never ran."""
     ex = Rel.filter_subset(executions, split_ids)
     ex = ex.join(problems.select("task_id"), "task_id", "left_semi")  # unknown tasks are quarantined
     details = V.verdict_details(ex, limits, fast=fast)
     failed = V.failed_tests(details, fast=fast)
-    samples = ex.select("sample_id", "task_id", "model").distinct()
+    base_missing = plus_missing = load_error = F.lit(False)
+    if samples is None:
+        listed = ex.select("sample_id", "task_id", "model").distinct()
+    else:
+        ran = ex.groupBy("task_id").agg(F.bool_or(F.col("suite") == "base").alias("_base"),
+                                        F.bool_or(F.col("suite") == "plus").alias("_plus"))
+        listed = Rel.filter_subset(samples, split_ids).join(
+            problems.select("task_id"), "task_id", "left_semi").join(ran, "task_id", "left")
+        base_missing, plus_missing = F.coalesce("_base", F.lit(True)), F.coalesce("_plus", F.lit(True))
+        load_error = F.coalesce("load_error", F.lit(False))
     wide = failed.groupBy("sample_id").pivot("suite", ["base", "plus"]).agg(
         F.first("status").alias("status"), F.first("failed_inputs").alias("fail"))
-    report = samples.join(wide, "sample_id", "left").select(
+
+    def status(found: str, missing: Column) -> Column:
+        unrun = F.when(missing, F.lit("fail")).otherwise(F.lit("pass"))
+        return F.when(load_error, F.lit("fail")).otherwise(F.coalesce(F.col(found), unrun)).alias(found)
+
+    def failing(found: str, name: str) -> Column:
+        return F.when(load_error, F.lit("")).otherwise(F.coalesce(F.col(found), F.lit(""))).alias(name)
+
+    report = listed.join(wide, "sample_id", "left").select(
         "sample_id", "task_id", "model",
-        F.coalesce(F.col("base_status"), F.lit("pass")).alias("base_status"),
-        F.coalesce(F.col("plus_status"), F.lit("pass")).alias("plus_status"),
-        F.coalesce(F.col("base_fail"), F.lit("")).alias("base_fail_tests"),
-        F.coalesce(F.col("plus_fail"), F.lit("")).alias("plus_fail_tests"),
+        status("base_status", base_missing), status("plus_status", plus_missing),
+        failing("base_fail", "base_fail_tests"), failing("plus_fail", "plus_fail_tests"),
     )
     counts = M.task_counts(report)
     return report, M.pass_at_k(counts, ks)

@@ -2,12 +2,13 @@
 
 Scratch data (round-trip writes, lineage cuts, stream checkpoints) always lives under the
 folder the cluster names in ``spark.checkpoint.dir``. Only when that setting is absent (tests,
-local benches) do we create one ourselves.
+local benches) do we create one ourselves, and only in local mode.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="graderoom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -179,8 +179,15 @@ def load_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- reports and selections
 
 
+def _refuse_existing(spark: SparkSession, root: str, run_id: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run_id={run_id}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileExistsError(f"run {run_id} is already in {root}")
+
+
 def write_eval_report(rows: DataFrame, root: str, run_id: str) -> DataFrame:
-    """Append one run under ``run_id=<id>``; an existing run folder is never overwritten."""
+    """Add one run under ``run_id=<id>``; fails if the run is there already."""
+    _refuse_existing(rows.sparkSession, root, run_id)
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(root)
     return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
 
@@ -206,7 +213,9 @@ def load_selection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_provenance(rows: DataFrame, root: str, run_id: str) -> DataFrame:
-    """Per-sample provenance (prompt, refinement prompt, raw output) under run_id=<id>/step=<n>."""
+    """Per-sample provenance (prompt, refinement prompt, raw output) under run_id=<id>/step=<n>;
+    fails if the run is there already."""
+    _refuse_existing(rows.sparkSession, root, run_id)
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "step").parquet(root)
     return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
 
