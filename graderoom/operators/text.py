@@ -36,13 +36,16 @@ RESPONSE_PREFIX = {
 # Fixed value: terminal escape sequences.
 ANSI_ESCAPE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
+# Fixed value: the characters that str.strip, str.split and the class of blanks in Python's patterns take.
+BLANK = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 
 def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def py_strip(x: str | Column) -> Column:
-    return F.regexp_replace(c(x), r"^\s+|\s+\z", "")
+    return F.regexp_replace(c(x), rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def py_lines(x: str | Column) -> Column:
@@ -53,7 +56,7 @@ def py_lines(x: str | Column) -> Column:
 
 
 def lspace(line: Column) -> Column:
-    return F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
+    return F.length(line) - F.length(F.regexp_replace(line, rf"^{BLANK}+", ""))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -212,7 +215,7 @@ STYLE_CHARS = r"[-_#~|─┼\r\n]"
 def unique_word_ratio(x: str | Column) -> Column:
     """Styling characters to spaces, collapse whitespace, strip; distinct tokens / tokens."""
     t = F.regexp_replace(c(x), STYLE_CHARS, " ")
-    t = py_strip(F.regexp_replace(t, r"\s+", " "))
+    t = py_strip(F.regexp_replace(t, rf"{BLANK}+", " "))
     toks = F.split(t, " ", -1)
     return F.size(F.array_distinct(toks)) / F.size(toks)
 

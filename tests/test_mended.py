@@ -5,10 +5,12 @@ import math
 import pytest
 from graderoom.operators import code as C
 from graderoom.operators import relational as Rel
+from graderoom.operators import text as T
 from graderoom.operators import verdict as V
 from graderoom.plans.evaluation import evaluate_run
 from graderoom.session import scratch_path
 from graderoom.sources import io
+from graderoom.streaming.jobs import _distinct_share
 from pyspark.sql import functions as F
 
 INF, NAN = math.inf, math.nan
@@ -83,3 +85,14 @@ def test_samples_that_never_ran_fail(spark):
     report, _ = evaluate_run(ex, tasks, tasks, V.Limits(), ks=(1,), samples=samples)
     got = {r.sample_id: (r.base_status, r.plus_status) for r in report.collect()}
     assert got == {"a": ("pass", "pass"), "b": ("pass", "fail"), "c": ("fail", "fail"), "d": ("fail", "fail"), "e": ("pass", "pass")}
+
+
+def test_blanks_are_those_of_python(spark):
+    blanks = [chr(n) for n in range(0x3001) if chr(n).isspace()]
+    texts = [f"{b}{b}a{b}b a{b}" for b in blanks] + ["", "\u200ba b", "a b-a", "\u3000", "\x1fx\x1f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.py_strip("t").alias("stripped"), T.lspace(F.col("t")).alias("lead"),
+                     T.unique_word_ratio("t").alias("ratio")).collect()
+    for r in rows:
+        assert r.stripped == r.t.strip() and r.lead == len(r.t) - len(r.t.lstrip()), ascii(r.t)
+        assert r.ratio == _distinct_share(r.t), ascii(r.t)
