@@ -124,11 +124,13 @@ def reference_ladder(segments: DataFrame, task: str = "task", sol: str = "soluti
     )
 
 
-def ladder_order_check(refs: DataFrame, task: str = "task") -> DataFrame:
-    """References whose re-measured cost is below the next (faster-ranked) reference's cost."""
+def ladder_order_check(refs: DataFrame, task: str = "task", strict: bool = False) -> DataFrame:
+    """References whose re-measured cost is below the next (faster-ranked) reference's cost; with
+    ``strict`` also those whose cost equals it, as an exported ladder must fall."""
     w = Window.partitionBy(task).orderBy("ref_idx")
     nxt = F.lead("ref_cost").over(w)
-    return refs.withColumn("next_cost", nxt).where(F.col("ref_cost") < F.col("next_cost"))
+    wrong = F.col("ref_cost") <= F.col("next_cost") if strict else F.col("ref_cost") < F.col("next_cost")
+    return refs.withColumn("next_cost", nxt).where(wrong)
 
 
 def ladder_arrays(ladder: DataFrame, task: str = "task") -> DataFrame:

@@ -25,18 +25,21 @@ from graderoom.session import scratch_path
 
 def split_by_time(df: DataFrame, folder: str, ts: str, n_files: int, fmt: str = "parquet") -> None:
     """Write ``df`` as ``n_files`` time-ordered files, one write per range so that file modification
-    times follow event time (the file source picks files up in that order)."""
+    times follow event time (the file source picks files up in that order). Rows without a time are
+    in the first file; a table without times is one file."""
     df = df.checkpoint()  # computed once, then cut into files
     bounds = df.select(F.percentile_approx(F.col(ts).cast("timestamp").cast("double"),
                                            [i / n_files for i in range(1, n_files)], 1000).alias("b")).first()["b"]
-    edges = [None] + list(bounds) + [None]
+    edges = [None] + list(bounds or []) + [None]
     t = F.col(ts).cast("timestamp").cast("double")
-    for i in range(n_files):
+    for i in range(len(edges) - 1):
         cond = F.lit(True)
         if edges[i] is not None:
             cond = cond & (t > edges[i])
         if edges[i + 1] is not None:
             cond = cond & (t <= edges[i + 1])
+        if i == 0:
+            cond = cond | t.isNull()
         part = df.where(cond).coalesce(1).write.mode("append")
         getattr(part, fmt)(folder)
 

@@ -1,16 +1,18 @@
 """Edge cases of comparisons, guards, contracts, closures, reports and evaluation runs."""
 
+import datetime as dt
 import math
 
 import pytest
 from graderoom.operators import code as C
+from graderoom.operators import perf as P
 from graderoom.operators import relational as Rel
 from graderoom.operators import text as T
 from graderoom.operators import verdict as V
 from graderoom.plans.evaluation import evaluate_run
 from graderoom.session import scratch_path
 from graderoom.sources import io
-from graderoom.streaming.jobs import _distinct_share
+from graderoom.streaming.jobs import _distinct_share, split_by_time
 from pyspark.sql import functions as F
 
 INF, NAN = math.inf, math.nan
@@ -96,3 +98,19 @@ def test_blanks_are_those_of_python(spark):
     for r in rows:
         assert r.stripped == r.t.strip() and r.lead == len(r.t) - len(r.t.lstrip()), ascii(r.t)
         assert r.ratio == _distinct_share(r.t), ascii(r.t)
+
+
+def test_ladders_out_of_order(spark):
+    refs = spark.createDataFrame([("t", 0, 5.0), ("t", 1, 5.0), ("t", 2, 7.0), ("t", 3, 1.0), ("u", 0, 9.0)],
+                                 "task string, ref_idx int, ref_cost double")
+    assert [r.ref_idx for r in P.ladder_order_check(refs).collect()] == [1]
+    assert sorted(r.ref_idx for r in P.ladder_order_check(refs, strict=True).collect()) == [0, 1]
+
+
+def test_rows_without_a_time_are_kept(spark):
+    start = dt.datetime(2024, 1, 1)
+    timed = [(k, start + dt.timedelta(hours=k)) for k in range(20)]
+    for rows in (timed + [(99, None)], [(1, None), (2, None)]):
+        folder = scratch_path(spark, "times")
+        split_by_time(spark.createDataFrame(rows, "k long, ts timestamp_ntz"), folder, "ts", 4)
+        assert sorted(r.k for r in spark.read.parquet(folder).collect()) == sorted(k for k, _ in rows)
