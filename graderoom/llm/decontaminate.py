@@ -7,7 +7,7 @@ similarity of the shingles decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graderoom.llm.common import materialise, small_side, words
@@ -85,9 +85,31 @@ def _near_values() -> Column:
     return F.transform(out, lambda m: m.bitwiseXOR(F.col("b.bits")))
 
 
+def _starts(shared: DataFrame, m: Column) -> DataFrame:
+    """Adds ``starts``: where the windows of ``m`` shingles begin that share enough to reach SIMILARITY.
+
+    ``at`` has the sorted positions of the shared shingles of a text of ``size`` shingles. A window at
+    the threshold holds that many of them in any order, so some run of as many successive positions
+    lies in it; each run gives the starts that no run before it has given. A text shorter than the
+    item is one window.
+    """
+    width = F.least("size", m)
+    sized = shared.withColumns({
+        "_width": width, "_need": F.ceil(SIMILARITY * (width + m) / (1 + SIMILARITY)).cast("int")})
+    runs = F.greatest(F.size("at") - F.col("_need") + 1, F.lit(0))
+    ends = F.zip_with(F.slice("at", F.lit(1), runs), F.slice("at", F.col("_need"), runs),
+                      lambda x, y: F.struct(x.alias("first"), y.alias("last")))
+    spans = F.zip_with(ends, F.slice(F.concat(F.array(F.lit(-1)), "at"), F.lit(1), runs), lambda e, before: F.struct(
+        F.greatest(e["last"] - F.col("_width") + 1, before + 1).alias("low"),
+        F.least(e["first"], F.col("size") - F.col("_width")).alias("high")))
+    starts = F.flatten(F.transform(F.filter(spans, lambda x: x["low"] <= x["high"]),
+                                   lambda x: F.sequence(x["low"], x["high"])))
+    return sized.withColumn("starts", starts).drop("_width", "_need")
+
+
 def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Matches of the items of one shingle size: doc_id, item_id, start, n, hamming, similarity."""
-    item_shingles = items.select("item_id", "n", F.posexplode(_shingles("tokens", k)).alias("s", "h"))
+    item_shingles = items.select("item_id", "n", F.explode(_shingles("tokens", k)).alias("h"))
     prints = materialise(_fingerprints(item_shingles, ["item_id", "n"]), "leak-items")
     index = prints.select("item_id", "n", F.col("m").alias("item_m"), F.col("f").alias("item_f"),
                           F.explode(_block_values("f")).alias("b")).select(
@@ -95,30 +117,25 @@ def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     weights = item_shingles.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("w"))
 
     hashes = _shingles(words(F.lower("text")), k)
-    seeds = item_shingles.select("h", "s", "n").distinct()
-    slack = F.ceil(F.col("n") / 7).cast("int")
-    windows = (
-        docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(hashes).alias("p", "h"))
+    seeds = item_shingles.select("h", "n").distinct()
+    shared = (
+        docs.select("doc_id", F.xxhash64("text").alias("t"), hashes.alias("hashes"))
+        .select("doc_id", "t", F.size("hashes").alias("size"), F.posexplode("hashes").alias("p", "h"))
         .join(small_side(materialise(seeds, "leak-seeds")), "h")
-        .select("doc_id", "t", "n", (F.col("p") - F.col("s")).alias("at")).distinct()
-        .withColumn("start", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)))
-        .groupBy("doc_id", "t").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
+        .groupBy("doc_id", "t", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("at")))
+    windows = (
+        _starts(shared, F.col("n") - (k - 1)).where("size(starts) > 0")
+        .groupBy("doc_id", "t").agg(F.collect_list(F.struct("n", "starts")).alias("windows")))
     windows = materialise(windows.withColumnRenamed("doc_id", "w_doc").withColumnRenamed("t", "w_t"), "leak-windows")
 
-    last = F.col("size") - F.col("w.n") + (k - 1)
     spelled = (
         docs.join(small_side(windows),
                   F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.xxhash64("text") == F.col("w_t")))
         .dropDuplicates(["w_doc", "w_t"])
-        .select("doc_id", "w_t", hashes.alias("hashes"), "windows")
-        .withColumn("size", F.size("hashes"))
-        .select("doc_id", "w_t", "hashes", "size", F.explode("windows").alias("w"))
-        # windows that stick out of the text are moved inside; equal ones fall together below
-        .withColumn("start", F.greatest(F.lit(0), F.least(F.col("w.start"), last)))
-        .select("doc_id", "w_t", F.col("w.n").alias("n"), F.col("w.start").alias("asked"), "start",
-                F.explode(F.slice("hashes", F.col("start") + 1, F.greatest(F.col("w.n") - (k - 1), F.lit(1)))).alias("h")))
-    one = F.min("asked").over(Window.partitionBy("doc_id", "w_t", "n", "start"))
-    spelled = spelled.withColumn("one", one).where("asked = one").drop("asked", "one")
+        .select("doc_id", "w_t", hashes.alias("hashes"), F.explode("windows").alias("w"))
+        .select("doc_id", "w_t", "hashes", F.col("w.n").alias("n"), F.explode("w.starts").alias("start"))
+        .select("doc_id", "w_t", "n", "start",
+                F.explode(F.slice("hashes", F.col("start") + 1, F.col("n") - (k - 1))).alias("h")))
     spelled = materialise(spelled, "leak-shingles")
     window = ["doc_id", "w_t", "n", "start"]
     found = (
@@ -155,11 +172,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_id, the first word and number of words of the best window, its Hamming distance and
     similarity.
 
-    A window that can reach the threshold shares 6 of 7 shingles with the item, so only windows
-    around a shared shingle are fingerprinted, at every start that the differing words leave
-    possible; the multi-index then looks up items, whichever shingle led there. Null and empty texts
-    and items match nothing; repeated rows give one row per doc_id and item; empty tables give an
-    empty table. Item-side tables are broadcast only up to a counted number of rows.
+    A window that can reach the threshold shares 6 of 7 shingles with the item, in any order, so
+    windows are fingerprinted at every start where that many of their shingles are shared with items
+    of their size; the multi-index then looks up items, whichever shingles led there. Null and empty
+    texts and items match nothing; repeated rows give one row per doc_id and item; empty tables give
+    an empty table. Item-side tables are broadcast only up to a counted number of rows.
     """
     items = benchmark.select("item_id", words(F.lower("text")).alias("tokens")).where("size(tokens) > 0")
     items = materialise(items.withColumn("n", F.size("tokens")), "leak-benchmark")

@@ -174,3 +174,32 @@ def test_quality(docs_of, texts):
     good = quality.keep_good(docs)
     assert good.columns == docs.columns and {d for d, _ in clean} <= {r.doc_id for r in good.collect()}
     assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+def test_decontamination_finds_reordered_copies(spark, docs_of):
+    """Swapped halves move every shared shingle, yet one window has most of the item's shingles."""
+    rng = random.Random(29)
+    sizes = (50, 80, 120)
+    items = [prose(rng, n).split() for n in sizes]
+    swapped = [" ".join(prose(rng, 100).split() + w[len(w) // 2:] + w[:len(w) // 2] + prose(rng, 100).split()) for w in items]
+    thirds = items[2][80:] + items[2][40:80] + items[2][:40]
+    rows = [*enumerate(swapped), (3, " ".join(thirds)), (4, " ".join(items[2][6:])), (5, prose(rng, 400)),
+            (6, " ".join(items[0][:25]) + " " + prose(rng, 90) + " " + " ".join(items[0][25:]))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+
+    def grams(words):
+        return collections.Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+    want = {}
+    for d, text in rows:
+        words = text.split()
+        for i, item in enumerate(items):
+            own = grams(item)
+            for at in range(max(len(words) - len(item), 0) + 1):
+                window = grams(words[at:at + len(item)])
+                both = (own & window).total()
+                score = both / (own.total() + window.total() - both)
+                if score >= 0.75 and score > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = score, at
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in find_leaks(docs_of(*rows), bench).collect()}
+    assert set(want) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)} and got == want
