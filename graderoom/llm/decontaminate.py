@@ -107,8 +107,8 @@ def _starts(shared: DataFrame, m: Column) -> DataFrame:
     return sized.withColumn("starts", starts).drop("_width", "_need")
 
 
-def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Matches of the items of one shingle size: doc_id, item_id, start, n, hamming, similarity."""
+def _search(docs: DataFrame, items: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Best match per ``by`` and item of one shingle size: by, item_id, start, n, hamming, similarity."""
     item_shingles = items.select("item_id", "n", F.explode(_shingles("tokens", k)).alias("h"))
     prints = materialise(_fingerprints(item_shingles, ["item_id", "n"]), "leak-items")
     index = prints.select("item_id", "n", F.col("m").alias("item_m"), F.col("f").alias("item_f"),
@@ -157,9 +157,24 @@ def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return (
         both.withColumn("similarity", F.col("common") / (F.col("m") + F.col("item_m") - F.col("common")))
         .where(F.col("similarity") >= SIMILARITY)
-        .groupBy("doc_id", "item_id", "n")
+        .groupBy(*by, "item_id", "n")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("neg"), "hamming")).alias("best"))
-        .select("doc_id", "item_id", (-F.col("best.neg")).alias("start"), "n", "best.hamming", "best.similarity"))
+        .select(*by, "item_id", (-F.col("best.neg")).alias("start"), "n", "best.hamming", "best.similarity"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame:
+    """``find_leaks`` per ``by``: doc_id, or doc_id and w_t, the hash of the text."""
+    items = benchmark.select("item_id", words(F.lower("text")).alias("tokens")).where("size(tokens) > 0")
+    items = materialise(items.withColumn("n", F.size("tokens")), "leak-benchmark")
+    slim = docs.select("doc_id", "text")
+    parts = [_search(slim, items.where(f"n >= {WORDS}"), WORDS, by)]
+    short = [r[0] for r in items.where(f"n < {WORDS}").select("n").distinct().collect()]  # four values at most
+    for k in sorted(short):
+        parts.append(_search(slim, items.where(F.col("n") == k), k, by))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -178,20 +193,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts and items match nothing; repeated rows give one row per doc_id and item; empty tables give
     an empty table. Item-side tables are broadcast only up to a counted number of rows.
     """
-    items = benchmark.select("item_id", words(F.lower("text")).alias("tokens")).where("size(tokens) > 0")
-    items = materialise(items.withColumn("n", F.size("tokens")), "leak-benchmark")
-    slim = docs.select("doc_id", "text")
-    parts = [_search(slim, items.where(f"n >= {WORDS}"), WORDS)]
-    short = [r[0] for r in items.where(f"n < {WORDS}").select("n").distinct().collect()]  # four values at most
-    for k in sorted(short):
-        parts.append(_search(slim, items.where(F.col("n") == k), k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return _leaks(docs, benchmark, ["doc_id"])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no near copy of a benchmark item, with their columns."""
-    gone = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leak-documents")
-    return docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that hold no near copy of a benchmark item, with their columns.
+
+    All rows of a doc_id go together. Rows without a doc_id are told apart by their texts.
+    """
+    def text_of(doc_id: str, t: Column) -> Column:
+        return F.when(F.col(doc_id).isNull(), t)
+
+    found = _leaks(docs, benchmark, ["doc_id", "w_t"])
+    gone = found.select(F.col("doc_id").alias("_gone"), text_of("doc_id", F.col("w_t")).alias("_gone_t")).distinct()
+    gone = materialise(gone, "leak-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & text_of("doc_id", F.xxhash64("text")).eqNullSafe(F.col("_gone_t"))
+    return docs.join(small_side(gone), same, "left_anti")

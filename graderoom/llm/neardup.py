@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graderoom.llm import chunks as C
-from graderoom.llm.common import discard, materialise
+from graderoom.llm.common import discard, materialise, small_side
 from graderoom.llm.components import components
 from graderoom.llm.lm import word_hashes
 
@@ -317,9 +317,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but one document of each group of near duplicates."""
-    judged = materialise(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"), "near-judged")
-    gone = judged.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else left
+    """The rows of ``docs`` less all but one of each group of near duplicates.
+
+    Rows are told apart by a hash of doc_id and text, so a doc_id that is null or repeated says nothing
+    about other texts. A group keeps the row with the smallest doc_id, a null one last; rows equal in
+    doc_id and text count once. Texts without words are all kept.
+    """
+    row = F.xxhash64("doc_id", "text")
+    judged = near_duplicates(docs.select(row.alias("doc_id"), "text")).where("n_shingles > 0")
+    judged = materialise(judged.select(F.col("doc_id").alias("_row"), "component_id"), "near-judged")
+    groups = judged.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = judged.join(groups, "component_id", "left_semi").distinct()
+    named = docs.select(row.alias("_row"), "doc_id").join(members, "_row")
+    best = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("best"))
+    gone = materialise(members.join(best, "component_id").where("_row <> best").select("_row"), "near-gone")
+    left = docs.withColumn("_row", row).join(small_side(gone), "_row", "left_anti")
+    repeated = judged.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row")
+    if repeated.limit(1).count():
+        repeated = small_side(materialise(repeated, "near-repeated"))
+        once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+        left = left.join(repeated, "_row", "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -203,3 +203,24 @@ def test_decontamination_finds_reordered_copies(spark, docs_of):
                     want[d, i] = score, at
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in find_leaks(docs_of(*rows), bench).collect()}
     assert set(want) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)} and got == want
+
+
+def test_one_of_each_tells_rows_apart(docs_of):
+    """Null and repeated ids: every distinct text stays once, every copy goes."""
+    rng = random.Random(31)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c + " end"), (1, c), (2, d), (2, e), (3, e + " end"), (3, f), (4, f),
+            (0, d + " end"), (5, ""), (5, ""), (None, None), (None, None)]
+    left = one_of_each(docs_of(*rows)).collect()
+    want = [(None, a), (None, b), (1, c), (2, e), (3, f), (0, d + " end"), (5, ""), (5, ""), (None, None), (None, None)]
+    assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter(want)
+
+
+def test_leaks_of_rows_without_an_id(spark, docs_of):
+    """A leak in one row without a doc_id says nothing about the others."""
+    rng = random.Random(37)
+    item, clean = prose(rng, 40), prose(rng, 60)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = without_leaks(docs_of((None, item), (None, clean), (None, clean), (None, None), (1, item), (2, clean)), bench)
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter(
+        [(None, clean), (None, clean), (None, None), (2, clean)])
