@@ -41,18 +41,22 @@ def _spans(turns: Column, trained_role: str) -> Column:
 
 
 def gather_turns(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id and its turns in order (turn, role, text).
+    """One row per conversation: conv_id and its turns in order (role, text).
 
     A null role is 'unknown', a null text empty; turns that repeat a number follow each other by
-    role and text; a null turn number comes first. Rows without a conv_id form one conversation.
+    role and text; a null turn number comes first. Nothing says which rows without a conv_id belong
+    together, so each is a conversation of its own, with a null conv_id.
     """
-    return turns.groupBy("conv_id").agg(
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(
                 F.coalesce(F.col("turn"), F.lit(-(1 << 62))).alias("turn"),
                 F.coalesce("role", F.lit("unknown")).alias("role"),
                 F.coalesce("text", F.lit("")).alias("text")))),
             lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    alone = turns.where("conv_id is null").select("conv_id", F.array(F.struct(
+        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turns"))
+    return known.union(alone)
 
 
 def format_preferences(pairs: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -98,27 +102,32 @@ def format_preferences(pairs: DataFrame, trained_role: str = "assistant") -> Dat
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
     """Pair conversations that stand next to each other in the order of their turns' digests.
 
-    Conversations with equal opening turns are neighbours, so pairs share as long a prefix as
-    their group allows. The order is a distributed numbering, not a window over a group: an opening
-    shared by a third of all conversations spans many ranges. Numbers 2i and 2i + 1 form pair i,
-    the smaller conv_id as chosen; with an odd count the last has no rejected side.
+    ``conversations`` has conv_id, turns and a number ``_conv`` of its own for each row, by which the
+    turns are joined. Conversations with equal opening turns are neighbours, so pairs share as long a
+    prefix as their group allows. The order is a distributed numbering, not a window over a group: an
+    opening shared by a third of all conversations spans many ranges. Numbers 2i and 2i + 1 form pair
+    i, the smaller conv_id as chosen and a null one as rejected; with an odd count the last has no
+    rejected side.
     """
     opening = F.transform("turns", lambda t: F.md5(F.concat_ws("\n", t["role"], t["text"])))
-    slim = conversations.select("conv_id", F.array_join(F.slice(opening, 1, 3), "").alias("_open"), F.md5(
+    slim = conversations.select("_conv", "conv_id", F.array_join(F.slice(opening, 1, 3), "").alias("_open"), F.md5(
         F.array_join(opening, "")).alias("_all"))
     numbered = with_global_index(slim, ["_open", "_all", "conv_id"], "_at", "preference-order")
+    side = F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "_conv")
     ids = numbered.groupBy(F.expr("_at div 2").alias("pair_id")).agg(
-        F.min("conv_id").alias("chosen_id"),
-        F.when(F.count(F.lit(1)) > 1, F.max("conv_id")).alias("rejected_id"))
+        F.min(side).alias("_first"), F.when(F.count(F.lit(1)) > 1, F.max(side)).alias("_second"))
+    ids = ids.select("pair_id", F.col("_first.conv_id").alias("chosen_id"), F.col("_second.conv_id").alias("rejected_id"),
+                     F.col("_first._conv").alias("_c_conv"), F.col("_second._conv").alias("_r_conv"))
     return (
-        ids.join(conversations.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")),
-                 "chosen_id", "left")
-        .join(conversations.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected")),
-              "rejected_id", "left")
+        ids.join(conversations.select(F.col("_conv").alias("_c_conv"), F.col("turns").alias("chosen")), "_c_conv", "left")
+        .join(conversations.select(F.col("_conv").alias("_r_conv"), F.col("turns").alias("rejected")), "_r_conv", "left")
+        .drop("_c_conv", "_r_conv")
     )
 
 
 def preferences_from_turns(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Preference rows of a whole table of turns (conv_id, turn, role, text); none if it is empty."""
-    conversations = materialise(gather_turns(turns), "preference-turns")
+    # written once, so that a conversation keeps its number
+    numbered = gather_turns(turns).withColumn("_conv", F.monotonically_increasing_id())
+    conversations = materialise(numbered, "preference-turns")
     return format_preferences(pair_neighbours(conversations), trained_role)

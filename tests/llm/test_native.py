@@ -84,3 +84,20 @@ def test_preferences(spark):
     assert sorted(seen) == [0, 1, 2, 3, 4, 5, 6, 9] and sum(r.n_common == 1 for r in rows) >= 2
     assert all(t.count("<|im_end|>") == t.count("<|im_start|>") for r in rows for t in (r.chosen_text, r.rejected_text))
     assert preferences_from_turns(turns.limit(0)).count() == 0
+
+
+def test_turns_without_a_conversation_are_kept(spark):
+    """Every turn is in one output row; a null id is never paired with itself by another's id."""
+    def texts(rows):
+        return sorted(x for r in rows for side in (r.chosen, r.rejected) for x in ([t.text for t in side] if side else []))
+
+    schema = "conv_id long, turn long, role string, text string"
+    pair = spark.createDataFrame([(5, 0, "user", "five"), (None, 0, "user", "none")], schema)
+    (row,) = preferences_from_turns(pair).collect()
+    assert (row.chosen_id, row.rejected_id) == (5, None) and texts([row]) == ["five", "none"]
+    many = spark.createDataFrame(
+        [(i, t, "user", f"{i} {t}") for i in range(4) for t in range(2)]
+        + [(None, t, None if t % 2 else "user", "same" if t < 4 else f"alone {t}") for t in range(9)], schema)
+    rows = preferences_from_turns(many).collect()
+    assert texts(rows) == sorted(r.text for r in many.collect()) and len(rows) == 7
+    assert sum(r.rejected is None for r in rows) == 1
