@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from graderoom.fixtures import BASE_TABLES
 from graderoom.registry import ORACLES, QUERIES, load_all
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from graderoom.fixtures import Inputs
 from graderoom.operators import code as C
 from graderoom.operators import metrics as M
