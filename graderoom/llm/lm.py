@@ -37,9 +37,12 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in ``data``, and the text each is in."""
-    inside = ~_BLANK[data]
+def word_hashes(data: np.ndarray, edges: np.ndarray, between: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in ``data``, and the text each is in.
+
+    ``between`` says for each byte value whether it separates words.
+    """
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts_text = edges[:-1][edges[:-1] < len(data)]

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graderoom.llm import exact, quality
+from graderoom.llm import exact, quality, warc
+from graderoom.llm.clusters import CLUSTERS, DIMS, ROUNDS, SCALE, cluster_vectors, with_inertia
+from graderoom.llm.clusters import SEED as CLUSTER_SEED
 from graderoom.llm.common import materialise, table
 from graderoom.llm.decontaminate import find_leaks
+from graderoom.llm.lexical import TOP, rank_documents
 from graderoom.llm.lm import score_documents
 from graderoom.llm.mixing import SEED as MIX_SEED
 from graderoom.llm.mixing import TEMPERATURE, mix_sources
@@ -192,3 +195,92 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(str(rule) for rule in URL_RULES)
     rules = spark.sql(f"select * from values {rows} as rules(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _terms_sql(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP11_SQL = f"""
+with docs as materialized (
+  select row_number() over () as d, doc_id, {_terms_sql('text')} as terms from documents),
+corpus as (
+  select count(*)::bigint as n, sum(len(terms))::bigint as l from docs where len(terms) > 0),
+postings as materialized (
+  select d, term, count(*) as tf from (select d, unnest(terms) as term from docs) group by d, term),
+weights as (
+  select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from postings, corpus group by term, n),
+lengths as (
+  select d, doc_id, 50 + (50 * len(terms) * n) // l as m from docs, corpus where len(terms) > 0),
+items as (
+  select i, item_id, unnest(list_distinct(terms)) as term
+  from (select row_number() over () as i, item_id, {_terms_sql('text')} as terms from benchmark)),
+scores as (
+  select i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from items join postings using (term) join weights using (term) join lengths using (d) group by i, item_id, d, doc_id),
+ranked as (
+  select *, row_number() over (partition by i order by score desc, doc_id nulls last) as r from scores where score > 0)
+select item_id, r::int as rank, doc_id, score from ranked where r <= {TOP}
+"""
+
+
+@query("op11_block_max_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _cluster_sql() -> str:
+    """One CTE for the assignment and one for the means of every round."""
+    def assigned(r: int) -> str:
+        return f"""
+a{r} as materialized (
+  select p, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(c, (d, c)) as c, min(d) as d from (
+    select p, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from points, c{r}) group by p)"""
+
+    def moved(r: int) -> str:
+        return f"""
+s{r} as (
+  select c, i, sum(x)::hugeint as s, count(*)::hugeint as n from (select c, unnest(v) as x, unnest(range(1, {DIMS} + 1)) as i from a{r - 1})
+  group by c, i),
+f{r} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as m from s{r} group by c),
+c{r} as materialized (select o.c, coalesce(f.m, o.m) as m from c{r - 1} o left join f{r} f on o.c = f.c)"""
+
+    rounds = ",".join(f"{moved(r)},{assigned(r)}" for r in range(1, ROUNDS + 1))
+    return f"""
+with points as materialized (
+  select row_number() over () as p, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {DIMS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMS}),
+c0 as materialized (
+  select (row_number() over (order by h, vec_id, v) - 1)::int as c, v as m from (
+    select sha256('{CLUSTER_SEED}:' || coalesce(vec_id::varchar, '')) as h, vec_id, v from points order by h, vec_id, v limit {CLUSTERS})),
+{assigned(0).strip()},{rounds}
+select vec_id, a.c as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{ROUNDS} a join c{ROUNDS} k on a.c = k.c
+"""
+
+
+@query("op12_bisector_tournament", _cluster_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return with_inertia(assigned, centroids)
+
+
+OP13_SQL = f"""
+with p as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+b as (
+  select page_id, n, sha1(html) as digest,
+    case when n >= {warc.LEAST_BYTES} then max(page_id) over (partition by html) end as best from p)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+  case when best is distinct from page_id and best is not null then 'revisit' else 'response' end as record_type,
+  case when best is distinct from page_id then best end as refers_to from b
+"""
+
+
+@query("op13_warc_archives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(warc.write_archives(table(spark, sf_dir, "pages")))
