@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from graderoom.session import scratch_path
 #: UTF-8 bytes of text that fill a chunk; a chunk holds whole documents, at least one.
 CHUNK_BYTES = 3_000_000
 CHUNK_SCHEMA = "chunk long, n_bytes long, doc_ids array<long>, sizes array<long>, texts binary"
+CHUNK_ARROW = pa.schema({"chunk": pa.int64(), "n_bytes": pa.int64(), "doc_ids": pa.list_(pa.int64()),
+                         "sizes": pa.list_(pa.int64()), "texts": pa.binary()})
 ASK_SCHEMA = "kind int, bucket int, chunk long, keys binary, a binary, b binary"
 REPLY_SCHEMA = "kind int, bucket int, chunk long, a binary, b binary, total long, distinct long"
 
@@ -70,32 +73,33 @@ def write_chunks(docs: DataFrame, label: str) -> DataFrame:
     """
     spark = docs.sparkSession
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         packer = zstandard.ZstdCompressor(level=3)
-        ids: list = []
+        ids: list[int] = []
         texts: list[bytes] = []
         held = 0
 
-        def full() -> pd.DataFrame:
+        def full() -> pa.RecordBatch:
             sizes = [len(t) for t in texts]
-            return pd.DataFrame({"chunk": [number], "n_bytes": [sum(sizes)], "doc_ids": [ids], "sizes": [sizes],
-                                 "texts": [packer.compress(b"".join(texts))]})
+            return pa.RecordBatch.from_pydict(
+                {"chunk": [number], "n_bytes": [sum(sizes)], "doc_ids": [ids], "sizes": [sizes],
+                 "texts": [packer.compress(b"".join(texts))]}, schema=CHUNK_ARROW)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                if held and held + len(raw) > CHUNK_BYTES:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                size = len(text.as_buffer()) if text.is_valid else 0
+                if held and held + size > CHUNK_BYTES:
                     yield full()
                     number, held, ids, texts = number + 1, 0, [], []
-                ids.append(int(doc))
-                texts.append(raw)
-                held += len(raw) + 1
+                ids.append(doc)
+                texts.append(text.as_py() if size else b"")
+                held += size + 1
         if ids:
             yield full()
 
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(build, CHUNK_SCHEMA)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                       F.col("text").cast("binary").alias("text")).mapInArrow(build, CHUNK_SCHEMA)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"chunks_{label}_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "chunk").format("parquet").option("path", scratch_path(spark, label)).saveAsTable(name)

@@ -74,9 +74,14 @@ def with_global_index(df: DataFrame, order: list[str], name: str, label: str) ->
     )
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def small_side(df: DataFrame, rows: int = 100_000, values: Column | None = None) -> DataFrame:
     """Broadcast a join side only if it has been counted and has at most ``rows`` rows.
 
-    Beyond the bound the side is left to a shuffled join, whose skewed partitions AQE splits.
+    Where rows hold arrays, ``values`` is their number of values in a row, and ten times ``rows`` of them are
+    allowed at most. Beyond a bound the side is left to a shuffled join, whose skewed partitions AQE splits.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if values is not None and (df.agg(F.sum(values)).first()[0] or 0) > 10 * rows:
+        return df
+    return F.broadcast(df)

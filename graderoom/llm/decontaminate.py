@@ -129,7 +129,8 @@ def _search(docs: DataFrame, items: DataFrame, k: int, by: list[str]) -> DataFra
     windows = materialise(windows.withColumnRenamed("doc_id", "w_doc").withColumnRenamed("t", "w_t"), "leak-windows")
 
     spelled = (
-        docs.join(small_side(windows),
+        docs.join(small_side(windows, values=F.aggregate(
+            "windows", F.lit(0).cast("long"), lambda n, w: n + F.size(w["starts"]) + 1)),
                   F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.xxhash64("text") == F.col("w_t")))
         .dropDuplicates(["w_doc", "w_t"])
         .select("doc_id", "w_t", hashes.alias("hashes"), F.explode("windows").alias("w"))
@@ -199,13 +200,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no near copy of a benchmark item, with their columns.
 
-    All rows of a doc_id go together. Rows without a doc_id are told apart by their texts.
+    Rows are told apart by doc_id and text: a clean text that shares a leak's doc_id, or like it has none, stays.
     """
-    def text_of(doc_id: str, t: Column) -> Column:
-        return F.when(F.col(doc_id).isNull(), t)
-
-    found = _leaks(docs, benchmark, ["doc_id", "w_t"])
-    gone = found.select(F.col("doc_id").alias("_gone"), text_of("doc_id", F.col("w_t")).alias("_gone_t")).distinct()
-    gone = materialise(gone, "leak-documents")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & text_of("doc_id", F.xxhash64("text")).eqNullSafe(F.col("_gone_t"))
-    return docs.join(small_side(gone), same, "left_anti")
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
+    gone = materialise(_leaks(docs, benchmark, ["doc_id", "w_t"]).select("doc_id", "w_t").distinct(), "leak-documents")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("w_t"))
+    return plain.join(small_side(gone), same, "left_anti").select("_row.*")

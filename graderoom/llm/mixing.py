@@ -51,27 +51,43 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["cdf"])
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame | None = None, temperature: float = TEMPERATURE,
-                total: int | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """Repeat every document a Poisson number of times with its source's rate as mean, and shuffle.
-
-    The number is the inverse of the Poisson distribution at a hash of (seed, key): the same
-    document gets the same number wherever and whenever it is computed. Adds copy (from 1),
-    n_copies and shuffle_key; the rows are sorted by shuffle_key over all partitions. Documents
-    with the number 0 go. Rows that repeat a key get the same number; a null key hashes as 'null';
-    a null source is the source ''. A source with rate 0 gives no rows; an empty table gives none.
-    """
+def _repeated(docs: DataFrame, targets: DataFrame | None, temperature: float, total: int | None, seed: int,
+              key: str) -> DataFrame:
+    """_row (the document), n_copies, copy and shuffle_key of every copy, in the shuffled order."""
     rates = source_rates(docs, targets, temperature, total).where("_rate > 0")
     rates = materialise(rates.select("_source", poisson_cdf(F.col("_rate")).alias("_cdf")), "mix-rates")
-    plain = docs.drop("copy", "n_copies", "shuffle_key").withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-    draw = _uniform(F.lit(str(seed)), F.col(key).cast("string"))
+    name = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("source"), F.lit("")).alias("_source"),
+                        name.alias("_name"))
     repeated = (
         plain.join(small_side(rates), "_source")
-        .withColumn("_u", draw)
+        .withColumn("_u", _uniform(F.lit(str(seed)), F.col("_name")))
         .withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-        .drop("_cdf", "_u", "_source")
+        .select("_row", "_name", "n_copies")
         .where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy")))
-    return repeated.withColumn("shuffle_key", F.substring(order, 1, 16)).orderBy("shuffle_key", "copy")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), "_name", "copy"))
+    return repeated.withColumn("shuffle_key", F.substring(order, 1, 16)).drop("_name").orderBy("shuffle_key", "copy")
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame | None = None, temperature: float = TEMPERATURE,
+                total: int | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """Repeat every document a Poisson number of times with its source's rate as mean, and shuffle.
+
+    The number is the inverse of the Poisson distribution at a hash of (seed, key): the same
+    document gets the same number wherever and whenever it is computed. Adds copy (from 1),
+    n_copies and shuffle_key, in place of columns of these names; the rows are sorted by shuffle_key over
+    all partitions. Documents with the number 0 go. Rows that repeat a key get the same number; a document
+    without a key goes by the MD5 of its text, so such documents are drawn each for itself. A null source is the
+    source ''. A source with rate 0 gives no rows; an empty table gives none.
+    """
+    added = ["n_copies", "copy", "shuffle_key"]
+    rows = _repeated(docs, targets, temperature, total, seed, key)
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
+
+
+def mixed_rows(docs: DataFrame, targets: DataFrame | None = None, temperature: float = TEMPERATURE,
+               total: int | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """``mix_sources`` with the columns of ``docs`` alone, whatever they are called."""
+    return _repeated(docs, targets, temperature, total, seed, key).select("_row.*")

@@ -81,11 +81,13 @@ def _ratio(top: str, bottom: str) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """All columns plus _q (the counts), base_failed, and the vector _x in fixed point."""
     n, repeat = F.col("_q.n_words"), F.col("_q.n_repeat_words")
+    # declared as such, or a filter on its result would be pushed below and count every text again
+    counts = F.pandas_udf(_statistics, STATS).asNondeterministic()
     values = [F.log(F.greatest(F.col("_q.word_chars"), F.lit(1)) / F.greatest(n, F.lit(1))),
               _ratio("n_symbols", "word_chars"), _ratio("n_dup_lines", "n_lines"),
               _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "word_chars")]
     return (
-        docs.withColumn("_q", F.pandas_udf(_statistics, STATS)("text"))
+        docs.withColumn("_q", counts("text"))
         .withColumn("base_failed", (n < MIN_WORDS) | (100 * repeat > 50 * n))
         .withColumn("_x", F.array(*[F.round(v * STEPS).cast("long") for v in values]))
     )

@@ -84,7 +84,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 with docs as (
-  select doc_id, coalesce(source, '') as source from documents),
+  select doc_id, coalesce(source, '') as source, coalesce(doc_id::varchar, md5(coalesce(text, ''))) as name,
+    row_number() over () as r from documents),
 sizes as (
   select source, count(*) as n, pow(count(*)::double, {TEMPERATURE}) as w from docs group by source),
 rates as (
@@ -97,14 +98,14 @@ logs as (
 cdf as (
   select source, k, sum(exp(k * ln(rate) - rate - fact)) over (partition by source order by k) as c from logs),
 draws as (
-  select doc_id, source,
-    (('0x' || substr(md5('{MIX_SEED}:' || doc_id::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  select r, doc_id, name, source,
+    (('0x' || substr(md5('{MIX_SEED}:' || name), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from docs),
 counts as (
-  select doc_id, d.source, count(*)::int as n_copies
-  from draws d join cdf on d.source = cdf.source and cdf.c <= d.u group by doc_id, d.source)
+  select r, doc_id, name, d.source, count(*)::int as n_copies
+  from draws d join cdf on d.source = cdf.source and cdf.c <= d.u group by r, doc_id, name, d.source)
 select doc_id, source, n_copies, copy::int as copy,
-  substr(md5('{MIX_SEED + 1}:' || doc_id::varchar || ':' || copy::varchar), 1, 16) as shuffle_key
+  substr(md5('{MIX_SEED + 1}:' || name || ':' || copy::varchar), 1, 16) as shuffle_key
 from counts, lateral (select unnest(range(1, n_copies + 1)) as copy)
 """
 

@@ -155,7 +155,8 @@ def test_decontamination(spark, docs_of):
     got = {(r.doc_id, r.item_id): r for r in find_leaks(docs_of(*rows), bench).collect()}
     assert set(got) == {(2, 1), (3, 1), (7, 5), (None, 2)}
     assert got[(2, 1)].start == 70 and got[(2, 1)].similarity == 1.0 and got[(2, 1)].hamming == 0
-    assert {r.doc_id for r in without_leaks(docs_of(*rows), bench).collect()} == {1, 4, 5, 6}
+    left = [(r.doc_id, r.text) for r in without_leaks(docs_of(*rows), bench).collect()]
+    assert sorted(left, key=str) == sorted([rows[k][:2] for k in (0, 3, 4, 5, 7)], key=str)
     assert find_leaks(docs_of().limit(0), bench).count() == 0
     assert find_leaks(docs_of(*rows), bench.limit(0)).count() == 0
 
