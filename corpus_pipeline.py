@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graderoom.llm import mixing, neardup, quality, tokens
 from graderoom.llm.common import materialise, table
@@ -33,13 +34,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to the sources' target weights, in a global shuffle."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs token ids in the shuffled order, which is that of the written files and their rows."""
-    ordered = docs.select("*", "_metadata.file_name", "_metadata.row_index")
-    return tokens.encode_documents(ordered, public_tokenizers.path(TOKENIZER), ["file_name", "row_index"])
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    ordered = docs.select("doc_id", "text", *place)
+    return tokens.encode_documents(ordered, public_tokenizers.path(TOKENIZER), ["_file", "_index"])
 
 
 STAGES = [
