@@ -71,17 +71,24 @@ def q_seed_sample(spark, sf_dir):
 
 
 @register("novel_inputs", cte("f7_values") + """,
-c as (select task_id, kind, cast(cast(value_text as bigint) + seed_id % 3 - 1 as varchar) as value_text, seed_id as cand_id
-      from f7_values where kind = 'int'),
+c as (select task_id, kind, seed_id as cand_id,
+             case kind when 'int' then cast(try_cast(value_text as bigint) + seed_id % 3 - 1 as varchar)
+                       when 'str' then value_text || (case when seed_id % 3 = 1 then '' else ' more' end)
+                       when 'list' then (case when seed_id % 3 = 1 then value_text else '[1,' || substr(value_text, 2) end)
+                       else (case when seed_id % 3 = 1 then value_text else '-' || value_text end) end as value_text
+      from f7_values),
 f as (select * from c where not exists (select 1 from f7_values p where p.task_id = c.task_id and p.value_text = c.value_text)),
 d as (select *, row_number() over (partition by task_id, value_text order by cand_id) as rd from f),
 r as (select *, row_number() over (partition by task_id order by cand_id) as rn from d where rd = 1)
 select task_id, value_text, cand_id from r where rn <= 5""")
 def q_novel_inputs(spark, sf_dir):
     v = Inputs(spark, sf_dir).v("f7_values")
-    c = v.where(F.col("kind") == "int").select(
-        "task_id", "kind", (F.col("value_text").cast("bigint") + F.col("seed_id") % 3 - 1).cast("string").alias("value_text"),
-        F.col("seed_id").alias("cand_id"))
+    text, same = F.col("value_text"), F.col("seed_id") % 3 == 1
+    changed = (F.when(F.col("kind") == "int", (text.try_cast("bigint") + F.col("seed_id") % 3 - 1).cast("string"))
+               .when(F.col("kind") == "str", F.when(same, text).otherwise(F.concat(text, F.lit(" more"))))
+               .when(F.col("kind") == "list", F.when(same, text).otherwise(F.concat(F.lit("[1,"), F.substring(text, 2, 1 << 30))))
+               .otherwise(F.when(same, text).otherwise(F.concat(F.lit("-"), text))))
+    c = v.select("task_id", "kind", changed.alias("value_text"), F.col("seed_id").alias("cand_id"))
     return I.novel_inputs(c, v, 5).select("task_id", "value_text", "cand_id")
 
 

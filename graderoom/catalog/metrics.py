@@ -113,8 +113,8 @@ def q_top_n_models(spark, sf_dir):
 @register("sample_completeness", cte("f0_problems", "f1_samples") + """,
 c as (select task_id, count(*) as n from f1_samples group by task_id),
 j as (select p.task_id, coalesce(c.n, 0) as n from f0_problems p left join c using (task_id))
-select count(*) as n_tasks, count(*) filter (where n >= 1150) as n_done, count(*) filter (where n < 1150) as n_incomplete,
-       count(*) filter (where n <= 1150) as n_done_inverted from j""")
+select count(*) as n_tasks, count(*) filter (where n >= 120) as n_done, count(*) filter (where n < 120) as n_incomplete,
+       count(*) filter (where n <= 120) as n_done_inverted from j""")
 def q_sample_completeness(spark, sf_dir):
     x = Inputs(spark, sf_dir)
-    return M.sample_completeness(x.v("f0_problems"), x.v("f1_samples"), 1150)
+    return M.sample_completeness(x.v("f0_problems"), x.v("f1_samples"), 120)

@@ -118,15 +118,25 @@ def q_audit_columns(spark, sf_dir):
 
 
 @register("guard_int64_and_size", cte("f7_values") + """,
-c as (select seed_id, case when seed_id % 7 = 0 then value_text || '99999999999999999999' else value_text end as value_text
-      from f7_values where kind = 'int')
-select seed_id, try_cast(value_text as bigint) as int_value from c
-where try_cast(value_text as bigint) is not null and strlen(value_text) <= 67108864""")
+c as (select seed_id, kind, seed_id % 7 = 0 as large, case when seed_id % 7 = 0 then
+             case kind when 'int' then value_text || '99999999999999999999'
+                       when 'list' then (case seed_id % 3 when 0 then '(' || substr(value_text, 2, length(value_text) - 2) || ', 99999999999999999999)'
+                                                          when 1 then '{1: ' || value_text || ', 2: -99999999999999999999}'
+                                                          else '[' || value_text || ', [99999999999999999999]]' end)
+                       when 'str' then '["' || value_text || ' 99999999999999999999"]' else value_text end else value_text end as value_text
+      from f7_values)
+select seed_id, kind, value_text, case when kind = 'int' then cast(value_text as bigint) end as int_value from c
+where not (large and kind in ('int', 'list')) and strlen(value_text) <= 67108864""")
 def q_guard_int64(spark, sf_dir):
-    v = Inputs(spark, sf_dir).v("f7_values").where(F.col("kind") == "int")
-    v = v.select("seed_id", F.when(F.col("seed_id") % 7 == 0, F.concat("value_text", F.lit("99999999999999999999")))
-                 .otherwise(F.col("value_text")).alias("value_text"))
-    return Rel.guard_int64_and_size(v).select("seed_id", "int_value")
+    v, text, big = Inputs(spark, sf_dir).v("f7_values"), F.col("value_text"), F.lit("99999999999999999999")
+    inside = F.substring(text, F.lit(2), F.length(text) - 2)
+    lists = (F.when(F.col("seed_id") % 3 == 0, F.concat(F.lit("("), inside, F.lit(", "), big, F.lit(")")))
+             .when(F.col("seed_id") % 3 == 1, F.concat(F.lit("{1: "), text, F.lit(", 2: -"), big, F.lit("}")))
+             .otherwise(F.concat(F.lit("["), text, F.lit(", ["), big, F.lit("]]"))))
+    large = (F.when(F.col("kind") == "int", F.concat(text, big)).when(F.col("kind") == "list", lists)
+             .when(F.col("kind") == "str", F.concat(F.lit('["'), text, F.lit(" "), big, F.lit('"]'))).otherwise(text))
+    v = v.select("seed_id", "kind", F.when(F.col("seed_id") % 7 == 0, large).otherwise(text).alias("value_text"))
+    return Rel.guard_int64_and_size(v).select("seed_id", "kind", "value_text", "int_value")
 
 
 def contract_rules(x: Inputs):
@@ -153,7 +163,7 @@ def q_contract_filter(spark, sf_dir):
     return Rel.contract_filter(x.v("f7_values"), contract_rules(x))
 
 
-_FLOAT_RE = r"-?[0-9]+\.[0-9]*([eE][-+]?[0-9]+)?"
+_FLOAT_RE = r"-?([0-9]+\.[0-9]*([eE][-+]?[0-9]+)?|[0-9]+[eE][-+]?[0-9]+|[iI]nf(inity)?|NaN|nan)"
 _FLOAT_LIST_RE = rf"^\[\s*{_FLOAT_RE}(\s*,\s*{_FLOAT_RE})*\s*\]$"
 
 
@@ -246,16 +256,17 @@ def q_attach_accuracy(spark, sf_dir):
 @register("generation_worklist", cte("f0_problems", "f1_samples") + """,
 c as (select task_id, count(*) as existing from f1_samples group by task_id),
 j as (select p.task_id, coalesce(c.existing, 0) as existing from f0_problems p left join c using (task_id))
-select task_id, unnest(range(existing, 1150)) as sample_idx from j where existing < 1150""")
+select task_id, unnest(range(existing, 120)) as sample_idx from j where existing < 120""")
 def q_generation_worklist(spark, sf_dir):
     x = Inputs(spark, sf_dir)
-    return Rel.generation_worklist(x.v("f0_problems"), x.v("f1_samples"), 1150)
+    return Rel.generation_worklist(x.v("f0_problems"), x.v("f1_samples"), 120)
 
 
 @register("pad_samples", cte("f3_generations") + """,
 slots as (select task_id, cast(unnest(range(0, 4)) as integer) as step from (select distinct task_id from f3_generations))
 select s.task_id, s.step, coalesce(g.solution, '') as solution
-from slots s left join f3_generations g on g.task_id = s.task_id and g.step = s.step""")
+from slots s left join f3_generations g on g.task_id = s.task_id and g.step = s.step
+union all select task_id, cast(step as integer), coalesce(solution, '') from f3_generations where step >= 4""")
 def q_pad_samples(spark, sf_dir):
     return Rel.pad_samples(Inputs(spark, sf_dir).v("f3_generations"), 4)
 

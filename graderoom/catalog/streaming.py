@@ -56,11 +56,11 @@ def q_stream_task_counts(spark, sf_dir):
 
 
 @register("stream_completeness", cte("f0_problems", "f1_samples") + """
-select task_id, count(*) as received, greatest(1150 - count(*), 0) as remaining
+select task_id, count(*) as received, greatest(120 - count(*), 0) as remaining
 from f1_samples where task_id in (select task_id from f0_problems) group by task_id""")
 def q_stream_completeness(spark, sf_dir):
     problems = Inputs(spark, sf_dir).v("f0_problems")
-    agg = S.completeness(f1_stream(spark, sf_dir, "complete"), problems, 1150)
+    agg = S.completeness(f1_stream(spark, sf_dir, "complete"), problems, 120)
     return S.run_update(agg, ["task_id"], "complete")
 
 

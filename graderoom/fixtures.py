@@ -16,8 +16,9 @@ BASE_TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Problem catalog: one problem per part. F0 is its slice of tasks 3..54 so that F1 (tasks 0..52)
-# contains tasks unknown to the dataset and the dataset contains tasks without samples.
+# F0, the problem catalog: one problem per part. Samples are of the task numbered a quarter of their part (F1)
+# or a sixty-fourth of their order (F2), so tasks grow with the tables; every 17th of these tasks is moved
+# beyond all parts. So F1 and F2 have tasks unknown to the dataset, and the dataset has tasks without samples.
 _PROBLEM_COLUMNS = """
 select concat('Task/', cast(p_partkey as string)) as task_id,
        concat('def f_', cast(p_partkey as string), '(x):') as prompt,
@@ -31,13 +32,19 @@ from part"""
 _ROWNUM_LINEITEM = """(select *, row_number() over (partition by l_orderkey, l_linenumber
         order by l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from lineitem)"""
 
+
+def _task(key: str, share: int) -> str:
+    number = f"cast(floor({key} / {share}) as bigint)"
+    return f"concat('Task/', cast({number} + case when {number} % 17 = 0 then 1000000000 else 0 end as string))"
+
+
 VIEWS: dict[str, str] = {
     "problems_catalog": _PROBLEM_COLUMNS,
-    "f0_problems": _PROBLEM_COLUMNS + "\nwhere p_partkey between 3 and 54",
+    "f0_problems": _PROBLEM_COLUMNS,
     "f1_samples": f"""
 select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(rn as string)) as sample_id,
        concat('m', cast(l_suppkey % 4 as string)) as model,
-       concat('Task/', cast(l_partkey % 53 as string)) as task_id,
+       {_task("l_partkey", 4)} as task_id,
        case when l_returnflag = 'N' then 'pass' when l_returnflag = 'R' then 'timeout' else 'fail' end as base_status,
        case when l_linestatus = 'F' then 'pass' else 'fail' end as plus_status
 from {_ROWNUM_LINEITEM} t""",
@@ -47,7 +54,7 @@ select sample_id, suite, task_id,
        expected, actual, expected_is_float, atol, ref_time, run_time
 from (select cast(l_orderkey as string) as sample_id, l_linenumber, rn,
        case when l_linestatus = 'F' then 'base' else 'plus' end as suite,
-       concat('Task/', cast(l_orderkey % 53 as string)) as task_id,
+       {_task("l_orderkey", 64)} as task_id,
        l_extendedprice as expected,
        case l_partkey % 16 when 0 then l_extendedprice + 1 when 1 then null
             when 2 then l_extendedprice * (1 + 0.00000005) when 3 then l_extendedprice + 0.0000005
@@ -91,7 +98,7 @@ select p_partkey as text_id, concat('f_', cast(p_partkey % 200 as string)) as en
               '```', chr(10), 'Hope this helps', chr(10), 'print(1)') as text
 from part""",
     "f7_values": """
-select concat('Task/', cast(p_partkey % 53 as string)) as task_id, p_partkey as seed_id,
+select concat('Task/', cast(cast(floor(p_partkey / 8) as bigint) as string)) as task_id, p_partkey as seed_id,
        case p_partkey % 4 when 0 then 'int' when 1 then 'float' when 2 then 'str' else 'list' end as kind,
        case p_partkey % 4 when 0 then cast(p_size as string)
             when 1 then cast(cast(p_size as double) / 4 as string)

@@ -82,24 +82,25 @@ def audit_columns(df: DataFrame, cols: Sequence[str] = REQUIRED_PROBLEM_COLUMNS)
 
 
 MAX_VALUE_BYTES = 64 * 1024 * 1024
+CONTAINER_TEXT = r"^\s*[\[({]"
 INTEGER_TEXT = r"^\s*[-+]?[0-9]+\s*$"
 QUOTED_TEXT = r"\"[^\"]*\"|'[^']*'"
 INTEGER_ELEMENT = r"(?<![\w.+-])([-+]?[0-9]+)(?![\w.])"
 
 
-def guard_int64_and_size(df: DataFrame, text: str = "value_text") -> DataFrame:
-    """Drop integers, and lists with an integer element, that do not fit a signed 64-bit integer, and
-    values whose text exceeds 64 MB or is null. Other values pass. ``int_value`` is the value of an
-    integer, else null."""
+def guard_int64_and_size(df: DataFrame, text: str = "value_text", max_bytes: int = MAX_VALUE_BYTES) -> DataFrame:
+    """Drop integers, and lists, tuples, sets and dicts with an integer in them, that do not fit a signed
+    64-bit integer, and values whose text exceeds ``max_bytes`` or is null. Other values pass.
+    ``int_value`` is the value of an integer, else null."""
     col = F.col(text)
     v = F.when(col.rlike(INTEGER_TEXT), F.trim(col).try_cast("bigint"))
     unquoted = F.regexp_replace(col, QUOTED_TEXT, "")
     elements = F.regexp_extract_all(unquoted, F.lit(INTEGER_ELEMENT), F.lit(1))
     fits = (
         F.when(col.rlike(INTEGER_TEXT), v.isNotNull())
-        .when(F.ltrim(col).startswith("["), F.forall(elements, lambda x: x.try_cast("bigint").isNotNull()))
+        .when(col.rlike(CONTAINER_TEXT), F.forall(elements, lambda x: x.try_cast("bigint").isNotNull()))
         .otherwise(F.lit(True)))
-    return df.where(fits & (F.octet_length(col) <= MAX_VALUE_BYTES)).withColumn("int_value", v)
+    return df.where(fits & (F.octet_length(col) <= max_bytes)).withColumn("int_value", v)
 
 
 def contract_filter(candidates: DataFrame, rules: DataFrame, key: str = "task_id") -> DataFrame:
@@ -131,7 +132,7 @@ def contract_filter(candidates: DataFrame, rules: DataFrame, key: str = "task_id
     return j.where(ok).select(*candidates.columns)
 
 
-FLOAT_TEXT = r"-?[0-9]+\.[0-9]*([eE][-+]?[0-9]+)?"
+FLOAT_TEXT = r"-?([0-9]+\.[0-9]*([eE][-+]?[0-9]+)?|[0-9]+[eE][-+]?[0-9]+|[iI]nf(inity)?|NaN|nan)"
 FLOAT_LIST_TEXT = rf"^\[\s*{FLOAT_TEXT}(\s*,\s*{FLOAT_TEXT})*\s*\]$"
 
 
@@ -192,10 +193,10 @@ def worklist_complete(worklist: DataFrame) -> bool:
 
 
 def pad_samples(samples: DataFrame, n: int, key: str = "task_id", idx: str = "step", text: str = "solution") -> DataFrame:
-    """Every task gets exactly n rows 0..n-1; missing ones carry empty text."""
+    """Every task gets rows 0..n-1; missing ones carry empty text. Rows it has beyond them stay."""
     slots = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(idx))
     have = samples.select(key, F.col(idx).cast("int").alias(idx), text)
-    return slots.join(have, [key, idx], "left").select(key, idx, F.coalesce(F.col(text), F.lit("")).alias(text))
+    return slots.join(have, [key, idx], "full").select(key, idx, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
 def resume_finished(todo: DataFrame, finished: DataFrame, key_and_config: Sequence[str]) -> DataFrame:

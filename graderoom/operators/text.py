@@ -44,8 +44,13 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Fixed value: the same characters one by one.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(x: str | Column) -> Column:
-    return F.regexp_replace(c(x), rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c(x), F.lit(BLANKS))
 
 
 def py_lines(x: str | Column) -> Column:
@@ -209,14 +214,15 @@ def insert_contract(code: str | Column, entry_point: str | Column, contract: str
 # ---------------------------------------------------------------- repetition / unicode
 
 
-STYLE_CHARS = r"[-_#~|─┼\r\n]"
+# Fixed value: styling characters that separate words.
+STYLE_CHARS = "-_#~|─┼\r\n"
 
 
 def unique_word_ratio(x: str | Column) -> Column:
     """Styling characters to spaces, collapse whitespace, strip; distinct tokens / tokens."""
-    t = F.regexp_replace(c(x), STYLE_CHARS, " ")
-    t = py_strip(F.regexp_replace(t, rf"{BLANK}+", " "))
-    toks = F.split(t, " ", -1)
+    blanks = STYLE_CHARS + BLANKS
+    t = F.translate(c(x), blanks, " " * len(blanks))
+    toks = F.split(F.btrim(F.regexp_replace(t, "  +", " "), F.lit(" ")), " ", -1)
     return F.size(F.array_distinct(toks)) / F.size(toks)
 
 
