@@ -21,16 +21,18 @@ N_FILES = 8
 def f1_stream(spark, sf_dir, label):
     s = Inputs(spark, sf_dir).v("f1_samples")
     folder = scratch_path(spark, label + "-src")
-    S.split_by_key(s, folder, F.col("sample_id"), N_FILES, "json")
+    S.write_in_order(s, folder, N_FILES, F.xxhash64("sample_id"), fmt="json")
     return S.file_stream(spark, folder, s.schema, "json", files_per_batch=2)
 
 
-def events_stream(spark, sf_dir, label, with_copies=False):
+def events_stream(spark, sf_dir, label, with_copies=False, closed=False):
     e = Inputs(spark, sf_dir).t("events").select("event_id", "ts", "user_id", "props")
     if with_copies:
         e = e.unionByName(e.where(F.col("event_id") % 10 == 0))  # re-sent events
+    if closed:  # the watermark passes the last windows and sessions
+        e = S.close_input(e, "ts", "3 hours")
     folder = scratch_path(spark, label + "-src")
-    S.split_by_time(e, folder, "ts", N_FILES)
+    S.write_in_order(e, folder, N_FILES, "ts")
     return S.file_stream(spark, folder, e.schema, files_per_batch=2)
 
 
@@ -55,6 +57,18 @@ def q_stream_task_counts(spark, sf_dir):
     return S.run_update(agg, ["model", "task_id"], "counts")
 
 
+@register("stream_pass_at_k", cte("f1_samples") + """,
+l as (select model, task_id, count(*) as n, count(*) filter (where base_status = 'pass') as c from f1_samples group by model, task_id),
+k as (select cast(unnest([1, 5, 10]) as integer) as k)
+select model, 'base' as suite, k, round(avg(case when n - c < k then 1.0
+         else 1.0 - list_reduce(list_transform(range(k), lambda j: (n - c - j) / (n - j)), lambda x, y: x * y) end), 6) as pass_at_k
+from l, k group by model, k having min(n) >= k""")
+def q_stream_pass_at_k(spark, sf_dir):
+    changes = S.run_changes(S.running_counts(f1_stream(spark, sf_dir, "live")), "live")
+    live = S.live_pass_at_k(changes, (1, 5, 10)).where("suite = 'base'")
+    return live.select("model", "suite", "k", r6("pass_at_k").alias("pass_at_k"))
+
+
 @register("stream_completeness", cte("f0_problems", "f1_samples") + """
 select task_id, count(*) as received, greatest(120 - count(*), 0) as remaining
 from f1_samples where task_id in (select task_id from f0_problems) group by task_id""")
@@ -67,9 +81,9 @@ def q_stream_completeness(spark, sf_dir):
 @register("stream_throughput", """
 with w as (select time_bucket(interval '60 seconds', ts) as ws, cast(sum(octet_length(encode(props))) as bigint) as chars from events group by 1)
 select strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start, chars, round(chars / 60, 6) as chars_per_sec
-from w where ws + interval '60 seconds' <= (select max(ts) from events) - interval '1 hour'""")
+from w where ws is not null""")
 def q_stream_throughput(spark, sf_dir):
-    s = events_stream(spark, sf_dir, "throughput")
+    s = events_stream(spark, sf_dir, "throughput", closed=True)
     out = S.run_append(S.throughput(s, "ts", F.octet_length("props")), "throughput")
     return out.select("window_start", "chars", r6("chars_per_sec").alias("chars_per_sec"))
 
@@ -81,14 +95,13 @@ with e as (select user_id, ts, case when lag(ts) over (partition by user_id orde
 s as (select user_id, ts, sum(brk) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as sid from e),
 g as (select user_id, min(ts) as st, max(ts) + interval '10 minutes' as en, count(*) as n_events from s group by user_id, sid)
 select user_id, strftime(st, '%Y-%m-%d %H:%M:%S.%f') as session_start, strftime(en, '%Y-%m-%d %H:%M:%S.%f') as session_end, n_events
-from g where en <= (select max(ts) from events) - interval '1 hour'""")
+from g where st is not null""")
 def q_stream_stall_detect(spark, sf_dir):
-    s = events_stream(spark, sf_dir, "sessions")
-    return S.run_append(S.sessions(s, "user_id", "ts"), "sessions")
+    s = events_stream(spark, sf_dir, "stalls", closed=True)
+    return S.run_append(S.stalls(s, "user_id", "ts"), "stalls")
 
 
 CHUNK = 2000
-CHUNKS_PER_FILE = 8
 
 
 @register("stream_repetition_state", f"""
@@ -101,11 +114,8 @@ def q_stream_repetition_state(spark, sf_dir):
     chunks = d.select("doc_id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / CHUNK).cast("int") - 1, F.lit(0))),
         lambda i: F.substring("text", i * CHUNK + 1, CHUNK))).alias("chunk_idx", "chunk"))
-    max_idx = chunks.agg(F.max("chunk_idx")).first()[0] or 0
     folder = scratch_path(spark, "guard-src")
-    for lo in range(0, max_idx + 1, CHUNKS_PER_FILE):  # chunk order across files = arrival order
-        chunks.where((F.col("chunk_idx") >= lo) & (F.col("chunk_idx") < lo + CHUNKS_PER_FILE)) \
-            .coalesce(1).write.mode("append").parquet(folder)
-    stream = S.file_stream(spark, folder, chunks.schema)
+    S.write_in_order(chunks, folder, N_FILES, F.xxhash64("doc_id", "chunk_idx"))  # chunks come in no order
+    stream = S.file_stream(spark, folder, chunks.schema, files_per_batch=2)
     out = S.run_update(S.repetition_guard(stream), ["doc_id"], "guard")
     return out.select("doc_id", "cancelled", "cancel_at", "received")

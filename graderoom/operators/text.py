@@ -218,10 +218,15 @@ def insert_contract(code: str | Column, entry_point: str | Column, contract: str
 STYLE_CHARS = "-_#~|─┼\r\n"
 
 
+def spaced(x: str | Column) -> Column:
+    """The text with every blank and styling character as one space."""
+    blanks = STYLE_CHARS + BLANKS
+    return F.translate(c(x), blanks, " " * len(blanks))
+
+
 def unique_word_ratio(x: str | Column) -> Column:
     """Styling characters to spaces, collapse whitespace, strip; distinct tokens / tokens."""
-    blanks = STYLE_CHARS + BLANKS
-    t = F.translate(c(x), blanks, " " * len(blanks))
+    t = spaced(x)
     toks = F.split(F.btrim(F.regexp_replace(t, "  +", " "), F.lit(" ")), " ", -1)
     return F.size(F.array_distinct(toks)) / F.size(toks)
 

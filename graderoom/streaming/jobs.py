@@ -10,6 +10,7 @@ Event times arrive as TIMESTAMP_NTZ and are cast to TIMESTAMP before ``withWater
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -18,50 +19,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graderoom.operators.metrics import pass_at_k
+from graderoom.operators.text import REPETITION_RATIO, REPETITION_STRIKES, REPETITION_WINDOW, spaced
 from graderoom.session import scratch_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
-def split_by_time(df: DataFrame, folder: str, ts: str, n_files: int, fmt: str = "parquet") -> None:
-    """Write ``df`` as ``n_files`` time-ordered files, one write per range so that file modification
-    times follow event time (the file source picks files up in that order). Rows without a time are
-    in the first file; a table without times is one file."""
-    df = df.checkpoint()  # computed once, then cut into files
-    bounds = df.select(F.percentile_approx(F.col(ts).cast("timestamp").cast("double"),
-                                           [i / n_files for i in range(1, n_files)], 1000).alias("b")).first()["b"]
-    edges = [None] + list(bounds or []) + [None]
-    t = F.col(ts).cast("timestamp").cast("double")
-    for i in range(len(edges) - 1):
-        cond = F.lit(True)
-        if edges[i] is not None:
-            cond = cond & (t > edges[i])
-        if edges[i + 1] is not None:
-            cond = cond & (t <= edges[i + 1])
-        if i == 0:
-            cond = cond | t.isNull()
-        part = df.where(cond).coalesce(1).write.mode("append")
-        getattr(part, fmt)(folder)
-
-
-def split_by_key(df: DataFrame, folder: str, key: Column, n_files: int, fmt: str = "parquet") -> None:
-    """Write ``df`` as ``n_files`` files (hash buckets of ``key``), one write per file, in order."""
-    df = df.checkpoint()  # computed once, then cut into files
-    for i in range(n_files):
-        getattr(df.where(F.pmod(F.xxhash64(key), F.lit(n_files)) == i).coalesce(1).write.mode("append"), fmt)(folder)
+def write_in_order(df: DataFrame, folder: str, n_files: int, *order: str | Column, fmt: str = "parquet") -> None:
+    """Write ``df`` once, in parallel, as up to ``n_files`` files that are ranges of ``order`` (nulls first).
+
+    The file source takes files up by modification time, so those of the written files, a line of metadata
+    each, are then set to the order of their ranges."""
+    spark = df.sparkSession
+    getattr(df.repartitionByRange(n_files, *order).write, fmt)(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+    first = min((f.getModificationTime() for _, f in files), default=0) // 1000 * 1000
+    for i, (_, f) in enumerate(files):
+        fs.setTimes(f.getPath(), first - (len(files) - i) * 1000, -1)
+
+
+def close_input(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """``df`` and a row with nothing but a time, ``delay`` after the last event.
+
+    In a stream of a finished input it moves the watermark past all windows and timers of real events. Its own
+    window or session stays open, so it is in no result of an append-mode job."""
+    end = df.agg((F.max(ts) + F.expr(f"interval {delay}")).alias("end")).where("end is not null")
+    kinds = dict(df.dtypes)
+    return df.unionByName(end.select(*[
+        (F.col("end") if c == ts else F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns]))
 
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None):
     """A stateful query fixes its number of state partitions when it first starts (it is stored in the
-    checkpoint). Size it from the cluster's parallelism rather than the batch shuffle setting."""
+    checkpoint). Size it from the cluster's parallelism rather than the batch shuffle setting. State is
+    kept in RocksDB, off the heap."""
     n = n or spark.sparkContext.defaultParallelism
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    wanted = {"spark.sql.shuffle.partitions": str(n), STATE_STORE: ROCKSDB}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_append(stream: DataFrame, label: str, out: str | None = None, ckpt: str | None = None) -> DataFrame:
@@ -77,11 +86,12 @@ def run_append(stream: DataFrame, label: str, out: str | None = None, ckpt: str
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Run an update-mode aggregation; each micro-batch's changed rows go to their own batch folder
-    (idempotent on replay); the final state is the latest row per key."""
+def run_changes(stream: DataFrame, label: str, out: str | None = None, ckpt: str | None = None) -> DataFrame:
+    """Run an update-mode query; every micro-batch writes its changed rows, with ``_batch``, to a folder of its
+    own, which a replay of the batch overwrites. Returns all changes; see ``as_of``."""
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, label + "-out"), scratch_path(spark, label + "-ckpt")
+    out = out or scratch_path(spark, label + "-out")
+    ckpt = ckpt or scratch_path(spark, label + "-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
@@ -90,12 +100,23 @@ def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
         q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
              .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
-    changes = spark.read.parquet(out)
-    cols = [c for c in stream.columns if c not in keys]
+    return spark.read.parquet(out).drop("b")
+
+
+def as_of(changes: DataFrame, keys: Sequence[str], version: int | None = None) -> DataFrame:
+    """The table after micro-batch ``version`` (by default the last one): the latest row of every key."""
+    if version is not None:
+        changes = changes.where(F.col("_batch") <= version)
+    cols = [c for c in changes.columns if c not in (*keys, "_batch")]
     latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("_batch")).alias("s"))
     return latest.select(*keys, "s.*")
 
 
+def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Run an update-mode query to the end and return the latest row per key."""
+    return as_of(run_changes(stream, label), keys)
+
+
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(folder)
 
@@ -123,6 +144,11 @@ def running_counts(stream: DataFrame, keys: Sequence[str] = ("model", "task_id")
     )
 
 
+def live_pass_at_k(changes: DataFrame, ks: Sequence[int], version: int | None = None) -> DataFrame:
+    """pass@k per model and suite as of a micro-batch of ``running_counts``."""
+    return pass_at_k(as_of(changes, ["model", "task_id"], version), ks)
+
+
 def completeness(stream: DataFrame, problems: DataFrame, expected: int) -> DataFrame:
     """Stream-static join against the problem list, then running received / remaining per task."""
     known = stream.join(problems.select("task_id"), "task_id", "left_semi")
@@ -139,14 +165,49 @@ def throughput(stream: DataFrame, ts: str, size: Column, width: str = "60 second
                     "chars", (F.col("chars") / seconds).alias("chars_per_sec"))
 
 
-def sessions(stream: DataFrame, key: str, ts: str, gap: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Activity sessions per key; a session closes after ``gap`` without events. The gap between one
-    session's end and the next one's start is a stall."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    g = s.groupBy(F.session_window(ts, gap).alias("sw"), key).agg(F.count(F.lit(1)).alias("n_events"))
+STALL_OUT = "first_event long, last_event long, n_events long"
+
+
+def _stall_step(gap: int, key_name: str):
+    """Per key: runs of events less than ``gap`` microseconds apart, as JSON in the state. Events may come in any
+    order within the watermark and join runs as they come; runs whose last event the watermark has passed by the
+    gap are emitted and leave the state."""
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
+        for batch in [] if state.hasTimedOut else batches:
+            runs += [(t, t, 1) for t in batch["_t"].tolist()]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(runs):
+            if merged and first < merged[-1][1] + gap:
+                a, b, m = merged.pop()
+                first, last, n = a, max(b, last), m + n
+            merged.append((first, last, n))
+        now = state.getCurrentWatermarkMs() * 1000
+        over = [r for r in merged if r[1] + gap <= now]
+        left = [r for r in merged if r[1] + gap > now]
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(-(-(min(r[1] for r in left) + gap) // 1000))
+        elif state.exists:
+            state.remove()
+        if over:
+            firsts, lasts, counts = zip(*over)
+            yield pd.DataFrame({key_name: [key[0]] * len(over), "first_event": firsts, "last_event": lasts, "n_events": counts})
+    return step
+
+
+def stalls(stream: DataFrame, key: str, ts: str, gap_seconds: float = 600, watermark: str = "1 hour") -> DataFrame:
+    """Stalls per key: silences of ``gap_seconds`` or more after a run of events, emitted by an event-time timer as
+    soon as the watermark has passed them, the last run of a key included. Rows without a time are left out."""
+    gap = round(gap_seconds * 1e6)
+    kind = dict(stream.dtypes)[key]
+    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull()).withWatermark(ts, watermark)
+    out = s.select(key, ts, F.unix_micros(ts).alias("_t")).groupBy(key).applyInPandasWithState(
+        _stall_step(gap, key), f"{key} {kind}, {STALL_OUT}", "runs string", "append", GroupStateTimeout.EventTimeTimeout)
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    return g.select(key, F.date_format(F.col("sw.start").cast("timestamp_ntz"), fmt).alias("session_start"),
-                    F.date_format(F.col("sw.end").cast("timestamp_ntz"), fmt).alias("session_end"), "n_events")
+    text = lambda micros: F.date_format(F.timestamp_micros(micros).cast("timestamp_ntz"), fmt)
+    return out.select(key, text(F.col("first_event")).alias("session_start"),
+                      text(F.col("last_event") + gap).alias("session_end"), "n_events")
 
 
 def stall_gaps(events: DataFrame, key: str, ts: str, gap_seconds: float, order: str | None = None) -> DataFrame:
@@ -166,51 +227,46 @@ def stall_gaps(events: DataFrame, key: str, ts: str, gap_seconds: float, order:
 
 # ---------------------------------------------------------------- stateful repetition guard
 
-GUARD_WINDOW = 6000
-GUARD_RATIO = 0.15
-GUARD_STRIKES = 2
 GUARD_OUT = "doc_id long, cancelled boolean, cancel_at long, received long"
-GUARD_STATE = "buffer string, strikes int, received long, cancelled boolean, cancel_at long"
-
-
-#: Characters that count as blanks in the ratio of distinct words (fixed values).
-GUARD_BLANKS = str.maketrans(dict.fromkeys("-_#~|─┼\r\n", " "))
-
-
-def _distinct_share(text: str) -> float:
-    """Distinct words per word; a text without words counts as one empty word."""
-    words = text.translate(GUARD_BLANKS).split() or [""]
-    return len(dict.fromkeys(words)) / len(words)
-
-
-def _guard(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per response: append chunks to a buffer; every time it reaches the window size, test the
-    unique-word ratio; two low windows in a row cancel the response."""
-    if state.exists:
-        buf, strikes, received, cancelled, cancel_at = state.get
-    else:
-        buf, strikes, received, cancelled, cancel_at = "", 0, 0, False, None
-    chunks = pd.concat(list(batches)).sort_values("chunk_idx")
-    for text in chunks["chunk"]:
-        if cancelled:
-            break
-        received += len(text)
-        buf += text
-        if len(buf) >= GUARD_WINDOW:
-            if _distinct_share(buf) < GUARD_RATIO:
-                strikes += 1
-                if strikes >= GUARD_STRIKES:
+GUARD_STATE = "buffer string, strikes int, received long, cancelled boolean, cancel_at long, next_idx long, early string"
+GUARD_TTL_MS = 24 * 3600 * 1000
+
+
+def _guard(window: int, ratio: float, needed: int, ttl_ms: int):
+    """Per response: chunks are put in order (those that came early wait in the state by their number) and fill a
+    window; two windows in a row with a low share of distinct words cancel the response, and its chunks go. State
+    that no chunk touches for ``ttl_ms`` is dropped."""
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        buffer, strikes, received, cancelled, cancel_at, at, early = (
+            state.get if state.exists else ("", 0, 0, False, None, 0, "{}"))
+        waiting = {int(i): t for i, t in json.loads(early).items()}
+        waiting |= {int(i): t for batch in batches for i, t in zip(batch["chunk_idx"], batch["words"])}
+        while not cancelled and at in waiting:
+            words = waiting.pop(at)
+            buffer, received, at = buffer + words, received + len(words), at + 1
+            if len(buffer) >= window:
+                found = buffer.split()
+                strikes = strikes + 1 if len(set(found)) < ratio * len(found) else 0
+                buffer = ""
+                if strikes >= needed:
                     cancelled, cancel_at = True, received
-            else:
-                strikes = 0
-            buf = ""
-    state.update((buf, strikes, received, cancelled, cancel_at))
-    yield pd.DataFrame({"doc_id": [key[0]], "cancelled": [cancelled], "cancel_at": [cancel_at], "received": [received]})
-
-
-def repetition_guard(chunks: DataFrame) -> DataFrame:
-    """Stateful operator over a stream of (doc_id, chunk_idx, chunk); emits the running verdict per
-    response on every batch that touches it (update mode)."""
-    return chunks.groupBy("doc_id").applyInPandasWithState(
-        _guard, GUARD_OUT, GUARD_STATE, "update", GroupStateTimeout.NoTimeout)
-
+        later = {} if cancelled else {i: t for i, t in waiting.items() if i > at}
+        state.update((buffer, strikes, received, cancelled, cancel_at, at, json.dumps(later)))
+        state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + ttl_ms)
+        yield pd.DataFrame({"doc_id": [key[0]], "cancelled": [cancelled], "cancel_at": pd.array([cancel_at], "Int64"),
+                            "received": [received]})
+    return step
+
+
+def repetition_guard(chunks: DataFrame, window: int = REPETITION_WINDOW, ratio: float = REPETITION_RATIO,
+                     strikes: int = REPETITION_STRIKES, ttl_ms: int = GUARD_TTL_MS) -> DataFrame:
+    """Running verdict per response over a stream of (doc_id, chunk_idx, chunk) in any order; emitted in every
+    batch that touches the response (update mode). Blanks are made one before the stateful step."""
+    plain = chunks.select(
+        "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), spaced("chunk").alias("words"),
+        F.current_timestamp().alias("_seen")).withWatermark("_seen", "1 minute")  # time of arrival, for the state's end
+    return plain.groupBy("doc_id").applyInPandasWithState(
+        _guard(window, ratio, strikes, ttl_ms), GUARD_OUT, GUARD_STATE, "update", GroupStateTimeout.EventTimeTimeout)
