@@ -10,6 +10,7 @@ from graderoom.catalog.vectors import _FP, fingerprints, given_centres
 from graderoom.catalog.verdict import F2_LIMITS
 from graderoom.fixtures import Inputs, cte
 from graderoom.functions.exprs import r6
+from graderoom.operators import verdict as V
 from graderoom.plans import evaluation as E
 from graderoom.registry import register
 
@@ -71,6 +72,31 @@ def q_evaluate_report(spark, sf_dir):
     return report
 
 
+@register("evaluate_typed", cte("f9_problems", "f9_typed") + """,
+smp as (select cast(o_orderkey as varchar) as sample_id, 'Typed/' || cast(o_orderkey % 32 as varchar) as task_id,
+               'm' || cast(o_orderkey % 3 as varchar) as model, o_orderkey % 11 = 0 as load_error from orders),
+ver as (select sample_id, suite, case when bool_and(truth) then 'pass' else 'fail' end as status,
+               string_agg(inputs, ',' order by input_idx) filter (where not truth) as bad from f9_typed group by sample_id, suite),
+ran as (select task_id, suite from f9_typed group by task_id, suite),
+j as (select s.*, r.suite, case when load_error then 'fail' when v.status is null then 'fail' else v.status end as status,
+             case when load_error then '' else coalesce(v.bad, '') end as bad
+      from smp s join ran r using (task_id) left join ver v on v.sample_id = s.sample_id and v.suite = r.suite)
+select sample_id, task_id, model, max(status) filter (where suite = 'base') as base_status, max(status) filter (where suite = 'plus') as plus_status,
+       max(bad) filter (where suite = 'base') as base_fail_tests, max(bad) filter (where suite = 'plus') as plus_fail_tests
+from j group by sample_id, task_id, model""")
+def q_evaluate_typed(spark, sf_dir):
+    """All orders are samples: some have load errors, some never ran. Failing inputs are listed as values."""
+    x = Inputs(spark, sf_dir)
+    key = F.col("o_orderkey")
+    samples = x.t("orders").select(
+        key.cast("string").alias("sample_id"), F.concat(F.lit("Typed/"), (key % 32).cast("string")).alias("task_id"),
+        F.concat(F.lit("m"), (key % 3).cast("string")).alias("model"), (key % 11 == 0).alias("load_error"))
+    problems = x.v("f9_problems")
+    report, _ = E.evaluate_run(x.v("f9_typed"), problems, problems.select("task_id"), V.Limits(), fast=False,
+                               samples=samples, typed=True, show="inputs")
+    return report
+
+
 @register("ensemble_run", _FP + """,
 n as (select count(*) as n from reps),
 ranked as (select model_identifier, accuracy, row_number() over (order by accuracy desc, model_identifier) as r from acc where accuracy is not null),

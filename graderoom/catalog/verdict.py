@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graderoom.fixtures import F2_PARAMS, Inputs, cte
 from graderoom.functions.exprs import r6
+from graderoom.operators import typed as T
 from graderoom.operators import verdict as V
 from graderoom.registry import register
 
@@ -117,6 +118,14 @@ def q_concat_suites_verdict(spark, sf_dir):
     return V.derive_verdict(d).select("sample_id", "status", "n_details")
 
 
+@register("typed_comparison", cte("f9_typed") + "select sample_id, suite, input_idx, truth as ok from f9_typed")
+def q_typed_comparison(spark, sf_dir):
+    x = Inputs(spark, sf_dir)
+    ex = T.with_rules(x.v("f9_typed"), x.v("f9_problems"))
+    d = V.verdict_details(ex, V.Limits(), fast=False, matches=lambda tol: T.matches(tol, "rule"), actual="actual_kind")
+    return d.select("sample_id", "suite", "input_idx", "ok")
+
+
 # ---------------------------------------------------------------- special oracles
 
 

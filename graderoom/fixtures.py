@@ -38,6 +38,44 @@ def _task(key: str, share: int) -> str:
     return f"concat('Task/', cast({number} + case when {number} % 17 = 0 then 1000000000 else 0 end as string))"
 
 
+# Typed outputs by kind of case, n = order number modulo 32: kinds and texts of the expected and the actual value,
+# the call's inputs and whether the output is right. K is the row's part number. Every third row of a case that is
+# right by itself raises instead.
+_CASES = [
+    ("list", "[K.5, 2.25]", "list", "[K.5, 2.2500000001]", True), ("list", "[K, 1]", "tuple", "[K, 1]", False),
+    ("list", "[[K, 2], [3]]", "list", "[[K,2],[3]]", True), ("dict", '{"a": K, "b": [2]}', "dict", '{"b": [2], "a": K}', True),
+    ("str", '"a, [K]"', "str", '"a, [K]"', True), ("str", '"a K"', "str", '"a  K"', False), ("int", "K", "float", "K.0", True),
+    ("bool", "true", "int", "1", True), ("none", "null", "none", "null", True), ("int", "K", None, None, False),
+    ("set", "[3, K]", "set", "[K, 3, 3]", True), ("list", "[NaN]", "list", "[NaN]", False), ("list", "[K, 2]", "list", "[K, 2, 2]", False),
+    ("list", "[K.5]", "list", "[K.501]", False), ("tuple", "[K, [1]]", "tuple", "[K, [2]]", False),
+    ("list", "[[0.1], [0.3]]", "list", "[[0.1], [0.30000000004]]", True), ("bool", "false", "int", "7", True), ("int", "5", "int", "0", True),
+    ("int", "5", "int", "1", False), ("float", "33.0", "int", "96", True), ("float", "33.0", "int", "97", False), ("int", "0", "int", "7", True),
+    ("int", "0", "int", "8", False), ("list", "[4, K]", "list", "[K, 4, 4.0]", True), ("list", "[4, 5.5]", "tuple", "[4]", False),
+    ("bool", "true", "str", '"K"', True), ("bool", "false", "none", "null", True), ("bool", "true", "bool", "false", False),
+    ("float", "0.0", "float", "6.0", True), ("float", "0.0", "float", "5.0", False), ("set", "[1, K]", "set", "[2]", False),
+    ("int", "9007199254740993", "int", "9007199254740992", False)]
+_CALLS = {19: "[6, 4]", 20: "[6, 4]", 21: "[123, 256]", 22: "[123, 256]", 28: "[[-6, 1]]", 29: "[[-6, 1]]"}
+
+
+def _typed(what: str) -> str:
+    def text(value: str | None) -> str:
+        return "cast(null as string)" if value is None else "replace('" + value + "', 'K', cast(l_partkey as string))"
+
+    columns = {"expected_kind": 0, "expected": 1, "actual_kind": 2, "actual": 3}
+    cases = []
+    for n, case in enumerate(_CASES):
+        if what == "inputs":
+            value = text(_CALLS.get(n, "[K]"))
+        elif what == "ok":
+            value = "not changed" if case[4] else "false"
+        elif what.startswith("actual") and case[4]:
+            value = f"case when changed then cast(null as string) else {text(case[columns[what]])} end"
+        else:
+            value = text(case[columns[what]])
+        cases.append(f"when {n} then {value}")
+    return f"case l_orderkey % 32 {' '.join(cases)} end"
+
+
 VIEWS: dict[str, str] = {
     "problems_catalog": _PROBLEM_COLUMNS,
     "f0_problems": _PROBLEM_COLUMNS,
@@ -105,6 +143,25 @@ select concat('Task/', cast(cast(floor(p_partkey / 8) as bigint) as string)) as
             when 2 then p_name
             else concat('[', cast(p_size as string), ',', cast(p_size % 7 as string), ',', cast(p_partkey % 5 as string), ']') end as value_text
 from part""",
+    "f9_problems": """
+select concat('Typed/', cast(n as string)) as task_id,
+       case n when 16 then 'are_equivalent' when 17 then 'sum_div' when 18 then 'sum_div' when 19 then 'surface_Area'
+              when 20 then 'surface_Area' when 21 then 'digit_distance_nums' when 22 then 'digit_distance_nums'
+              when 23 then 'similar_elements' when 24 then 'similar_elements' when 25 then 'check_str' when 26 then 'check_str'
+              when 27 then 'check_str' when 28 then 'find_zero' when 29 then 'find_zero' else concat('plain_', cast(n as string)) end as entry_point
+from (select distinct p_partkey % 32 as n from part) t""",
+    "f9_typed": f"""
+select cast(l_orderkey as string) as sample_id, concat('Typed/', cast(l_orderkey % 32 as string)) as task_id,
+       case when l_linestatus = 'F' then 'base' else 'plus' end as suite,
+       cast(row_number() over (partition by l_orderkey, l_linestatus order by l_linenumber, rn) - 1 as bigint) as input_idx,
+       concat('m', cast(l_orderkey % 3 as string)) as model,
+       {_typed("expected_kind")} as expected_kind, {_typed("expected")} as expected_json,
+       {_typed("actual_kind")} as actual_kind, {_typed("actual")} as actual_json, {_typed("inputs")} as inputs,
+       {_typed("ok")} as truth,
+       case when l_orderkey % 32 in (0, 13) then true else false end as expected_is_float,
+       case when l_orderkey % 32 in (15, 28, 29) then 0.000001 else cast(0 as double) end as atol,
+       cast(0.01 as double) as ref_time, cast(0.001 as double) as run_time
+from (select *, l_quantity % 3 < 1 as changed from {_ROWNUM_LINEITEM} t) u""",
     "f8_edges": """
 select p_partkey as src, cast(floor(p_partkey / 2) as bigint) as dst from part where p_partkey > 1
 union all

@@ -8,7 +8,7 @@ sample is ever collected whole, and hot tasks do not matter because partitions a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,30 +52,35 @@ def _input_limit(limits: Limits) -> Column:
 
 
 def sticky_tolerance(ex: DataFrame, limits: Limits, key: Sequence[str] = ("sample_id", "suite"),
-                     order: str = "input_idx") -> DataFrame:
+                     order: str = "input_idx", actual: str = "actual") -> DataFrame:
     """Effective tolerance per input: once an input whose expected value is a float has been compared
     (it produced a value inside its limit), every later input of that sample uses 1e-6 too."""
     run = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lim = _input_limit(limits)
-    produced = F.col("actual").isNotNull() & (F.col("run_time") <= lim)
+    produced = F.col(actual).isNotNull() & (F.col("run_time") <= lim)
     seen_float = F.max((produced & F.col("expected_is_float")).cast("int")).over(run) == 1
     tol = F.when(F.col("atol") != 0, F.col("atol")).when(seen_float, F.lit(FLOAT_ATOL)).otherwise(0.0)
     return ex.withColumn("limit", lim).withColumn("produced", produced).withColumn("tol", tol)
 
 
 def verdict_details(ex: DataFrame, limits: Limits, fast: bool = True,
-                    key: Sequence[str] = ("sample_id", "suite"), order: str = "input_idx") -> DataFrame:
+                    key: Sequence[str] = ("sample_id", "suite"), order: str = "input_idx",
+                    matches: Callable[[Column], Column] | None = None, actual: str = "actual") -> DataFrame:
     """Per-input flags: ok, kept (fast mode stops after the first failure) and in_budget.
 
     Elapsed time per input is min(run_time, limit) because the per-input timer interrupts it. The
     suite budget is min(cap, sum(limits)) + extra; since every elapsed time is at most its limit, the
     running elapsed can only cross that budget through the cap, so ``in_budget`` is
     ``running elapsed <= cap + extra``. Only running sums in input order are compared.
+
+    Outputs are doubles unless ``matches`` says, given the tolerance, whether an output answers the expected
+    value (``typed.matches``); ``actual`` is then the column that is null where the call raised.
     """
     run = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    t = sticky_tolerance(ex, limits, key, order)
-    ok = F.coalesce(F.col("produced") & tolerant_equal(F.col("actual"), F.col("expected"), F.col("tol")), F.lit(False))
+    t = sticky_tolerance(ex, limits, key, order, actual)
+    same = matches(F.col("tol")) if matches else tolerant_equal(F.col("actual"), F.col("expected"), F.col("tol"))
+    ok = F.coalesce(F.col("produced") & same, F.lit(False))
     t = t.withColumn("ok", ok)
     elapsed = F.least(F.col("run_time"), F.col("limit"))
     t = t.withColumn("elapsed_total", F.sum(elapsed).over(run))
@@ -90,10 +95,11 @@ def verdict_details(ex: DataFrame, limits: Limits, fast: bool = True,
 
 def derive_verdict(details: DataFrame, key: Sequence[str] = ("sample_id", "suite"),
                    load_error: str | None = None, failed: str | None = None,
-                   order: str = "input_idx") -> DataFrame:
+                   order: str = "input_idx", show: str | None = None) -> DataFrame:
     """status: load error -> fail (no details); a kept input beyond the budget -> timeout;
     a failing detail -> fail; else pass. With ``failed`` = 'fast' or 'full' the failing inputs are
     produced by the same aggregation (see ``failed_tests``)."""
+    shown = F.col(show or order).cast("string")
     aggs = [
         F.max(F.col("kept") & ~F.col("in_budget")).alias("timed_out"),
         F.max(F.col("detail") & ~F.col("ok")).alias("any_fail"),
@@ -101,11 +107,12 @@ def derive_verdict(details: DataFrame, key: Sequence[str] = ("sample_id", "suite
         F.count(F.lit(1)).alias("n_inputs"),
     ]
     if failed == "fast":
-        aggs.append(F.max(F.when(F.col("detail"), F.col(order))).cast("string").alias("_failed"))
+        aggs.append(F.max_by(shown, F.when(F.col("detail"), F.col(order))).alias("_failed"))
     elif failed == "full":
         # failing inputs of one suite: bounded by the suite's input count
         aggs.append(F.array_join(F.transform(F.sort_array(F.collect_list(
-            F.when(F.col("detail") & ~F.col("ok"), F.col(order)))), lambda i: i.cast("string")), ",").alias("_failed"))
+            F.when(F.col("detail") & ~F.col("ok"), F.struct(F.col(order).alias("i"), shown.alias("s"))))),
+            lambda f: f["s"]), ",").alias("_failed"))
     agg = details.groupBy(*key).agg(*aggs)
     status = F.when(F.col("timed_out"), "timeout").when(F.col("any_fail"), "fail").otherwise("pass")
     if load_error is not None:
@@ -126,11 +133,11 @@ def input_time_limit(ex: DataFrame, limits: Limits, key: Sequence[str] = ("sampl
 
 
 def failed_tests(details: DataFrame, fast: bool, key: Sequence[str] = ("sample_id", "suite"),
-                 order: str = "input_idx") -> DataFrame:
-    """Failing inputs per suite as a comma-joined, index-ordered list: every failing detail in full
+                 order: str = "input_idx", show: str | None = None) -> DataFrame:
+    """Failing inputs per suite, by index or by the column ``show``, as a comma-joined, index-ordered list: every failing detail in full
     mode; in fast mode the last executed input (even when it passed and the suite timed out).
     Empty on pass or when there are no details. One aggregation together with the status."""
-    v = derive_verdict(details, key, failed="fast" if fast else "full", order=order)
+    v = derive_verdict(details, key, failed="fast" if fast else "full", order=order, show=show)
     return v.select(*key, "status", "failed_inputs")
 
 

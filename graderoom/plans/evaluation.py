@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from graderoom.operators import metrics as M
 from graderoom.operators import perf as P
 from graderoom.operators import relational as Rel
+from graderoom.operators import typed as T
 from graderoom.operators import vectors as Vec
 from graderoom.operators import verdict as V
 
 
 def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFrame, limits: V.Limits,
                  ks: Sequence[int] = M.DEFAULT_KS, fast: bool = True,
-                 samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 samples: DataFrame | None = None, typed: bool = False, base_only: bool = False,
+                 show: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Executions of the split's known tasks -> per-input verdict details -> per-suite status ->
     per-sample report rows (statuses, failing inputs) -> pass@k per model and suite.
 
@@ -26,11 +28,21 @@ def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFram
     Without ``samples`` the samples are those of the executions. With it (sample_id, task_id, model and
     a boolean load_error, which may be null) every listed sample of the split's known tasks counts: one
     with a load error fails, and so does one without rows in a suite that other samples of its task
-    have run, or of a task that no sample has run. So n holds samples that never ran."""
+    have run, or of a task that no sample has run. So n holds samples that never ran.
+
+    With ``typed`` outputs are typed values (``typed.matches``) and the problems' entry points choose the special
+    rules. ``base_only`` leaves the plus suite out: its status is null, and pass@k is of the base suite.
+    ``show`` names the column by which failing inputs are listed, by default their index."""
     ex = Rel.filter_subset(executions, split_ids)
     ex = ex.join(problems.select("task_id"), "task_id", "left_semi")  # unknown tasks are quarantined
-    details = V.verdict_details(ex, limits, fast=fast)
-    failed = V.failed_tests(details, fast=fast)
+    if base_only:
+        ex = ex.where("suite = 'base'")
+    if typed:
+        ex = T.with_rules(ex, problems)
+        details = V.verdict_details(ex, limits, fast=fast, matches=lambda tol: T.matches(tol, "rule"), actual="actual_kind")
+    else:
+        details = V.verdict_details(ex, limits, fast=fast)
+    failed = V.failed_tests(details, fast=fast, show=show)
     base_missing = plus_missing = load_error = F.lit(False)
     if samples is None:
         listed = ex.select("sample_id", "task_id", "model").distinct()
@@ -56,8 +68,10 @@ def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFram
         status("base_status", base_missing), status("plus_status", plus_missing),
         failing("base_fail", "base_fail_tests"), failing("plus_fail", "plus_fail_tests"),
     )
-    counts = M.task_counts(report)
-    return report, M.pass_at_k(counts, ks)
+    passed = M.pass_at_k(M.task_counts(report), ks)
+    if base_only:
+        report, passed = report.withColumn("plus_status", F.lit(None).cast("string")), passed.where("suite = 'base'")
+    return report, passed
 
 
 def ensemble_run(fingerprints: DataFrame, centres: list[list[float]], accuracy: DataFrame) -> DataFrame:
