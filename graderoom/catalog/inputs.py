@@ -112,4 +112,4 @@ def q_mutate_values(spark, sf_dir):
 @register("grow_inputs")
 def q_grow_inputs(spark, sf_dir):
     x = Inputs(spark, sf_dir)
-    return I.grow_inputs(x.v("f7_values"), contract_rules(x), rounds=3, per_seed=4, num=10, seed=42)
+    return I.grow_inputs(x.v("f7_values"), contract_rules(x), per_seed=4, num=10, seed=42)

@@ -52,7 +52,7 @@ REFERENCE_DECODE_RULES = {
 
 
 def reference_rule_table(spark, prefix: str = "Mbpp/") -> DataFrame:
-    """(task_id, rule) for the fixed decode table above: 86 rows, a bounded literal."""
+    """(task_id, rule) for the fixed decode table above, a bounded literal."""
     rows = [(f"{prefix}{n}", rule) for rule, ids in REFERENCE_DECODE_RULES.items() for n in ids]
     return F.broadcast(spark.createDataFrame(rows, "task_id string, rule string"))
 
@@ -172,18 +172,31 @@ def rest(v: Column, k: Column) -> Column:
     return F.call_function("substr", v, k.cast("int") + 1)
 
 
-def _mutate_once(d: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int, step: int) -> DataFrame:
+def _with_draws(d: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int, steps: int) -> DataFrame:
+    """Adds ``_drawn``: the ingredient of the row's (task, kind) for each step, in one look-up for all steps."""
+    idx, counts = ing
+    row = ["task_id", "cand_id", "round"]
+    pick = lambda step: F.floor(uniform(seed, "task_id", "cand_id", F.col("round"), step, 1) * F.col("n_ing")).cast("long")
+    asked = d.select(*row, "kind").join(counts, ["task_id", "kind"]).where("n_ing > 0").select(
+        *row, "kind", F.posexplode(F.array(*[pick(s) for s in range(1, steps + 1)])).alias("_at", "ing_idx"))
+    found = asked.join(idx, ["task_id", "kind", "ing_idx"]).groupBy(*row).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("_at") + 1, "ingredient"))).alias("_drawn"))  # one entry a step
+    return d.join(found, row, "left")
+
+
+def _mutated(v: Column, step: Column, seed: int) -> Column:
+    """The value text after one step."""
     key = ["task_id", "cand_id"]
     u = lambda salt: uniform(seed, *key, F.col("round"), step, salt)
     ri = lambda lo, hi, salt: randint(lo, hi, seed, *key, F.col("round"), step, salt)
-    d = _with_ingredient(d, ing, "kind", u(1))
-    has_ing = F.col("ingredient").isNotNull()
-    v = F.col("value_text")
+    ingredient = F.try_element_at("_drawn", step)
+    has_ing = ingredient.isNotNull()
     # int: ingredient (p=0.5) or +/-1
-    m_int = F.when((u(2) < 0.5) & has_ing, F.col("ingredient")).otherwise((v.cast("bigint") + ri(-1, 1, 3)).cast("string"))
+    m_int = F.when((u(2) < 0.5) & has_ing, ingredient).otherwise(
+        F.coalesce((v.try_cast("decimal(37,0)") + ri(-1, 1, 3)).cast("string"), v))
     # float: ingredient (p=0.5), or add U(-1, 1), or scale by 1 + U(-0.5, 0.5)
     fv = v.cast("double")
-    m_float = (F.when((u(2) < 0.5) & has_ing, F.col("ingredient"))
+    m_float = (F.when((u(2) < 0.5) & has_ing, ingredient)
                .when(u(4) < 0.5, (fv + (u(5) * 2 - 1)).cast("string"))
                .otherwise((fv * (1 + (u(6) - 0.5))).cast("string")))
     # str: ingredient (p=0.4); else insert an ingredient, cut a substring, repeat a char, or fresh letters
@@ -193,8 +206,8 @@ def _mutate_once(d: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int, step
     start = ri(0, F.greatest(n - 1, F.lit(0)), 9)
     end = start + 1 + F.floor(u(10) * (n - start)).cast("bigint")
     rep = ri(0, F.greatest(n - 1, F.lit(0)), 11)
-    m_str = (F.when((u(2) < 0.4) & has_ing, F.col("ingredient"))
-             .when((choice == 0) & has_ing, F.concat(head(v, at), F.col("ingredient"), rest(v, at)))
+    m_str = (F.when((u(2) < 0.4) & has_ing, ingredient)
+             .when((choice == 0) & has_ing, F.concat(head(v, at), ingredient, rest(v, at)))
              .when(choice == 1, F.concat(head(v, start), rest(v, end)))
              .when(choice == 2, F.concat(head(v, rep), F.call_function("substr", v, ri(0, F.greatest(n - 1, F.lit(0)), 12).cast("int") + 1, F.lit(1)),
                                          rest(v, rep)))
@@ -212,18 +225,19 @@ def _mutate_once(d: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int, step
         .when(lchoice == 1, F.array_insert(arr, insert_at.cast("int"), elem + ri(-1, 1, 20)))
         .when(lchoice == 2, F.array_append(arr, elem))
         .otherwise(F.transform(arr, lambda x, i: F.when(i + 1 == pos, x + ri(-1, 1, 21)).otherwise(x))))
-    mutated = (F.when(F.col("kind") == "int", m_int).when(F.col("kind") == "float", m_float)
-               .when(F.col("kind") == "str", m_str).otherwise(m_list))
-    return d.withColumn("value_text", F.when(F.col("n_steps") >= step, mutated).otherwise(v)).drop("ingredient")
+    return (F.when(F.col("kind") == "int", m_int).when(F.col("kind") == "float", m_float)
+            .when(F.col("kind") == "str", m_str).otherwise(m_list))
 
 
 def mutate_values(cands: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int = 42) -> DataFrame:
     """Multi-step type-directed mutation of (task_id, cand_id, round, kind, value_text): each row takes
-    1..5 steps (hash-chosen); steps are unrolled as DataFrame rounds so every ingredient draw is a join."""
-    d = cands.withColumn("n_steps", randint(1, MAX_MULTI_STEP, seed, "task_id", "cand_id", F.col("round"), 0))
-    for step in range(1, MAX_MULTI_STEP + 1):
-        d = _mutate_once(d, ing, seed, step)
-    return d.drop("n_steps")
+    1..5 steps (hash-chosen). A draw depends on the row's key and step alone, so all are looked up in one join.
+    (task_id, cand_id, round) tells rows apart."""
+    d = _with_draws(cands, ing, seed, MAX_MULTI_STEP)
+    d = d.withColumn("n_steps", randint(1, MAX_MULTI_STEP, seed, "task_id", "cand_id", F.col("round"), 0))
+    steps = F.sequence(F.lit(1), F.col("n_steps").cast("int"))
+    text = F.aggregate(steps, F.col("value_text"), lambda v, step: _mutated(v, step, seed))
+    return d.withColumn("value_text", text).drop("n_steps", "_drawn")
 
 
 # ---------------------------------------------------------------- selection
@@ -237,37 +251,53 @@ def seed_sample(pool: DataFrame, k: int = 5, seed: int = 42, key: str = "task_id
     return pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def novel_inputs(cands: DataFrame, pool: DataFrame, num: int, order: str = "cand_id") -> DataFrame:
+def novel_inputs(cands: DataFrame, pool: DataFrame, num: int, order: str = "cand_id",
+                 limits: DataFrame | None = None) -> DataFrame:
     """Candidates whose text is new to the task's pool and not repeated by an earlier candidate; at most
-    ``num`` per task in candidate order."""
+    ``num`` per task in candidate order, or as many as ``limits`` (task_id, missing) gives the task."""
     fresh = cands.join(pool.select("task_id", "value_text"), ["task_id", "value_text"], "left_anti")
     w1 = Window.partitionBy("task_id", "value_text").orderBy(order)
     first = fresh.withColumn("_d", F.row_number().over(w1)).where("_d = 1").drop("_d")
     w2 = Window.partitionBy("task_id").orderBy(order)
-    return first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= num).drop("_r")
+    ranked = first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= num)
+    if limits is not None:
+        ranked = ranked.join(limits.select("task_id", "missing"), "task_id").where(F.col("_r") <= F.col("missing")).drop("missing")
+    return ranked.drop("_r")
+
 
+def grow_inputs(pool: DataFrame, rules: DataFrame, per_seed: int = 4, num: int = 10, seed: int = 42,
+                patience: int = 2) -> DataFrame:
+    """New inputs with their round: every task grows until it has ``num`` of them or is dry.
 
-def grow_inputs(pool: DataFrame, rules: DataFrame, rounds: int = 3, per_seed: int = 4, num: int = 10,
-                seed: int = 42) -> DataFrame:
-    """Rounds of: sample seeds -> mutate -> keep novel candidates -> contract filter -> add to pool.
-    Ingredients are re-harvested from the grown pool each round; the pool is checkpointed per round
-    (reliable checkpoint in the shared folder). Returns the new inputs with their round."""
+    A round samples seeds, mutates them, filters by contract, keeps what is new to the task, and accepts, in
+    candidate order, as many as the task still lacks. A table of what each task lacks decides who takes part:
+    full tasks leave, and so do those that had ``patience`` rounds in a row without a new input. Each
+    round either fills or dries a task a little more, so the loop ends. Ingredients come from the grown pool.
+    Pool and table are checkpointed per round (reliable checkpoint in the shared folder)."""
     from graderoom.operators.relational import contract_filter
     from graderoom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(pool.sparkSession)
     cur = pool.select("task_id", "kind", "value_text", F.col("seed_id").cast("bigint").alias("seed_id"),
                       F.lit(0).alias("round")).checkpoint()
-    for r in range(1, rounds + 1):
-        ing = index_ingredients(harvest_ingredients(cur))
-        seeds = seed_sample(cur, k=5, seed=seed + r)
-        cands = seeds.select("task_id", "kind", "value_text", "seed_id",
-                             F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("j"))
-        cands = cands.select("task_id", "kind", "value_text",
-                             (F.col("seed_id") * per_seed + F.col("j") + r * (1 << 40)).alias("cand_id"),
+    lacks = cur.select("task_id").distinct().select("task_id", F.lit(num).cast("bigint").alias("missing"), F.lit(0).alias("dry")).checkpoint()
+    r = 0
+    while True:
+        r += 1
+        open_tasks = lacks.where((F.col("missing") > 0) & (F.col("dry") < patience))
+        if open_tasks.isEmpty():
+            return cur.where(F.col("round") > 0)
+        own = cur.join(open_tasks.select("task_id"), "task_id", "left_semi")
+        ing = index_ingredients(harvest_ingredients(own))
+        cands = seed_sample(own, k=5, seed=seed + r).select(
+            "task_id", "kind", "value_text", "seed_id", F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("j"))
+        cands = cands.select("task_id", "kind", "value_text", F.xxhash64("task_id", "seed_id", "j", F.lit(r)).alias("cand_id"),
                              F.lit(r).alias("round"))
-        mutated = mutate_values(cands, ing, seed)
-        new = novel_inputs(mutated, cur, num)
-        new = contract_filter(new, rules)
-        cur = cur.unionByName(new.select("task_id", "kind", "value_text", F.col("cand_id").alias("seed_id"), "round")).checkpoint()
-    return cur.where(F.col("round") > 0)
+        valid = contract_filter(mutate_values(cands, ing, seed), rules)
+        new = novel_inputs(valid, own, num, limits=open_tasks).select(
+            "task_id", "kind", "value_text", F.col("cand_id").alias("seed_id"), "round").checkpoint()
+        gained = new.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n"))
+        lacks = lacks.join(gained, "task_id", "left").select(
+            "task_id", (F.col("missing") - F.coalesce("_n", F.lit(0))).alias("missing"),
+            F.when(F.col("_n").isNull(), F.col("dry") + 1).otherwise(F.lit(0)).alias("dry")).checkpoint()
+        cur = cur.unionByName(new).checkpoint()

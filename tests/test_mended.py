@@ -5,6 +5,7 @@ import math
 
 import pytest
 from graderoom.operators import code as C
+from graderoom.operators import inputs as I
 from graderoom.operators import perf as P
 from graderoom.operators import relational as Rel
 from graderoom.operators import text as T
@@ -12,7 +13,7 @@ from graderoom.operators import verdict as V
 from graderoom.plans.evaluation import evaluate_run
 from graderoom.session import scratch_path
 from graderoom.sources import io
-from graderoom.streaming.jobs import _distinct_share, split_by_time
+from graderoom.streaming.jobs import write_in_order
 from pyspark.sql import functions as F
 
 INF, NAN = math.inf, math.nan
@@ -97,7 +98,8 @@ def test_blanks_are_those_of_python(spark):
                      T.unique_word_ratio("t").alias("ratio")).collect()
     for r in rows:
         assert r.stripped == r.t.strip() and r.lead == len(r.t) - len(r.t.lstrip()), ascii(r.t)
-        assert r.ratio == _distinct_share(r.t), ascii(r.t)
+        words = r.t.translate(str.maketrans(dict.fromkeys(T.STYLE_CHARS, " "))).split()
+        assert r.ratio == (len(set(words)) / len(words) if words else 1.0), ascii(r.t)
 
 
 def test_ladders_out_of_order(spark):
@@ -112,5 +114,35 @@ def test_rows_without_a_time_are_kept(spark):
     timed = [(k, start + dt.timedelta(hours=k)) for k in range(20)]
     for rows in (timed + [(99, None)], [(1, None), (2, None)]):
         folder = scratch_path(spark, "times")
-        split_by_time(spark.createDataFrame(rows, "k long, ts timestamp_ntz"), folder, "ts", 4)
+        write_in_order(spark.createDataFrame(rows, "k long, ts timestamp_ntz"), folder, 4, "ts")
         assert sorted(r.k for r in spark.read.parquet(folder).collect()) == sorted(k for k, _ in rows)
+
+
+def test_growth_ends_with_full_or_dry_tasks(spark):
+    pool = spark.createDataFrame(
+        [("free", 1, "int", "5"), ("free", 2, "str", "some words here"), ("tight", 3, "int", "3"), ("tight", 4, "int", "4"),
+         ("closed", 5, "int", "7"), ("huge", 6, "int", "9" * 30)], "task_id string, seed_id long, kind string, value_text string")
+    rules = spark.createDataFrame([("tight", 0.0, 8.0, None, None), ("closed", 7.0, 7.0, None, None)],
+                                  "task_id string, min_value double, max_value double, max_len int, pattern string")
+    new = I.grow_inputs(pool, rules, num=6).collect()
+    by = {t: [r.value_text for r in new if r.task_id == t] for t in ("free", "tight", "closed", "huge")}
+    assert len(by["free"]) == 6 and len(by["huge"]) == 6 and by["closed"] == []
+    assert 0 < len(by["tight"]) <= 6 and all(0 <= int(v) <= 8 for v in by["tight"])
+    old = {(r.task_id, r.value_text) for r in pool.collect()}
+    seen = [(r.task_id, r.value_text) for r in new]
+    assert len(set(seen)) == len(seen) and not set(seen) & old
+    assert max(r.round for r in new) > 1
+
+
+def test_special_values_are_floats_and_large_integers_are_found_anywhere(spark):
+    texts = ["[1e5]", "[inf, -1.0]", "[nan]", "[1, 2.0]", "[1.5]"]
+    df = spark.createDataFrame([("list", t) for t in texts], "kind string, text string")
+    assert [r[0] for r in df.select(Rel.is_float_value("kind", "text")).collect()] == [True, True, True, False, True]
+    big = "9" * 20
+    rows = spark.createDataFrame([(f"({big}, 1)",), (f"{{1: {big}}}",), (f"{{'{big}': 1}}",), ("(1, 2)",)], "value_text string")
+    assert [r.value_text for r in Rel.guard_int64_and_size(rows).collect()] == [f"{{'{big}': 1}}", "(1, 2)"]
+
+
+def test_padding_keeps_rows_beyond_n(spark):
+    df = spark.createDataFrame([("a", 0, "x"), ("a", 5, "y")], "task_id string, step long, solution string")
+    assert sorted(tuple(r) for r in Rel.pad_samples(df, 2).collect()) == [("a", 0, "x"), ("a", 1, ""), ("a", 5, "y")]
