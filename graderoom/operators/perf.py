@@ -49,14 +49,10 @@ def gate_compute_cost(stats: DataFrame, thresh: float = MIN_INSTRUCTIONS, task:
         F.col("fastest") >= thresh).select(task)
 
 
-def gate_cv(stats: DataFrame, thresh: float = 5.0, percentile: float = 0.99, task: str = "task",
-            approx_accuracy: int | None = None) -> DataFrame:
+def gate_cv(stats: DataFrame, thresh: float = 5.0, percentile: float = 0.99, task: str = "task") -> DataFrame:
     """Drop tasks whose P-th percentile (linear interpolation) of per-solution CV exceeds thresh.
-    The exact percentile buffers a task's CV values; ``approx_accuracy`` switches to the bounded-memory
-    sketch (percentile_approx) for tasks with very many solutions."""
-    p = (F.percentile("cv", percentile) if approx_accuracy is None
-         else F.percentile_approx("cv", percentile, approx_accuracy))
-    return stats.groupBy(task).agg(p.alias("p_cv")).where(F.col("p_cv") <= thresh).select(task)
+    The exact percentile buffers a task's distinct CV values."""
+    return stats.groupBy(task).agg(F.percentile("cv", percentile).alias("p_cv")).where(F.col("p_cv") <= thresh).select(task)
 
 
 def segment_costs(stats: DataFrame, base: float = EXPORT_SEGMENT_BASE, task: str = "task",
