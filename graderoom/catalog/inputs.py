@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graderoom.catalog.relational import contract_rules
 from graderoom.fixtures import Inputs, cte
 from graderoom.operators import inputs as I
+from graderoom.operators import values as Val
 from graderoom.registry import register
 
 
@@ -113,3 +114,52 @@ def q_mutate_values(spark, sf_dir):
 def q_grow_inputs(spark, sf_dir):
     x = Inputs(spark, sf_dir)
     return I.grow_inputs(x.v("f7_values"), contract_rules(x), per_seed=4, num=10, seed=42)
+
+
+def _decoded(spark, sf_dir):
+    given = Inputs(spark, sf_dir).v("f10_inputs").select("task_id", "seed_id", "value_text")
+    return Val.decode_values(given, I.reference_rule_table(spark))
+
+
+def _valid_first_argument(rows):
+    """A contract in SQL over typed text: a first argument that is a number is no less than -1000."""
+    first = F.try_variant_get(F.try_parse_json("typed"), "$[0]", "double")
+    return rows.where(F.coalesce(first >= -1000, F.lit(True)))
+
+
+@register("decode_typed", cte("f10_inputs") + "select task_id, seed_id, typed, typed is null as failed from f10_inputs")
+def q_decode_typed(spark, sf_dir):
+    return _decoded(spark, sf_dir).select("task_id", "seed_id", "typed", F.col("problem").isNotNull().alias("failed"))
+
+
+@register("encode_typed", cte("f10_inputs") + "select task_id, seed_id, encoded, typed as again from f10_inputs")
+def q_encode_typed(spark, sf_dir):
+    """JSON of the typed inputs, and what it decodes to."""
+    encoded = Val.encode_values(_decoded(spark, sf_dir)).select("task_id", "seed_id", "encoded")
+    again = Val.decode_values(encoded, I.reference_rule_table(spark), text="encoded")
+    return again.select("task_id", "seed_id", "encoded", F.col("typed").alias("again"))
+
+
+@register("harvest_typed", cte("f10_scalars") + "select task_id, kind, value_text from f10_scalars")
+def q_harvest_typed(spark, sf_dir):
+    return Val.harvest_values(_decoded(spark, sf_dir))
+
+
+@register("generate_typed")
+def q_generate_typed(spark, sf_dir):
+    decoded = _decoded(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in ("int", "float", "complex", "str", "bool", "none", "list", "tuple", "set", "dict")])
+    slots = decoded.select("task_id", F.explode(kinds).alias("kind"), F.col("seed_id").alias("gen_id"))
+    return Val.generate_typed(slots, I.index_ingredients(Val.harvest_values(decoded)))
+
+
+@register("mutate_typed")
+def q_mutate_typed(spark, sf_dir):
+    decoded = _decoded(spark, sf_dir)
+    cands = decoded.where("typed is not null").select("task_id", F.col("seed_id").alias("cand_id"), F.lit(1).alias("round"), "typed")
+    return Val.mutate_typed(cands, I.index_ingredients(Val.harvest_values(decoded)))
+
+
+@register("grow_typed")
+def q_grow_typed(spark, sf_dir):
+    return Val.grow_typed(_decoded(spark, sf_dir), _valid_first_argument)

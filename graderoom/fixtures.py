@@ -1,4 +1,4 @@
-"""Derived test views F0-F9 over the driver tables.
+"""Derived test views F0-F10 over the driver tables.
 
 Each view is one SELECT whose text runs unchanged in Spark SQL and DuckDB, so the Spark side and
 the DuckDB oracle start from identical inputs. On the Spark side a view is built straight from the
@@ -76,6 +76,45 @@ def _typed(what: str) -> str:
     return f"case l_orderkey % 32 {' '.join(cases)} end"
 
 
+# Typed inputs by kind of case, n = part number modulo 16: task number (its decode class is that of
+# ``inputs.REFERENCE_DECODE_RULES``), the call's arguments, their typed form, and JSON that decodes to it again.
+# K is the row's part number.
+_DECODES = [
+    (2, '[[K, 4], [4, "a"]]', '[{"tuple": [K, 4]}, {"tuple": [4, "a"]}]', '[[K, 4], [4, "a"]]'),
+    (63, '[[[K, 2], [3]]]', '[[{"tuple": [K, 2]}, {"tuple": [3]}]]', '[[[K, 2], [3]]]'),
+    (75, '[[[K, 1]], 6, 9]', '[[{"tuple": [K, 1]}], 6]', '[[[K, 1]], 6]'),
+    (106, '[[K], [1, 2.5]]', '[[K], {"tuple": [1, 2.5]}]', '[[K], [1, 2.5]]'),
+    (115, '[[[K, K], [], [2]], 1]', '[[{"set": [K]}, {"dict": []}, {"set": [2]}]]', '[[[K], [], [2]]]'),
+    (124, '["0.5", "K+2j"]', '{"tuple": [0.5, {"complex": [K.0, 2.0]}]}', '["0.5", "(K+2j)"]'),
+    (250, '[[K, [1]], 3]', '[{"tuple": [K, [1]]}, 3]', '[[K, [1]], 3]'),
+    (259, '[[[1, K], [4, 5]], [[6, 7]]]', '[{"tuple": [{"tuple": [1, K]}, {"tuple": [4, 5]}]}, {"tuple": [{"tuple": [6, 7]}]}]',
+     '[[[1, K], [4, 5]], [[6, 7]]]'),
+    (278, '[[4, [K, "x"], null]]', '[{"tuple": [4, {"tuple": [K, "x"]}, null]}]', '[[4, [K, "x"], null]]'),
+    (307, '[[K, "a"], 1, 2.0]', '[{"tuple": [K, "a"]}, 1, 2.0]', '[[K, "a"], 1, 2.0]'),
+    (722, '[{"k": [K, 1.5]}, true]', '[{"dict": [["k", {"tuple": [K, 1.5]}]]}, true]', '[{"k": [K, 1.5]}, true]'),
+    (252, '["K-1j"]', '[{"complex": [K.0, -1.0]}]', '["(K-1j)"]'),
+    (580, '[[K, [1, []]], "s"]', '{"tuple": [{"tuple": [K, {"tuple": [1, {"tuple": []}]}]}, "s"]}', '[[K, [1, []]], "s"]'),
+    (1, '[[K, "a b", false, null, {"n": [1.5]}]]', '[[K, "a b", false, null, {"dict": [["n", [1.5]]]}]]',
+     '[[K, "a b", false, null, {"n": [1.5]}]]'),
+    (3, '[K9999999999999999999, NaN, -Infinity]', '[K9999999999999999999, NaN, -Infinity]', '[K9999999999999999999, NaN, -Infinity]'),
+    (75, '[[[K, 1]]', None, None)]
+# The scalars inside the typed forms, without those of sets.
+_SCALARS = [
+    (2, "int", "K 4"), (2, "str", "a"), (63, "int", "K 2 3"), (75, "int", "K 1 6"), (106, "int", "K 1"), (106, "float", "2.5"),
+    (124, "float", "0.5"), (124, "complex", "(K+2j)"), (250, "int", "K 1 3"), (259, "int", "K 1 4 5 6 7"), (278, "int", "K 4"),
+    (278, "str", "x"), (307, "int", "K 1"), (307, "float", "2.0"), (307, "str", "a"), (722, "int", "K 1"), (722, "float", "1.5"),
+    (722, "str", "k"), (252, "complex", "(K-1j)"), (580, "int", "K 1"), (580, "str", "s"), (1, "int", "K 0"), (1, "float", "1.5"),
+    (1, "str", "a_b a b n"), (3, "int", "K9999999999999999999"), (3, "float", "NaN -Infinity")]
+
+
+def _rows(rows: list[tuple], columns: str) -> str:
+    """A literal table in SQL."""
+    def cell(v):
+        return "cast(null as string)" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") as c({columns})"
+
+
 VIEWS: dict[str, str] = {
     "problems_catalog": _PROBLEM_COLUMNS,
     "f0_problems": _PROBLEM_COLUMNS,
@@ -162,6 +201,16 @@ select cast(l_orderkey as string) as sample_id, concat('Typed/', cast(l_orderkey
        case when l_orderkey % 32 in (15, 28, 29) then 0.000001 else cast(0 as double) end as atol,
        cast(0.01 as double) as ref_time, cast(0.001 as double) as run_time
 from (select *, l_quantity % 3 < 1 as changed from {_ROWNUM_LINEITEM} t) u""",
+    "f10_inputs": f"""
+select concat('Mbpp/', cast(task as string)) as task_id, p_partkey as seed_id,
+       replace(given, 'K', cast(p_partkey as string)) as value_text, replace(typed, 'K', cast(p_partkey as string)) as typed,
+       replace(encoded, 'K', cast(p_partkey as string)) as encoded
+from part join {_rows([(n, *case) for n, case in enumerate(_DECODES)], "n, task, given, typed, encoded")} on p_partkey % 16 = n""",
+    "f10_scalars": f"""
+select distinct concat('Mbpp/', cast(task as string)) as task_id, kind,
+       replace(replace(word, '_', ' '), 'K', cast(p_partkey as string)) as value_text
+from part join {_rows([(n, case[0], kind, word) for n, case in enumerate(_DECODES) if case[2] for task, kind, words in _SCALARS if task == case[0]
+                       for word in words.split()], "n, task, kind, word")} on p_partkey % 16 = n""",
     "f8_edges": """
 select p_partkey as src, cast(floor(p_partkey / 2) as bigint) as dst from part where p_partkey > 1
 union all

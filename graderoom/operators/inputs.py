@@ -9,6 +9,8 @@ index, never a collected list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,16 +267,15 @@ def novel_inputs(cands: DataFrame, pool: DataFrame, num: int, order: str = "cand
     return ranked.drop("_r")
 
 
-def grow_inputs(pool: DataFrame, rules: DataFrame, per_seed: int = 4, num: int = 10, seed: int = 42,
-                patience: int = 2) -> DataFrame:
+def grow(pool: DataFrame, offspring: Callable[[DataFrame, DataFrame], DataFrame], per_seed: int = 4, num: int = 10,
+         seed: int = 42, patience: int = 2) -> DataFrame:
     """New inputs with their round: every task grows until it has ``num`` of them or is dry.
 
-    A round samples seeds, mutates them, filters by contract, keeps what is new to the task, and accepts, in
-    candidate order, as many as the task still lacks. A table of what each task lacks decides who takes part:
-    full tasks leave, and so do those that had ``patience`` rounds in a row without a new input. Each
-    round either fills or dries a task a little more, so the loop ends. Ingredients come from the grown pool.
-    Pool and table are checkpointed per round (reliable checkpoint in the shared folder)."""
-    from graderoom.operators.relational import contract_filter
+    A round samples seeds of (task_id, kind, value_text, seed_id), asks ``offspring(candidates, pool)`` for the valid
+    changed ones, keeps what is new to the task, and accepts, in candidate order, as many as the task
+    still lacks. A table of what each task lacks decides who takes part: full tasks leave, and so do
+    those that had ``patience`` rounds in a row without a new input. Each round either fills or dries a task a little
+    more, so the loop ends. Pool and table are checkpointed per round (reliable checkpoint in the shared folder)."""
     from graderoom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(pool.sparkSession)
@@ -288,16 +289,26 @@ def grow_inputs(pool: DataFrame, rules: DataFrame, per_seed: int = 4, num: int =
         if open_tasks.isEmpty():
             return cur.where(F.col("round") > 0)
         own = cur.join(open_tasks.select("task_id"), "task_id", "left_semi")
-        ing = index_ingredients(harvest_ingredients(own))
         cands = seed_sample(own, k=5, seed=seed + r).select(
             "task_id", "kind", "value_text", "seed_id", F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("j"))
         cands = cands.select("task_id", "kind", "value_text", F.xxhash64("task_id", "seed_id", "j", F.lit(r)).alias("cand_id"),
                              F.lit(r).alias("round"))
-        valid = contract_filter(mutate_values(cands, ing, seed), rules)
-        new = novel_inputs(valid, own, num, limits=open_tasks).select(
+        new = novel_inputs(offspring(cands, own), own, num, limits=open_tasks).select(
             "task_id", "kind", "value_text", F.col("cand_id").alias("seed_id"), "round").checkpoint()
         gained = new.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n"))
         lacks = lacks.join(gained, "task_id", "left").select(
             "task_id", (F.col("missing") - F.coalesce("_n", F.lit(0))).alias("missing"),
             F.when(F.col("_n").isNull(), F.col("dry") + 1).otherwise(F.lit(0)).alias("dry")).checkpoint()
         cur = cur.unionByName(new).checkpoint()
+
+
+def grow_inputs(pool: DataFrame, rules: DataFrame, per_seed: int = 4, num: int = 10, seed: int = 42,
+                patience: int = 2) -> DataFrame:
+    """``grow`` by mutation of scalars and integer lists under the contract ``rules``; ingredients come from the
+    grown pool."""
+    from graderoom.operators.relational import contract_filter
+
+    def offspring(cands: DataFrame, own: DataFrame) -> DataFrame:
+        return contract_filter(mutate_values(cands, index_ingredients(harvest_ingredients(own)), seed), rules)
+
+    return grow(pool, offspring, per_seed, num, seed, patience)
