@@ -12,8 +12,8 @@ from graderoom.registry import register
 N_SAMPLES, MIN_CORRECT, MAX_PROFILE = 40, 10, 20
 
 
-def stats_of(x: Inputs):
-    return P.solution_stats(x.v("f5_profiles"))
+def stats_of(x: Inputs, medians: bool = True):
+    return P.solution_stats(x.v("f5_profiles"), medians=medians)
 
 
 def gated_tasks(stats, upto: int):
@@ -85,37 +85,37 @@ def q_profile_mean_median(spark, sf_dir):
 
 @register("coefficient_of_variation", _stats_sql(0.1) + "select task, solution_idx, round(cv, 6) as cv from stats")
 def q_cv(spark, sf_dir):
-    return stats_of(Inputs(spark, sf_dir)).select("task", "solution_idx", r6("cv").alias("cv"))
+    return stats_of(Inputs(spark, sf_dir), medians=False).select("task", "solution_idx", r6("cv").alias("cv"))
 
 
 @register("gate_profile_size", _stats_sql(0.1) + "select task from g1")
 def q_gate_profile_size(spark, sf_dir):
-    return gated_tasks(stats_of(Inputs(spark, sf_dir)), 1)
+    return gated_tasks(stats_of(Inputs(spark, sf_dir), medians=False), 1)
 
 
 @register("gate_compute_cost", _stats_sql(0.1) + "select task from g2")
 def q_gate_compute_cost(spark, sf_dir):
-    return gated_tasks(stats_of(Inputs(spark, sf_dir)), 2)
+    return gated_tasks(stats_of(Inputs(spark, sf_dir), medians=False), 2)
 
 
 @register("gate_cv", _stats_sql(0.1) + "select task from g3")
 def q_gate_cv(spark, sf_dir):
-    return gated_tasks(stats_of(Inputs(spark, sf_dir)), 3)
+    return gated_tasks(stats_of(Inputs(spark, sf_dir), medians=False), 3)
 
 
 @register("gate_clusters", _stats_sql(0.1) + "select task from g4")
 def q_gate_clusters(spark, sf_dir):
-    return gated_tasks(stats_of(Inputs(spark, sf_dir)), 4)
+    return gated_tasks(stats_of(Inputs(spark, sf_dir), medians=False), 4)
 
 
 @register("segment_costs", _stats_sql(0.1) + "select task, solution_idx, mean_cost, segment from seg")
 def q_segment_costs(spark, sf_dir):
-    seg = P.segment_costs(stats_of(Inputs(spark, sf_dir)), P.EXPORT_SEGMENT_BASE)
+    seg = P.segment_costs(stats_of(Inputs(spark, sf_dir), medians=False), P.EXPORT_SEGMENT_BASE)
     return seg.select("task", "solution_idx", "mean_cost", "segment")
 
 
 def ladder_of(x: Inputs):
-    return P.reference_ladder(P.segment_costs(stats_of(x), P.EXPORT_SEGMENT_BASE))
+    return P.reference_ladder(P.segment_costs(stats_of(x, medians=False), P.EXPORT_SEGMENT_BASE))
 
 
 @register("reference_ladder", _stats_sql(0.1) + """
@@ -187,7 +187,7 @@ select task, segment,
        else '[' || array_to_string(v[1:4], ', ') || ', ..., ' || array_to_string(v[len(v) - 3:], ', ') || ']' end as preview
 from pv""")
 def q_preview_list(spark, sf_dir):
-    seg = P.segment_costs(stats_of(Inputs(spark, sf_dir)), P.EXPORT_SEGMENT_BASE)
+    seg = P.segment_costs(stats_of(Inputs(spark, sf_dir), medians=False), P.EXPORT_SEGMENT_BASE)
     return P.preview_groups(seg, ["task", "segment"], "rank_in_task",
                             F.bround(F.col("mean_cost") * 1000, 0).cast("bigint"))
 

@@ -107,9 +107,10 @@ def q_resolve_variant(spark, sf_dir):
 _FINGERPRINT_SQL = cte("problems_catalog") + """,
 r as (select md5(concat_ws(chr(31), task_id, prompt, coalesce(contract, '<null>'), canonical_solution, entry_point,
                  cast(cast(atol * 1000000000 as bigint) as varchar))) as h from problems_catalog),
-l1 as (select substr(h, 1, 4) as b1, md5(string_agg(h, '' order by h)) as h1, count(*) as n from r group by 1),
-l2 as (select substr(b1, 1, 2) as b2, md5(string_agg(h1, '' order by b1)) as h2, sum(n) as n from l1 group by 1)
-select md5(string_agg(h2, '' order by b2)) as fingerprint, cast(sum(n) as bigint) as n_rows from l2"""
+s as (select cast(sum(cast('0x' || substr(h, 1, 8) as bigint)) as varchar) as s0, cast(sum(cast('0x' || substr(h, 9, 8) as bigint)) as varchar) as s1,
+             cast(sum(cast('0x' || substr(h, 17, 8) as bigint)) as varchar) as s2, cast(sum(cast('0x' || substr(h, 25, 8) as bigint)) as varchar) as s3,
+             count(*) as n from r)
+select md5(concat_ws(':', s0, s1, s2, s3, cast(n as varchar))) as fingerprint, cast(n as bigint) as n_rows from s"""
 
 
 @register("dataset_fingerprint", _FINGERPRINT_SQL)
@@ -168,7 +169,9 @@ def q_write_eval_report(spark, sf_dir):
     root = scratch_path(spark, "reports")
     rows = Inputs(spark, sf_dir).v("f1_samples").select("sample_id", "task_id", "base_status", "plus_status")
     io.write_eval_report(rows.where(F.col("base_status") == "pass"), root, "run-0")
-    out = io.write_eval_report(rows, root, "run-1")
+    io.write_eval_report(rows.where(F.col("base_status") == "fail"), root, "run-1")
+    io.write_eval_report(rows, root, "run-1", existing="backup")
+    out = io.write_eval_report(rows.limit(0), root, "run-1", existing="reuse")
     return out.select("sample_id", "task_id", "base_status", "plus_status", "run_id")
 
 
@@ -195,21 +198,21 @@ def q_load_selection(spark, sf_dir):
 
 
 @register("run_provenance", cte("f3_generations") + """
-select task_id, step, md5(prompt) as prompt_md5,
-       case when step % 2 = 0 and step > 0 then md5(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g') || chr(10)) end as refinement_md5,
-       md5(solution) as impl_md5, step % 2 = 0 as direct_completion
+select task_id, step, prompt, case when step % 2 = 0 and step > 0 then regexp_replace(prompt, '^\\s+|\\s+$', '', 'g') || chr(10) end as refinement,
+       solution, step % 2 = 0 as direct_completion
 from f3_generations""")
 def q_run_provenance(spark, sf_dir):
     from graderoom.operators.text import py_strip
 
     g = Inputs(spark, sf_dir).v("f3_generations")
     direct = F.col("step") % 2 == 0
-    prov = g.select("task_id", "step", F.md5("prompt").alias("prompt_md5"),
-                    F.when(direct & (F.col("step") > 0), F.md5(F.concat(py_strip("prompt"), F.lit("\n")))).alias("refinement_md5"),
-                    F.md5("solution").alias("impl_md5"), direct.alias("direct_completion"))
-    back = io.write_provenance(prov, scratch_path(spark, "provenance"), "run-1")
-    return back.select("task_id", F.col("step").cast("bigint").alias("step"), "prompt_md5", "refinement_md5", "impl_md5",
-                       "direct_completion")
+    prov = g.select("task_id", "step", "prompt", F.when(direct & (F.col("step") > 0), F.concat(py_strip("prompt"), F.lit("\n"))).alias("refinement"),
+                    "solution", direct.alias("direct_completion"))
+    root = scratch_path(spark, "provenance")
+    io.write_provenance(prov.where("step = 0"), root, "run-0", step=0)
+    io.write_provenance(prov.where("step = 1"), root, "run-0", step=1)  # the next step of a run that goes on
+    back = io.write_provenance(prov, root, "run-1")
+    return back.select("task_id", F.col("step").cast("bigint").alias("step"), "prompt", "refinement", "solution", "direct_completion")
 
 
 @register("upgrade_legacy_report", cte("f1_samples") + """

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graderoom.operators.quantiles import exact_percentile
+
 MIN_INSTRUCTIONS = 10_000  # curation gate and the weight inside the segment threshold
 GATE_SEGMENT_BASE = 0.2
 EXPORT_SEGMENT_BASE = 0.10
@@ -24,16 +26,26 @@ def cost_key(c: str | Column) -> Column:
     return F.round(c.cast("double"), 3)
 
 
-def solution_stats(profiles: DataFrame, task: str = "task", sol: str = "solution_idx", cost: str = "cost") -> DataFrame:
-    """Per solution: mean, median, population CV over rounds; mean/median null if any round broken."""
+def solution_stats(profiles: DataFrame, task: str = "task", sol: str = "solution_idx", cost: str = "cost",
+                   medians: bool = True) -> DataFrame:
+    """Per solution: mean, median, population CV over rounds; mean/median null if any round broken. The exact
+    median is found by ranks, so no task holds the rounds of a solution; ``medians=False`` leaves it out."""
     broken = F.max(F.col(cost).isNull())
-    return profiles.groupBy(task, sol).agg(
+    stats = profiles.groupBy(task, sol).agg(
         F.when(~broken, cost_key(F.avg(cost))).alias("mean_cost"),
-        F.when(~broken, cost_key(F.percentile(cost, 0.5))).alias("median_cost"),
         (F.lit(100.0) * F.stddev_pop(cost) / F.avg(cost)).alias("cv"),
         F.count(F.lit(1)).alias("n_rounds"),
         broken.alias("has_broken_round"),
     )
+    return with_medians(stats, profiles, task, sol, cost) if medians else stats
+
+
+def with_medians(stats: DataFrame, profiles: DataFrame, task: str = "task", sol: str = "solution_idx",
+                 cost: str = "cost") -> DataFrame:
+    """Adds ``median_cost`` of each solution's rounds, null if one is broken."""
+    m = exact_percentile(profiles, [task, sol], cost, 0.5, "_median").select(F.col(task).alias("_t"), F.col(sol).alias("_s"), "_median")
+    joined = stats.join(m, F.col(task).eqNullSafe(F.col("_t")) & F.col(sol).eqNullSafe(F.col("_s")), "left")
+    return joined.select(*stats.columns, F.when(~F.col("has_broken_round"), cost_key("_median")).alias("median_cost"))
 
 
 def gate_profile_size(stats: DataFrame, threshold: int = 10, task: str = "task") -> DataFrame:
@@ -51,8 +63,8 @@ def gate_compute_cost(stats: DataFrame, thresh: float = MIN_INSTRUCTIONS, task:
 
 def gate_cv(stats: DataFrame, thresh: float = 5.0, percentile: float = 0.99, task: str = "task") -> DataFrame:
     """Drop tasks whose P-th percentile (linear interpolation) of per-solution CV exceeds thresh.
-    The exact percentile buffers a task's distinct CV values."""
-    return stats.groupBy(task).agg(F.percentile("cv", percentile).alias("p_cv")).where(F.col("p_cv") <= thresh).select(task)
+    The percentile is exact and found by ranks, so no task holds the solutions of one key."""
+    return exact_percentile(stats, [task], "cv", percentile, "p_cv").where(F.col("p_cv") <= thresh).select(task)
 
 
 def segment_costs(stats: DataFrame, base: float = EXPORT_SEGMENT_BASE, task: str = "task",
@@ -259,9 +271,8 @@ def preview_groups(df: DataFrame, keys: list[str], order: str, value: Column, he
 def pick_pe_input(candidates: DataFrame, task: str = "task", inp: str = "input_idx") -> DataFrame:
     """Per task, the most expensive input (canonical median cost, lowest index on ties) on which every
     solution profiled OK; null when no such input exists."""
-    per_input = candidates.groupBy(task, inp).agg(
-        F.percentile("canonical_cost", 0.5).alias("median_cost"), F.bool_and("ok").alias("all_ok")
-    )
+    medians = exact_percentile(candidates, [task, inp], "canonical_cost", 0.5, "median_cost")
+    per_input = candidates.groupBy(task, inp).agg(F.bool_and("ok").alias("all_ok")).join(medians, [task, inp])
     best = F.max_by(F.when(F.col("all_ok"), F.col(inp)),
                     F.when(F.col("all_ok"), F.struct(F.col("median_cost"), (-F.col(inp)).alias("neg_idx"))))
     return per_input.groupBy(task).agg(best.alias("pe_input_idx"))

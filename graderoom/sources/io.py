@@ -7,9 +7,11 @@ single-partition window or a driver-side loop.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,8 @@ def write_samples_jsonl(df: DataFrame, path: str, append: bool = False, drop_bui
 
 
 def read_samples_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Folder of ``<task>/<n>.py`` files: one row per file, '_' in the folder name means '/'."""
+    """Folder of ``<task>/<n>.py`` files: one row per file, '_' in the folder name means '/'. Spark's file
+    listing passes over empty files, so an empty sample has no row and counts as missing."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.py")
     p = F.col("_metadata.file_path")
     return raw.select(
@@ -88,8 +91,10 @@ def _write_files(root: str):
                 rel = f"{task.replace('/', '_')}/{int(n)}.py"
                 target = f"{base.rstrip('/')}/{rel}"
                 filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with filesystem.open_output_stream(target) as fh:
+                part = f"{target}.part-{uuid.uuid4().hex}"  # a task that dies leaves no half file under the final name
+                with filesystem.open_output_stream(part) as fh:
                     fh.write((text or "").encode("utf-8"))
+                filesystem.move(part, target)
                 paths.append(rel)
             yield pd.DataFrame({"task_id": b["task_id"], "n": b["n"], "path": paths})
 
@@ -132,19 +137,16 @@ def resolve_variant(problems: DataFrame, dataset: str = "humaneval", mini: bool
 
 
 def dataset_fingerprint(df: DataFrame, cols: Sequence) -> DataFrame:
-    """Order-insensitive md5 of a table: md5 per row; md5 over the sorted row hashes of each 4-hex-digit
-    prefix bucket (65 536 buckets); md5 over those, ordered by bucket, within each 2-digit prefix;
-    finally md5 over the 256 level-two hashes. No step concatenates more than ~n / 65 536 hashes."""
+    """Order-insensitive fingerprint of a table with its repeated rows: the md5 of each row is read as four 32-bit
+    numbers, each is summed over all rows, and the sums and the row count are hashed. Sums merge in any
+    order, so every partition sends one row and no list of hashes exists. An empty table has a fingerprint too."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("<null>")) for c in cols]
     rows = df.select(F.md5(F.concat_ws("\x1f", *parts)).alias("h"))
-    l1 = rows.groupBy(F.substring("h", 1, 4).alias("b1")).agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h1"), F.count(F.lit(1)).alias("n"))
-    l2 = l1.groupBy(F.substring("b1", 1, 2).alias("b2")).agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b1", "h1"))), lambda s: s["h1"]), ""))
-        .alias("h2"), F.sum("n").alias("n"))
-    return l2.agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b2", "h2"))), lambda s: s["h2"]), ""))
-        .alias("fingerprint"), F.sum("n").alias("n_rows"))
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(28,0)") for i in range(4)]
+    zero = F.lit(0).cast("decimal(38,0)")
+    sums = rows.agg(*[F.coalesce(F.sum(w), zero).alias(f"s{i}") for i, w in enumerate(words)], F.count(F.lit(1)).alias("n_rows"))
+    text = F.concat_ws(":", *[F.col(f"s{i}").cast("string") for i in range(4)], F.col("n_rows").cast("string"))
+    return sums.select(F.md5(text).alias("fingerprint"), "n_rows")
 
 
 def export_split_ids(ids: DataFrame, path: str, key: str = "task_id") -> None:
@@ -179,17 +181,66 @@ def load_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- reports and selections
 
 
-def _refuse_existing(spark: SparkSession, root: str, run_id: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run_id={run_id}")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        raise FileExistsError(f"run {run_id} is already in {root}")
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _filesystem(spark, path)
+    return fs.exists(p)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to a name that must be free; on file systems with atomic renames one of two writers wins."""
+    fs, p = _filesystem(spark, target)
+    fs.mkdirs(p.getParent())
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(source)), fs.makeQualified(p), none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            raise FileExistsError(f"{target} is there already") from None
+        raise
+
+
+def _commit(rows: DataFrame, root: str, name: str, existing: str = "refuse") -> str:
+    """Writes rows beside ``root/name`` and moves them there when they are whole, so that a failed or
+    repeated write leaves nothing a reader sees. What is there already is refused, reused (nothing is written) or
+    moved to ``root/_backup/name/<n>``, n counting up. Returns the folder."""
+    if existing not in ("refuse", "reuse", "backup"):
+        raise ValueError(f"existing is refuse, reuse or backup, not {existing}")
+    spark, root = rows.sparkSession, root.rstrip("/")
+    target = f"{root}/{name}"
+    if _exists(spark, target):
+        if existing == "reuse":
+            return target
+        if existing == "refuse":
+            raise FileExistsError(f"{name} is already in {root}")
+    staged = f"{root}/_staged/{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    if existing == "backup" and _exists(spark, target):
+        fs, p = _filesystem(spark, f"{root}/_backup/{name}")
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
+        _rename(spark, target, f"{root}/_backup/{name}/{max(taken, default=0) + 1}")
+    _rename(spark, staged, target)
+    return target
+
+
+def write_eval_report(rows: DataFrame, root: str, run_id: str, existing: str = "refuse") -> DataFrame:
+    """Adds one run under ``run_id=<id>`` in one move. A run that is there already is refused, reused as it is, or
+    moved to the backups (``existing``). Returns the run's rows."""
+    _commit(rows, root, f"run_id={run_id}", existing)
+    return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
 
 
-def write_eval_report(rows: DataFrame, root: str, run_id: str) -> DataFrame:
-    """Add one run under ``run_id=<id>``; fails if the run is there already."""
-    _refuse_existing(rows.sparkSession, root, run_id)
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(root)
-    return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
+def read_report_backups(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Earlier versions of a run with their number, 1 being the oldest."""
+    base = f"{root.rstrip('/')}/_backup/run_id={run_id}"
+    version = F.regexp_extract(F.col("_metadata.file_path"), r"/_backup/run_id=[^/]*/([0-9]+)/[^/]*$", 1).cast("int")
+    return spark.read.parquet(f"{base}/*").select("*", version.alias("version"))
 
 
 def export_pass_at_k_json(pass_at_k: DataFrame, path: str) -> None:
@@ -212,12 +263,21 @@ def load_selection(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.row_number().over(w).alias("rank"), "model_identifier")
 
 
-def write_provenance(rows: DataFrame, root: str, run_id: str) -> DataFrame:
-    """Per-sample provenance (prompt, refinement prompt, raw output) under run_id=<id>/step=<n>;
-    fails if the run is there already."""
-    _refuse_existing(rows.sparkSession, root, run_id)
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "step").parquet(root)
-    return rows.sparkSession.read.parquet(root).where(F.col("run_id") == run_id)
+def write_provenance(rows: DataFrame, root: str, run_id: str, step: int | None = None) -> DataFrame:
+    """Per-sample provenance (prompt, refinement prompt, raw output) of a run, each step under
+    run_id=<id>/step=<n>. With ``step`` the rows are those of one step (without a column of it), written when it
+    ends; a step that is there is refused. Without, all steps are written at once by their
+    column ``step`` and the run must be new. Returns the run's rows of all steps."""
+    spark, name = rows.sparkSession, f"run_id={run_id}"
+    if step is not None:
+        _commit(rows.drop("step"), root, f"{name}/step={int(step)}")
+    else:
+        if _exists(spark, f"{root.rstrip('/')}/{name}"):
+            raise FileExistsError(f"{name} is already in {root}")
+        staged = f"{root.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+        rows.write.partitionBy("step").parquet(staged)
+        _rename(spark, staged, f"{root.rstrip('/')}/{name}")
+    return spark.read.parquet(root).where(F.col("run_id") == run_id)
 
 
 def upgrade_legacy_report(df: DataFrame) -> DataFrame:
