@@ -44,11 +44,12 @@ def with_file_position(df: DataFrame, out: str = "_line") -> DataFrame:
 
 
 def read_samples_jsonl(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """JSON-lines samples (plain or .gz, blank lines skipped). Returns (valid, quarantined): rows with
-    neither ``completion`` nor ``solution`` are quarantined instead of failing the job."""
-    raw = spark.read.schema(schema).json(path)
-    ok = F.col("completion").isNotNull() | F.col("solution").isNotNull()
-    return raw.where(ok), raw.where(~ok)
+    """JSON-lines samples (plain or .gz, blank lines skipped). Returns (valid, quarantined): lines that are not JSON
+    of the schema (their text in ``_bad_line``) and rows with neither ``completion`` nor ``solution`` are quarantined
+    instead of failing the job."""
+    raw = spark.read.schema(f"{schema}, _bad_line string").option("columnNameOfCorruptRecord", "_bad_line").json(path)
+    ok = F.col("_bad_line").isNull() & (F.col("completion").isNotNull() | F.col("solution").isNotNull())
+    return raw.where(ok).drop("_bad_line"), raw.where(~ok)
 
 
 def sample_identity(samples_scan: DataFrame) -> DataFrame:

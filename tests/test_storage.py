@@ -88,3 +88,13 @@ def test_exact_percentile_equals_the_engine_of_reference(spark, p):
 
 def test_percentile_of_an_empty_table(spark):
     assert exact_percentile(spark.createDataFrame([], "k string, v double"), ["k"], "v", 0.5, "q").collect() == []
+
+
+def test_bad_lines_are_quarantined_with_their_text(spark):
+    path = scratch_path(spark, "lines")
+    lines = ['{"task_id": "T/1", "solution": "x"}', "", '{"task_id": "T/2", "solution": "cut', '{"task_id": "T/3"}', "[1, 2", '{"completion": ""}']
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    valid, bad = io.read_samples_jsonl(spark, path)
+    assert sorted((r.task_id or "", r.solution or "") for r in valid.collect()) == [("", ""), ("T/1", "x")]
+    assert sorted(r._bad_line or "" for r in bad.collect()) == sorted([lines[2], lines[4], ""])
+    assert valid.count() == 2 and bad.count() == 3
