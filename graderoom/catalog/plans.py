@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graderoom.catalog.perf import _SCORED, _stats_sql, generator_status, generators_of, MAX_PROFILE, MIN_CORRECT, N_SAMPLES
+from graderoom.catalog.perf import _SCORED, _stats_sql, generator_status, generators_of, ladder_of, MAX_PROFILE, MIN_CORRECT, N_SAMPLES
 from graderoom.catalog.perf import _SCALE_SQL
 from graderoom.catalog.vectors import _FP, fingerprints, given_centres
 from graderoom.catalog.verdict import F2_LIMITS
-from graderoom.fixtures import Inputs, cte
+from graderoom.fixtures import VIEWS, Inputs, cte
 from graderoom.functions.exprs import r6
+from graderoom.operators import perf as P
 from graderoom.operators import verdict as V
 from graderoom.plans import evaluation as E
 from graderoom.registry import register
@@ -97,7 +98,7 @@ def q_evaluate_typed(spark, sf_dir):
     return report
 
 
-@register("ensemble_run", _FP + """,
+@register("ensemble_run", _FP + f""", f1_samples as ({VIEWS["f1_samples"]}),
 n as (select count(*) as n from reps),
 ranked as (select model_identifier, accuracy, row_number() over (order by accuracy desc, model_identifier) as r from acc where accuracy is not null),
 plans as (
@@ -105,15 +106,24 @@ plans as (
   union all select 'top', cast(r - 1 as integer), model_identifier from ranked where r <= (select n from n)
   union all select 'best', cast(unnest(range(0, (select n from n))) as integer), model_identifier from reps where rank = 1
   union all select 'least', cast(unnest(range(0, (select n from n))) as integer), model_identifier from reps where rank = (select n from n)
-  union all select 'baseline:' || model_identifier, 0, model_identifier from ranked)
+  union all select 'baseline:' || model_identifier, 0, model_identifier from ranked),
+st as (select 'org--model' || substr(model, 2) || '_hf_temp_0.0' as model_identifier, cast(cast(split_part(sample_id, '-', 2) as integer) % 3 as integer) as step,
+              task_id, base_status = 'pass' as b, base_status = 'pass' and plus_status = 'pass' as p from f1_samples),
+tk as (select model_identifier, step, task_id, avg(cast(b as double)) as b, avg(cast(p as double)) as p from st group by 1, 2, 3),
+pk as (select model_identifier, step, 100.0 * avg(b) as b, 100.0 * avg(p) as p from tk group by 1, 2)
 select p.ensemble, p.step, p.model_identifier, lag(p.model_identifier) over (partition by p.ensemble order by p.step) as previous_model,
-       round(a.accuracy, 6) as accuracy
-from plans p left join acc a using (model_identifier)""")
+       round(a.accuracy, 6) as accuracy, round(pk.b, 6) as base_pass_at_1, round(pk.p, 6) as plus_pass_at_1
+from plans p left join acc a using (model_identifier) left join pk on pk.model_identifier = p.model_identifier and pk.step = p.step""")
 def q_ensemble_run(spark, sf_dir):
+    """The samples of F1 are those of four of the models; their line number gives the step."""
     x = Inputs(spark, sf_dir)
     fps = fingerprints(x)
-    out = E.ensemble_run(fps, given_centres(fps), x.v("f4_accuracy"))
-    return out.select("ensemble", "step", "model_identifier", "previous_model", r6("accuracy").alias("accuracy"))
+    reports = x.v("f1_samples").select(
+        F.concat(F.lit("org--model"), F.substring("model", 2, 9), F.lit("_hf_temp_0.0")).alias("model_identifier"),
+        (F.split("sample_id", "-")[1].cast("int") % 3).alias("step"), "task_id", "base_status", "plus_status")
+    out = E.ensemble_run(fps, given_centres(fps), x.v("f4_accuracy"), reports)
+    return out.select("ensemble", "step", "model_identifier", "previous_model", r6("accuracy").alias("accuracy"),
+                      r6("base_pass_at_1").alias("base_pass_at_1"), r6("plus_pass_at_1").alias("plus_pass_at_1"))
 
 
 _CURATED = _stats_sql(0.1) + """,
@@ -144,6 +154,65 @@ def q_efficiency_run(spark, sf_dir):
                           "n_evaluated")
 
 
+# Samples of F5 as solution texts with many copies; a third of the profiles was stored under these options, twice
+# and at different costs, a third under others, the rest never. A fifth of the tasks is finished under this
+# configuration, a fifth under another one.
+OPTIONS = {"rounds": 3, "timeout": 20}
+OTHER_OPTIONS = {"rounds": 1, "timeout": 20}
+_REUSE = _stats_sql(0.1) + """,
+sol as (select task, round_id, passed, 'solve(' || cast(solution_idx as varchar) || ')' as solution, solution_idx from f5_profiles),
+fst as (select *, passed and sum(cast(passed as integer)) over (partition by task order by round_id) <= 20 as profiled
+        from (select *, row_number() over (partition by task order by round_id) as rn from sol) where rn <= 40)
+"""
+
+
+def solutions_of(x: Inputs):
+    text = F.concat(F.lit("solve("), F.col("solution_idx").cast("string"), F.lit(")"))
+    return x.v("f5_profiles").select("task", "round_id", "passed", "solution_idx", text.alias("solution"))
+
+
+def stored_profiles(solutions):
+    """(profile_key, run, cost) of earlier runs over the distinct solutions."""
+    each = solutions.select("task", "solution_idx", "solution").distinct()
+    cost = 1000000.0 * (F.col("task") % 7 + 1) * (F.col("solution_idx") + 1)
+    here = P.profile_key(each.where("solution_idx % 3 = 0"), OPTIONS).withColumn("cost", cost)
+    there = P.profile_key(each.where("solution_idx % 3 = 1"), OTHER_OPTIONS).withColumn("cost", cost)
+    runs = here.withColumn("run", F.lit(1)).unionByName(here.withColumn("run", F.lit(2)).withColumn("cost", cost / 2))
+    return runs.unionByName(there.withColumn("run", F.lit(1))).select("profile_key", "run", "cost")
+
+
+@register("profiles_wanted", _REUSE + """
+select task, solution, count(*) as n_samples from fst where profiled and solution_idx % 3 <> 0 group by task, solution""")
+def q_profiles_wanted(spark, sf_dir):
+    s = solutions_of(Inputs(spark, sf_dir))
+    capped = P.profile_key(P.first_n_and_cap(s, N_SAMPLES, MAX_PROFILE), OPTIONS)
+    return P.profiles_wanted(capped, stored_profiles(s)).select("task", "solution", "n_samples")
+
+
+@register("efficiency_reuse", _REUSE + """,
+ct as (select *, case when solution_idx % 3 = 0 then 1000000.0 * (task % 7 + 1) * (solution_idx + 1) end as cost from fst
+       where task in (select task from ladder) and task % 5 <> 0),
+mt as (select c.*, coalesce((select max(l.ref_idx) from ladder l where l.task = c.task and l.ref_cost >= round(c.cost, 3)), -1) as m from ct c),
+sc as (select m.*, coalesce(l.score, 0.0) as d, case when m.m >= 0 then 100.0 * (m.m + 1) / l.n_ref else 0.0 end as dn
+       from mt m left join ladder l on l.task = m.task and l.ref_idx = m.m),
+pt as (select task, count(*) filter (where passed) >= 10 as enough, avg(d) filter (where profiled) as d, avg(dn) filter (where profiled) as dn,
+              count(*) filter (where profiled) as n, 100.0 * avg(cast(passed as double)) as pass_at_1 from sc group by task)
+select task, round(case when enough then d end, 6) as dps, round(case when enough then dn end, 6) as dps_norm,
+       case when enough then n end as n_profiled, round(pass_at_1, 6) as pass_at_1 from pt
+union all select task, 50.0, 60.0, 7, 70.0 from (select distinct task from ladder where task % 5 = 0)""")
+def q_efficiency_reuse(spark, sf_dir):
+    x = Inputs(spark, sf_dir)
+    lad = ladder_of(x)
+    s = solutions_of(x)
+    earlier = s.select("task").distinct().select(
+        "task", F.lit(50.0).alias("dps"), F.lit(60.0).alias("dps_norm"), F.lit(7).cast("long").alias("n_profiled"), F.lit(70.0).alias("pass_at_1"))
+    sizes = (N_SAMPLES, MIN_CORRECT, MAX_PROFILE)
+    finished = E.finished_tasks(earlier.where("task % 5 = 0"), *sizes, OPTIONS).unionByName(
+        E.finished_tasks(earlier.where("task % 5 = 1"), *sizes, OTHER_OPTIONS))
+    per_task, _ = E.efficiency_run(s, lad, *sizes, stored=stored_profiles(s), options=OPTIONS, finished=finished)
+    return per_task.select("task", r6("dps").alias("dps"), r6("dps_norm").alias("dps_norm"), "n_profiled", r6("pass_at_1").alias("pass_at_1"))
+
+
 @register("curate_pe_inputs", _SCALE_SQL + """,
 kept as (select task, input_idx from (select *, coalesce(sum(cast(well_defined as integer)) over (partition by task order by input_idx
            rows between unbounded preceding and 1 preceding), 0) as seen from sl) where seen = 0),

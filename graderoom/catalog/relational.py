@@ -286,9 +286,23 @@ def q_resume_finished(spark, sf_dir):
     return Rel.resume_finished(todo, fin, ["task", "n_samples", "min_correct", "max_profile"]).select("task")
 
 
-@register("chain_previous_solution", cte("f3_generations") + """
-select a.task_id, a.step, a.solution, b.solution as previous_solution
-from f3_generations a left join f3_generations b on a.task_id = b.task_id and b.step = a.step - 1""")
+_CHAINS = cte("f3_generations") + """,
+chains as (select 'chain' || cast(unnest([0, 1]) as varchar) as chain, * from f3_generations),
+gen as (select chain, task_id, step, solution, 'm' || cast((step + length(task_id)) % 3 as varchar) as model,
+               case when step > 0 then 'm' || cast((step - 1 + length(task_id) + case when length(solution) % 5 = 0 then 1 else 0 end) % 3 as varchar)
+               end as previous_model from chains)
+"""
+
+
+@register("chain_previous_solution", _CHAINS + """
+select a.chain, a.task_id, a.step, a.model, a.previous_model, a.solution, b.solution as previous_solution
+from gen a left join gen b on a.chain = b.chain and a.task_id = b.task_id and b.step = a.step - 1 and b.model = a.previous_model""")
 def q_chain_previous(spark, sf_dir):
+    """Two chains of steps; some rows name a previous model that gave no solution at that step."""
     g = Inputs(spark, sf_dir).v("f3_generations").select("task_id", "step", "solution")
-    return Rel.chain_previous_solution(g)
+    at = F.col("step") + F.length("task_id")
+    wrong = F.when(F.length("solution") % 5 == 0, 1).otherwise(0)
+    g = g.withColumn("chain", F.explode(F.array(F.lit("chain0"), F.lit("chain1")))).withColumn(
+        "model", F.concat(F.lit("m"), (at % 3).cast("string"))).withColumn(
+        "previous_model", F.when(F.col("step") > 0, F.concat(F.lit("m"), ((at - 1 + wrong) % 3).cast("string"))))
+    return Rel.chain_previous_solution(g, chain="chain", model="model")

@@ -20,7 +20,9 @@ def q(s: str) -> str:
     return "(" + " || chr(10) || ".join(parts) + ")"
 
 
-PY_LINES = "(case when {x} = '' then [] else string_split(regexp_replace({x}, '\\n$', ''), chr(10)) end)"
+_ENDS = " || ".join(f"chr({ord(e)})" for e in T.LINE_ENDS)
+_ONE_END = f"translate(replace({{x}}, chr(13) || chr(10), chr(10)), {_ENDS}, repeat(chr(10), {len(T.LINE_ENDS)}))"
+PY_LINES = f"(case when {{x}} = '' then [] else string_split(regexp_replace({_ONE_END}, '\\n$', ''), chr(10)) end)"
 PY_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -140,39 +142,44 @@ def q_extract_fenced_block(spark, sf_dir):
     return blocks(Inputs(spark, sf_dir)).select("text_id", "block")
 
 
+# Lines that are lists of Python literals once in brackets, and some that are not; K is the row's number.
+LITERALS = ["(K, 'a', None)", "{K: [1.5, True]}, -K", "{K, 2}", "[(1, [K]), ()]", "'it is K'", "1e5, K+2j"]
+NOT_LITERALS = ["f(K)", "K +", "x", "[K, (2]", "K if K else 2"]
+
+
 def literal_texts(x: Inputs):
     v = x.v("f7_values")
-    return v.select("seed_id", F.concat(F.lit("```\n"), "value_text", F.lit(" # seed "), F.col("seed_id").cast("string"),
-                                        F.lit("\nnot a literal (\n\n```")).alias("text"))
+    seed = F.col("seed_id").cast("string")
+    more = F.replace(F.lit("\n".join([a for pair in zip(LITERALS, [*NOT_LITERALS, ""]) for a in pair])), F.lit("K"), seed)
+    return v.select("seed_id", F.concat(F.lit("```\n"), "value_text", F.lit(" # seed "), seed,
+                                        F.lit("\nnot a literal (\n\n"), more, F.lit("\n```\n[7]")).alias("text"))
 
 
-@register("parse_fenced_literals", cte("f7_values") + f""",
-t as (select seed_id, '```' || chr(10) || value_text || ' # seed ' || cast(seed_id as varchar) || chr(10) || 'not a literal (' || chr(10) || chr(10) || '```' as text from f7_values),
-l as (select seed_id, unnest(list_filter(list_transform({lines_sql("split_part(text, '```', 2)")},
-        lambda x: {strip_sql("split_part(x, '#', 1)")}), lambda x: x <> '')) as line from t)
-select seed_id, '[' || line || ']' as literal from l where json_valid('[' || line || ']')""")
+@register("parse_fenced_literals", cte("f7_values") + f"""
+select seed_id, '[' || value_text || ']' as literal from f7_values where json_valid('[' || value_text || ']')
+union all select seed_id, '[' || replace(unnest([{", ".join(q(t) for t in LITERALS)}]), 'K', cast(seed_id as varchar)) || ']' from f7_values""")
 def q_parse_fenced_literals(spark, sf_dir):
-    t = literal_texts(Inputs(spark, sf_dir))
-    lines = t.select("seed_id", F.explode(T.fenced_literal_lines("text")).alias("line"))
-    lit = F.concat(F.lit("["), "line", F.lit("]"))
-    return lines.select("seed_id", lit.alias("literal")).where(
-        F.from_json("literal", "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}).isNotNull())
+    return C.fenced_literals(literal_texts(Inputs(spark, sf_dir))).select("seed_id", "literal")
 
 
-@register("syntax_ok")
+@register("syntax_ok", cte("f6_truth") + "select text_id, not broken as syntax_ok from f6_truth")
 def q_syntax_ok(spark, sf_dir):
     return C.syntax_ok(blocks(Inputs(spark, sf_dir)).where(F.col("block").isNotNull()), "block").select("text_id", "syntax_ok")
 
 
-@register("longest_code_block")
+@register("longest_code_block", cte("f6_truth") + "select text_id, block from f6_truth")
 def q_longest_code_block(spark, sf_dir):
     return C.longest_code_block(code_texts(Inputs(spark, sf_dir)), "text").select("text_id", "block")
 
 
-@register("definition_table")
+@register("definition_table", cte("f6_truth") + """
+select text_id, cast(unnest([0, 1, 2, 3]) as integer) as seq, unnest(['import', 'function', 'function', 'function']) as kind,
+       unnest([null, 'helper', 'unused', entry_point]) as name
+from f6_truth where not broken""")
 def q_definition_table(spark, sf_dir):
     b = blocks(Inputs(spark, sf_dir)).where(F.col("block").isNotNull())
-    return C.definition_table(b, "block").select("_k", "seq", "kind", "name")
+    defs = C.definition_table(b, "block")
+    return b.select("text_id", F.xxhash64("block").alias("_k")).join(defs, "_k").select("text_id", "seq", "kind", "name")
 
 
 @register("dependency_closure", cte("f8_edges").replace("with ", "with recursive ", 1) + """,
@@ -185,18 +192,28 @@ def q_dependency_closure(spark, sf_dir):
     return C.dependency_closure(e, roots).select("root", "node")
 
 
-@register("clean_code")
+@register("clean_code", cte("f6_truth") + "select text_id, clean from f6_truth")
 def q_clean_code(spark, sf_dir):
     t = code_texts(Inputs(spark, sf_dir))
     return C.clean_code(t, "text", "entry_point").select("text_id", "clean")
 
 
-@register("clean_samples")
+_CLEANED = cte("f6_samples", "f0_problems") + """,
+known as (select s.*, p.prompt from f6_samples s join f0_problems p using (task_id)),
+cleaned as (select sample_id, task_id, truth as solution, completion,
+                   truth <> coalesce(solution, prompt || chr(10) || completion) as changed from known)
+"""
+
+
+def cleaned_samples(spark, sf_dir):
+    x = Inputs(spark, sf_dir)
+    return C.clean_samples(x.v("f6_samples").drop("truth"), x.v("f0_problems"))
+
+
+@register("clean_samples", _CLEANED + "select sample_id, task_id, solution, completion, changed from cleaned")
 def q_clean_samples(spark, sf_dir):
-    """Corpus job over resolved samples: F6 replies as solutions of their entry point's task."""
-    t = code_texts(Inputs(spark, sf_dir)).withColumn("task_id", F.concat(F.lit("Task/"), F.split("entry_point", "_")[1]))
-    cleaned = C.clean_code(t, "text", "entry_point")
-    return cleaned.select("task_id", "text_id", "clean", (F.col("clean") != F.col("text")).alias("changed"))
+    """Replies as solutions or as completions, some clean already, some of an unknown task."""
+    return cleaned_samples(spark, sf_dir)
 
 
 @register("legacy_strip_prefix_lines", cte("f6_code") + f"""
@@ -255,7 +272,8 @@ def q_legacy_drop_unindented(spark, sf_dir):
     return d.select("text_id", F.col("_out").alias("text"))
 
 
-@register("legacy_clean_code")
+@register("legacy_clean_code", cte("f6_truth") + """
+select text_id, case when narrow then split_part(block, chr(10) || 'def f_', 1) else block end as clean from f6_truth""")
 def q_legacy_clean_code(spark, sf_dir):
     t = code_texts(Inputs(spark, sf_dir))
     return C.legacy_clean_code(t, "text", "entry_point", rm_prefix=None, eofs=[]).select("text_id", "clean")
@@ -327,11 +345,9 @@ def q_repetition_cutoff(spark, sf_dir):
     return d.select("doc_id", T.repetition_cut("text").alias("cut_at"))
 
 
-@register("clean_stats", _BLOCK_SQL + f"""
-select count(*) filter (where {fix_sql('block')} <> block) as n_changed, count(*) as n_total from b where block is not null""")
+@register("clean_stats", _CLEANED + "select count(*) filter (where changed) as n_changed, count(*) as n_total from cleaned")
 def q_clean_stats(spark, sf_dir):
-    b = blocks(Inputs(spark, sf_dir)).where(F.col("block").isNotNull())
-    return b.agg(F.count_if(T.fix_indent("block") != F.col("block")).alias("n_changed"), F.count(F.lit(1)).alias("n_total"))
+    return C.clean_stats(cleaned_samples(spark, sf_dir))
 
 
 _NORM_BLOCK = _NORM.replace("text", "block")
@@ -352,7 +368,9 @@ def q_parse_dedup_rates(spark, sf_dir):
                     r6(F.lit(100.0) * (F.col("n_parsed") - F.col("n_dedup")) / F.col("n_parsed")).alias("dedup_loss_pct"))
 
 
-@register("syntax_audit")
+@register("syntax_audit", cte("f6_truth") + """
+select entry_point, count(*) as n_code, count(*) filter (where block = '') as n_empty, count(*) filter (where broken) as n_not_compilable
+from f6_truth group by rollup (entry_point)""")
 def q_syntax_audit(spark, sf_dir):
     b = blocks(Inputs(spark, sf_dir))
     checked = C.syntax_ok(b.fillna("", ["block"]), "block")

@@ -114,10 +114,19 @@ def q_pca_project(spark, sf_dir):
     return Vec.pca_project(fingerprints(Inputs(spark, sf_dir)))
 
 
-@register("embed_responses")
+_HEX = "(instr('0123456789abcdef', substr(md5(w), {i}, 1)) - 1)"
+
+# 64 buckets: the last six bits of the first eight hex digits
+@register("embed_responses", cte("f3_generations") + f""",
+w as (select task_id, step, list_transform(list_filter(string_split_regex(lower(solution), '[^0-9a-z_]+'), lambda w: w <> ''),
+             lambda w: ({_HEX.format(i=7)} % 4) * 16 + {_HEX.format(i=8)}) as b from f3_generations),
+n as (select task_id, step, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))) as n from w)
+select task_id, step, list_transform(n, lambda v: case when list_sum(n) = 0 then 0.0 else
+       round(v / sqrt(list_sum(list_transform(n, lambda u: u * u))), 6) end) as embedding from n""")
 def q_embed_responses(spark, sf_dir):
     g = Inputs(spark, sf_dir).v("f3_generations").select("task_id", "step", "solution")
-    return Vec.embed_responses(g, "solution", 64).select("task_id", "step", "embedding")
+    e = Vec.embed_responses(g, "solution", 64)
+    return e.select("task_id", "step", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
 
 
 @register("seeded_split", cte("problems_catalog") + """,

@@ -107,6 +107,21 @@ _SCALARS = [
     (1, "str", "a_b a b n"), (3, "int", "K9999999999999999999"), (3, "float", "NaN -Infinity")]
 
 
+# The code of F6: an import, a helper, a function nobody calls and the entry point, in a reply between other lines.
+_ENTRY = """'def f_', cast(p_partkey % 200 as string), '(x):', chr(10),
+              case when p_size % 4 = 0 then '   ' else '    ' end, 'return helper(x) + ', cast(p_size as string)"""
+
+
+def _code(unused: bool) -> str:
+    idle = "'def unused(x):', chr(10), '    return 0', chr(10)," if unused else ""
+    return f"""concat('import math', chr(10), 'def helper(x):', chr(10), '    return x * 2', chr(10), {idle} {_ENTRY})"""
+
+
+_REPLY = f"""concat(chr(27), '[31mHere is code', chr(27), '[0m', chr(10), '```python', chr(10), {_code(True)}, chr(10),
+              case when p_size % 5 = 0 then concat('def broken(', chr(10)) else '' end,
+              '```', chr(10), 'Hope this helps', chr(10), 'print(1)')"""
+
+
 def _rows(rows: list[tuple], columns: str) -> str:
     """A literal table in SQL."""
     def cell(v):
@@ -164,15 +179,18 @@ from events""",
 select l_orderkey % 200 as task, l_linenumber as input_idx, l_suppkey % 5 as solution_idx,
        max(l_extendedprice) as canonical_cost, min(l_quantity) > 1 as ok, count(*) as n
 from lineitem group by 1, 2, 3""",
-    "f6_code": """
-select p_partkey as text_id, concat('f_', cast(p_partkey % 200 as string)) as entry_point,
-       concat(chr(27), '[31mHere is code', chr(27), '[0m', chr(10), '```python', chr(10),
-              'import math', chr(10), 'def helper(x):', chr(10), '    return x * 2', chr(10),
-              'def unused(x):', chr(10), '    return 0', chr(10),
-              'def f_', cast(p_partkey % 200 as string), '(x):', chr(10),
-              case when p_size % 4 = 0 then '   ' else '    ' end, 'return helper(x) + ', cast(p_size as string), chr(10),
-              case when p_size % 5 = 0 then concat('def broken(', chr(10)) else '' end,
-              '```', chr(10), 'Hope this helps', chr(10), 'print(1)') as text
+    "f6_code": f"""
+select p_partkey as text_id, concat('f_', cast(p_partkey % 200 as string)) as entry_point, {_REPLY} as text
+from part""",
+    "f6_truth": f"""
+select p_partkey as text_id, concat('f_', cast(p_partkey % 200 as string)) as entry_point, p_size % 5 = 0 as broken, p_size % 4 = 0 as narrow,
+       {_code(True)} as block, {_code(False)} as clean
+from part""",
+    "f6_samples": f"""
+select concat('s', cast(p_partkey as string)) as sample_id,
+       concat(case when p_partkey % 13 = 5 then 'Other/' else 'Task/' end, cast(p_partkey % 200 as string)) as task_id,
+       case p_partkey % 4 when 0 then cast(null as string) when 1 then {_code(False)} else {_REPLY} end as solution,
+       case when p_partkey % 4 = 0 then {_REPLY} end as completion, {_code(False)} as truth
 from part""",
     "f7_values": """
 select concat('Task/', cast(cast(floor(p_partkey / 8) as bigint) as string)) as task_id, p_partkey as seed_id,

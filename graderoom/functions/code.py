@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Sequence
 
-ANSI_ESCAPE = re.compile(r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])")
+from graderoom.operators.text import ANSI_ESCAPE
+
+ESCAPES = re.compile(ANSI_ESCAPE)
 
 
 def syntax_check(code: str | None) -> bool:
@@ -31,7 +34,7 @@ def longest_block(text: str) -> str:
     range that parses is the answer and shorter ranges are never parsed. Memory stays O(lines)."""
     from bisect import bisect_left
 
-    text = ANSI_ESCAPE.sub("", text)
+    text = ESCAPES.sub("", text)
     lines = text.split("\n")
     n = len(lines)
     prefix = [0] * (n + 1)
@@ -107,3 +110,26 @@ def definitions(code: str) -> list[tuple[int, str, str | None, list[str], str]]:
             if isinstance(target, ast.Name):
                 out.append((seq, "variable", target.id, sorted(_names(node)), src(node)))
     return out
+
+
+def needed(names: Sequence[str] | None, deps: Sequence[Sequence[str]] | None, entry: str | None) -> list[int]:
+    """Places of the definitions that ``entry`` reaches, itself included; the first definition of a name counts."""
+    places: dict[str, int] = {}
+    for at, name in enumerate([] if names is None else names):
+        places.setdefault(name, at)
+    seen, todo = set(), [entry]
+    while todo:
+        at = places.get(todo.pop())
+        if at is not None and at not in seen:
+            seen.add(at)
+            todo.extend(deps[at])
+    return sorted(seen)
+
+
+def literal_check(text: str | None) -> bool:
+    """Is the text a Python literal."""
+    try:
+        ast.literal_eval(text)
+        return True
+    except (SyntaxError, ValueError, TypeError, MemoryError, RecursionError):
+        return False

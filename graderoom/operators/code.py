@@ -1,8 +1,8 @@
 """Corpus-scale code cleaning as Spark jobs.
 
 Pattern everywhere: distinct text -> Arrow-batched Python helper once per distinct text -> join
-back by (hash, text). Grouping, first-definition-wins, reachability (iterative frontier joins with
-reliable checkpoints) and reassembly are DataFrame operations.
+back by its hash. Grouping, reachability over a table of edges (by doubling, with reliable checkpoints) and
+reassembly are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -88,57 +88,103 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, key: Sequence[str] =
                        max_rounds: int | None = None) -> DataFrame:
     """All (key..., root, node) with node reachable from root (root itself included).
 
-    Breadth-first frontier joins: frontier x edges -> new nodes, minus visited. Each round's frontier
-    and the visited set are reliably checkpointed (lineage stays flat and survives executor loss);
-    the only driver action per round is an emptiness check. Cycle-safe. Rounds go on until nothing new
-    is found; with ``max_rounds`` an unfinished closure raises instead of being returned."""
+    By doubling: after k rounds everything less than 2^k edges away is found, and ``hops`` holds the pairs joined by
+    a walk of 2^k edges. A round extends what is found by these walks and joins the walks to themselves, so a chain
+    of n nodes takes log2(n) rounds, one join and one checkpoint of each table a round. A walk from a root to a node
+    already found from it is longer than its shortest path and is left out; where every node is a root, all walks
+    together are no more rows than the result. Null ends are no edges. Cycle-safe. Rounds go on until nothing new is
+    found; with ``max_rounds`` a closure not seen complete raises instead of being returned."""
     key = list(key)
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    # every round joins the edges: materialise them once instead of re-deriving them per round
-    e = edges.select(*key, F.col("src").alias("node"), F.col("dst")).checkpoint()
-    visited = roots.select(*key, "root", F.col("root").alias("node")).distinct().checkpoint()
-    frontier = visited
+    ensure_checkpoint_dir(edges.sparkSession)
+    hops = edges.select(*key, F.col("src").alias("node"), "dst").where(F.col("node") != F.col("dst")).distinct()
+    if key:
+        hops = hops.join(roots.select(*key).distinct(), key, "left_semi")
+    hops = hops.checkpoint()
+    found = roots.select(*key, "root", F.col("root").alias("node")).distinct().checkpoint()
     for rnd in count(1):
-        step = frontier.join(e, [*key, "node"]).select(*key, "root", F.col("dst").alias("node")).distinct()
-        new = step.join(visited, [*key, "root", "node"], "left_anti").checkpoint()
+        step = found.join(hops, [*key, "node"]).select(*key, "root", F.col("dst").alias("node")).distinct()
+        new = step.join(found, [*key, "root", "node"], "left_anti").checkpoint()
         if new.isEmpty():
-            return visited
+            return found
         if max_rounds is not None and rnd >= max_rounds:
             raise RuntimeError(f"closure not complete after {max_rounds} rounds")
-        # visited is a union of checkpointed frontiers; fold it into one checkpoint every 8 rounds
-        visited = visited.unionByName(new)
-        if rnd % 8 == 0:
-            visited = visited.checkpoint()
-        frontier = new
+        found = found.unionByName(new)
+        known = found.select(*key, F.col("root").alias("node"), F.col("node").alias("dst"))
+        firsts = hops.select(*key, F.col("node").alias("src"), F.col("dst").alias("node"))
+        walks = firsts.join(hops, [*key, "node"]).select(*key, F.col("src").alias("node"), "dst")
+        hops = walks.where(F.col("node") != F.col("dst")).distinct().join(
+            known, [*key, "node", "dst"], "left_anti").checkpoint()
+
+
+CLEAN_SCHEMA = "_k string, _block string, _defs array<struct<seq:int,kind:string,name:string,deps:array<string>,src:string>>"
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("seq", "kind", "name", "deps", "src")
+    for b in batches:
+        blocks = b["_text"].map(pycode.longest_block)
+        defs = blocks.map(lambda block: [dict(zip(names, d)) for d in pycode.definitions(block)])
+        yield pd.DataFrame({"_k": b["_k"], "_block": blocks, "_defs": defs})
+
+
+@F.pandas_udf(ST.ArrayType(ST.IntegerType()))
+def _needed(names: pd.Series, deps: pd.Series, entry: pd.Series) -> pd.Series:
+    return pd.Series([pycode.needed(n, d, e) for n, d, e in zip(names, deps, entry)])
 
 
 def clean_code(df: DataFrame, text: str = "text", entry: str = "entry_point", out: str = "clean") -> DataFrame:
     """Imports plus definitions reachable from the entry point, in source order (imports first);
-    falls back to the longest parseable block when that is empty."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # the Python stages run once per distinct text; their outputs are reused by several joins and by
-    # every reachability round, so they are materialised
-    blocks = longest_code_block(df.select(text).distinct(), text, "_block").checkpoint()
-    base = df.join(blocks, text, "left")
-    keyed = base.withColumn("_k", F.xxhash64("_block"))
-    defs = definition_table(blocks.where("_block is not null").select(F.col("_block").alias("code")), "code").checkpoint()
-    firsts = first_definitions(defs)
-    # dependency edges inside one text: name -> dep where dep is a defined name
-    edges = firsts.select("_k", F.col("name").alias("src"), F.explode("deps").alias("dst")).join(
-        firsts.select("_k", F.col("name").alias("dst")), ["_k", "dst"], "left_semi")
-    roots = keyed.select("_k", F.col(entry).alias("root")).distinct()
-    reach = dependency_closure(edges, roots, key=["_k"]).select("_k", "root", F.col("node").alias("name"))
-    kept_defs = firsts.join(reach, ["_k", "name"]).select("_k", "root", "seq", "src", F.lit(1).alias("part"))
-    imports = defs.where(F.col("kind") == "import").join(roots, "_k").select(
-        "_k", "root", "seq", "src", F.lit(0).alias("part"))
-    pieces = kept_defs.unionByName(imports).groupBy("_k", "root").agg(
-        F.array_sort(F.collect_list(F.struct("part", "seq", "src"))).alias("items"))
-    assembled = pieces.select("_k", F.col("root").alias(entry),
-                              T.py_strip(F.array_join(F.transform("items", lambda i: i["src"]), "\n")).alias("_clean"))
-    res = keyed.join(assembled, ["_k", entry], "left")
-    return res.withColumn(out, F.when(F.coalesce(F.col("_clean"), F.lit("")) == "", F.col("_block"))
-                          .otherwise(F.col("_clean"))).drop("_k", "_block", "_clean")
+    falls back to the longest parseable block when that is empty or no entry point is given. A null text stays null.
+
+    Each distinct text is parsed once and known by its md5 from then on. The definitions of one text are one row, so
+    what its entry point reaches is found within the row."""
+    keyed = df.withColumn("_k", F.md5(F.col(text).cast("string")))
+    n = df.sparkSession.sparkContext.defaultParallelism * 2
+    texts = keyed.where("_k is not null").select("_k", F.col(text).alias("_text")).dropDuplicates(["_k"]).repartition(n, "_k")
+    asked = keyed.where("_k is not null").select("_k", F.col(entry).alias("_entry")).distinct()
+    parsed = texts.mapInPandas(_parsed, CLEAN_SCHEMA).join(asked, "_k")
+    named = F.filter("_defs", lambda d: d["kind"].isin("class", "function", "variable"))
+    first = parsed.withColumn("_named", named).withColumn(
+        "_kept", _needed(F.col("_named.name"), F.col("_named.deps"), F.col("_entry")))
+    imports = F.transform(F.filter("_defs", lambda d: d["kind"] == "import"), lambda d: d["src"])
+    reached = F.transform("_kept", lambda i: F.get("_named", i)["src"])
+    whole = T.py_strip(F.array_join(F.concat(imports, reached), "\n"))
+    done = first.select("_k", "_entry", F.when(F.col("_entry").isNull() | (whole == ""), F.col("_block")).otherwise(whole).alias("_clean"))
+    res = keyed.alias("a").join(done.alias("b"), (F.col("a._k") == F.col("b._k")) & F.col(f"a.{entry}").eqNullSafe(F.col("b._entry")), "left")
+    return res.select("a.*", F.col("b._clean").alias(out)).drop("_k")
+
+
+def clean_samples(samples: DataFrame, problems: DataFrame, only_task: str | None = None, text: str = "solution") -> DataFrame:
+    """The corpus job: samples of known tasks (``only_task``: of that one) with their code cleaned for the task's
+    entry point. The code is ``solution``, else the prompt, a line end and ``completion``. All columns of the samples
+    stay, with ``solution`` the cleaned code and ``changed`` telling whether that differs from the code. Samples of
+    unknown tasks are those of ``relational.quarantine_unknown_tasks``."""
+    known = samples if only_task is None else samples.where(F.col("task_id") == only_task)
+    asked = problems.select("task_id", F.col("entry_point").alias("_entry_point"), F.col("prompt").alias("_prompt"))
+    code = F.coalesce(F.col(text), F.concat(F.col("_prompt"), F.lit("\n"), F.col("completion")))
+    joined = known.join(asked, "task_id").withColumn("_code", code)
+    cleaned = clean_code(joined, "_code", "_entry_point", "_cleaned")
+    columns = [F.col("_cleaned").alias(text) if c == text else F.col(c) for c in samples.columns]
+    return cleaned.select(*columns, (~F.col("_cleaned").eqNullSafe(F.col("_code"))).alias("changed"))
+
+
+def clean_stats(cleaned: DataFrame) -> DataFrame:
+    """How many samples ``clean_samples`` changed, of how many."""
+    return cleaned.agg(F.count_if("changed").alias("n_changed"), F.count(F.lit(1)).alias("n_total"))
+
+
+@F.pandas_udf(ST.BooleanType())
+def _is_literal(s: pd.Series) -> pd.Series:
+    return s.map(pycode.literal_check)
+
+
+def fenced_literals(df: DataFrame, text: str = "text", out: str = "literal") -> DataFrame:
+    """One row per line of the first fence that is a list of Python literals once its comment is cut and brackets
+    are put around it: numbers, strings, tuples, lists, sets, dicts, True, False, None."""
+    lines = df.withColumn("_line", F.explode(T.fenced_literal_lines(text)))
+    n = df.sparkSession.sparkContext.defaultParallelism * 2
+    found = lines.withColumn(out, F.concat(F.lit("["), "_line", F.lit("]"))).drop("_line").repartition(n)
+    return found.where(_is_literal(F.col(out)))
 
 
 # ---------------------------------------------------------------- legacy cleaner

@@ -9,6 +9,8 @@ multiplies rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +209,33 @@ def first_n_and_cap(samples: DataFrame, n: int, max_profile: int, task: str = "t
         "_rn", "_rn_total", "_npass", "_npass_total", "_keep")
 
 
+def profile_key(df: DataFrame, options: dict, text: str = "solution", task: str = "task", out: str = "profile_key") -> DataFrame:
+    """Adds the key of a profile: a digest of task, solution text and profiling options (repeat count, time limit,
+    counter, ...). Equal texts of a task share it; any other option gives other keys, so stored profiles under the
+    former options are not found any more. Null for a null text."""
+    config = json.dumps(options, sort_keys=True, default=str)
+    parts = [F.col(task).cast("string"), F.lit(config), F.col(text).cast("string")]
+    return df.withColumn(out, F.sha2(F.concat_ws("\x1f", *[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts[:2]],
+                                                 F.coalesce(parts[2], F.lit(""))), 256)).withColumn(
+        out, F.when(F.col(text).isNotNull(), F.col(out)))
+
+
+def profiles_wanted(samples: DataFrame, stored: DataFrame, key: str = "profile_key", task: str = "task",
+                    text: str = "solution") -> DataFrame:
+    """What is left to profile: one row per key of the samples that are to be profiled and have no stored profile,
+    with the number of samples that share it. Copies are counted before they are shuffled."""
+    wanted = samples.where(F.col("profiled") & F.col(key).isNotNull())
+    each = wanted.groupBy(key).agg(F.first(task).alias(task), F.first(text).alias(text), F.count(F.lit(1)).alias("n_samples"))
+    return each.join(stored.select(key), key, "left_anti")
+
+
+def with_stored_costs(samples: DataFrame, stored: DataFrame, key: str = "profile_key", cost: str = "cost") -> DataFrame:
+    """Samples with the cost of their key's stored profile, null where there is none. A key that was stored more than
+    once has the cost of its first run (``run``, then the lower cost), so that a repeated write changes nothing."""
+    first = stored.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("run", cost))[cost].alias(cost))
+    return samples.drop(cost).join(first, key, "left")
+
+
 def dps_task(scored: DataFrame, min_correct: int, task: str = "task", passed: str = "passed") -> DataFrame:
     """Per task: mean dps / dps_norm over profiled samples, n_profiled and pass@1, only for tasks with
     at least ``min_correct`` passing samples (others get null dps)."""

@@ -204,7 +204,13 @@ def resume_finished(todo: DataFrame, finished: DataFrame, key_and_config: Sequen
     return todo.join(finished.select(*key_and_config), list(key_and_config), "left_anti")
 
 
-def chain_previous_solution(gen: DataFrame, key: str = "task_id", step: str = "step", text: str = "solution") -> DataFrame:
-    """For step i > 0 attach the solution of step i-1 of the same task (self equi-join)."""
-    prev = gen.select(key, (F.col(step) + 1).alias(step), F.col(text).alias("previous_solution"))
-    return gen.join(prev, [key, step], "left")
+def chain_previous_solution(gen: DataFrame, key: str = "task_id", step: str = "step", text: str = "solution",
+                            chain: str | None = None, model: str | None = None,
+                            previous_model: str = "previous_model") -> DataFrame:
+    """For step i > 0 attach the solution of step i-1 of the same task, and of the same chain if ``chain`` names its
+    column. With ``model`` it is the solution that the row's ``previous_model`` gave at that step; null if it gave
+    none."""
+    keys = [*([chain] if chain else []), key, step]
+    prev = gen.select(*keys[:-1], (F.col(step) + 1).alias(step), F.col(text).alias("previous_solution"),
+                      *([F.col(model).alias(previous_model)] if model else []))
+    return gen.join(prev, keys + ([previous_model] if model else []), "left")

@@ -53,9 +53,13 @@ def py_strip(x: str | Column) -> Column:
     return F.btrim(c(x), F.lit(BLANKS))
 
 
+# Fixed value: the line ends of str.splitlines besides "\n" and "\r\n".
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def py_lines(x: str | Column) -> Column:
-    """str.splitlines() for '\\n'-separated text: no trailing empty line, empty text -> []."""
-    x = c(x)
+    """str.splitlines(): no trailing empty line, empty text -> []."""
+    x = F.translate(F.replace(c(x), F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
     return F.when(x == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace(x, r"\n\z", ""), "\n", -1))
 

@@ -82,18 +82,17 @@ def pca_project(fps: DataFrame, key: str = "model_identifier", vec: str = "embed
 
 
 def embed_responses(texts: DataFrame, text: str = "solution", dims: int = 64) -> DataFrame:
-    """Hashed token features per response (Tokenizer -> HashingTF -> L2 Normalizer), as an array."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\W+", minTokenLength=1),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims),
-        Normalizer(inputCol="_tf", outputCol="_vec", p=2.0),
-    ]
-    model = Pipeline(stages=stages).fit(texts)
-    return model.transform(texts).withColumn("embedding", vector_to_array("_vec")).drop("_tok", "_tf", "_vec")
+    """Hashed token features per response as an array of length one: the counts of the lower-cased words (runs of
+    ASCII letters, digits and underscores) by bucket, the first 32 bits of a word's md5 modulo ``dims``. A text without
+    words has zeros, a null text null."""
+    words = F.filter(F.split(F.lower(text), r"\W+", -1), lambda w: w != "")
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims
+    d = texts.withColumn("_b", F.transform(words, lambda w: bucket(w).cast("int")))
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    d = d.withColumn("_n", F.when(F.col("_b").isNotNull(), F.transform(every, lambda i: F.size(F.filter("_b", lambda x: x == i)))))
+    d = d.withColumn("_l", F.sqrt(F.aggregate("_n", F.lit(0).cast("long"), lambda acc, n: acc + n.cast("long") * n)))
+    scaled = F.transform("_n", lambda n: F.when(F.col("_l") > 0, n / F.col("_l")).otherwise(F.lit(0.0)))
+    return d.withColumn("embedding", scaled).drop("_b", "_n", "_l")
 
 
 # ---------------------------------------------------------------- representatives and plans

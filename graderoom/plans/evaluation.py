@@ -3,7 +3,10 @@ performance-input curation. Each is a chain of the operators, one logical plan p
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +77,32 @@ def evaluate_run(executions: DataFrame, problems: DataFrame, split_ids: DataFram
     return report, passed
 
 
-def ensemble_run(fingerprints: DataFrame, centres: list[list[float]], accuracy: DataFrame) -> DataFrame:
+def ensemble_run(fingerprints: DataFrame, centres: list[list[float]], accuracy: DataFrame,
+                 reports: DataFrame | None = None) -> DataFrame:
     """Clusters from given centres -> accuracy -> representatives -> plans, each step with the
-    accuracy of its model."""
+    accuracy of its model. With ``reports`` (report rows of the steps' samples, as of ``evaluate_run``, with
+    model_identifier, step and, if the chains were run apart, ensemble) each step also has its pass@1."""
     assigned = Vec.kmeans_assign(fingerprints, centres).select("model_identifier", "cluster")
     models = Rel.attach_accuracy(assigned, accuracy)
     reps = Vec.cluster_representatives(models)
     plans = Vec.ensemble_plans(reps, models)
-    return plans.join(models.select("model_identifier", "accuracy"), "model_identifier", "left")
+    steps = plans.join(models.select("model_identifier", "accuracy"), "model_identifier", "left")
+    if reports is None:
+        return steps
+    on = [c for c in ("ensemble", "step", "model_identifier") if c in reports.columns]
+    return steps.join(step_pass_at_1(reports, on), on, "left")
+
+
+def step_pass_at_1(reports: DataFrame, by: Sequence[str] = ("ensemble", "step", "model_identifier")) -> DataFrame:
+    """pass@1 in percent per step and suite: the mean over tasks of the share of a task's samples that pass. Plus
+    needs base too."""
+    base = F.col("base_status") == "pass"
+    tasks = reports.groupBy(*by, "task_id").agg(
+        F.avg(F.coalesce(base, F.lit(False)).cast("double")).alias("_base"),
+        F.avg(F.coalesce(base & (F.col("plus_status") == "pass"), F.lit(False)).cast("double")).alias("_plus"))
+    return tasks.groupBy(*by).agg((F.lit(100.0) * F.avg("_base")).alias("base_pass_at_1"),
+                                  (F.lit(100.0) * F.avg("_plus")).alias("plus_pass_at_1"),
+                                  F.count(F.lit(1)).alias("n_tasks"))
 
 
 def curate_perf_tasks(profiles: DataFrame, min_clusters: int = 4) -> DataFrame:
@@ -101,18 +122,47 @@ def curate_perf_tasks(profiles: DataFrame, min_clusters: int = 4) -> DataFrame:
 
 
 def efficiency_run(samples: DataFrame, ladder: DataFrame, n_samples: int, min_correct: int,
-                   max_profile: int) -> tuple[DataFrame, DataFrame]:
+                   max_profile: int, stored: DataFrame | None = None, options: dict | None = None,
+                   finished: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Perf tasks only: first n samples -> cap profiled passing samples -> ladder match -> dps per
-    task (tasks below min_correct get null) -> summary."""
+    task (tasks below min_correct get null) -> summary.
+
+    With ``stored`` (profile_key, run, cost) costs come from the profiles stored under the samples' text and
+    ``options``; see ``perf.profiles_wanted`` for those to be run first. With ``finished`` (the first result and the
+    columns n_samples, min_correct, max_profile and options as written by ``finished_tasks``) tasks finished under
+    an equal configuration keep that result and are not computed again."""
     if not min_correct <= max_profile <= n_samples:
         raise ValueError("need min_correct <= max_profile <= n_samples")
     s = samples.join(ladder.select("task").distinct(), "task", "left_semi")
+    done = None
+    if finished is not None:
+        config = run_config(n_samples, min_correct, max_profile, options)
+        equal = reduce(and_, [F.col(name).eqNullSafe(F.lit(value)) for name, value in config.items()])
+        done = finished.where(equal).drop(*config).join(ladder.select("task").distinct(), "task", "left_semi")
+        s = s.join(done.select("task"), "task", "left_anti")
     s = P.first_n_and_cap(s, n_samples, max_profile)
+    if stored is not None:
+        s = P.with_stored_costs(P.profile_key(s, options or {}), stored)
     scored = P.match_reference_ladder(s, ladder)
     per_task = P.dps_task(scored, min_correct)
+    if done is not None:
+        per_task = per_task.unionByName(done.select(*per_task.columns))
     return per_task, P.dps_summary(per_task)
 
 
+def run_config(n_samples: int, min_correct: int, max_profile: int, options: dict | None = None) -> dict:
+    """The columns that tell one configuration of an efficiency run from another."""
+    return {"n_samples": n_samples, "min_correct": min_correct, "max_profile": max_profile,
+            "options": json.dumps(options or {}, sort_keys=True, default=str)}
+
+
+def finished_tasks(per_task: DataFrame, n_samples: int, min_correct: int, max_profile: int,
+                   options: dict | None = None) -> DataFrame:
+    """The first result of ``efficiency_run`` with its configuration, as a later run's ``finished`` reads it."""
+    config = run_config(n_samples, min_correct, max_profile, options)
+    return per_task.select("*", *[F.lit(value).alias(name) for name, value in config.items()])
+
+
 def curate_pe_inputs(candidates: DataFrame, generators: DataFrame, status_at) -> DataFrame:
     """Scale ladders per generator -> generators up to the first well-defined one -> the most
     expensive all-ok input among their inputs, per task."""
