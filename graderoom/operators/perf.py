@@ -175,14 +175,20 @@ def _check_enough(n: int, task: str) -> Column:
         F.concat(F.lit("task has fewer samples than n: "), F.col(task).cast("string"))))
 
 
-def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str = "round_id") -> DataFrame:
-    """First n samples per task in arrival order; fails at run time if a task has fewer than n.
+def _within_first(n: int, task: str, strict: bool) -> Column:
+    first = F.col("_rn") <= n
+    return F.coalesce(_check_enough(n, task).cast("boolean"), first) if strict else first
+
+
+def first_n_samples(samples: DataFrame, n: int, task: str = "task", order: str = "round_id",
+                    strict: bool = True) -> DataFrame:
+    """First n samples per task in arrival order. A task with fewer than n fails the job at run time; without
+    ``strict`` it keeps all that it has.
     Numbering is skew-safe (a task holding most samples is spread over partitions)."""
     from graderoom.operators.ranking import running_within
 
     numbered = running_within(samples, task, order, out="_rn", totals=True)
-    keep = F.coalesce(_check_enough(n, task).cast("boolean"), F.col("_rn") <= n)
-    return numbered.withColumn("_keep", keep).where("_keep").drop("_rn", "_rn_total", "_keep")
+    return numbered.withColumn("_keep", _within_first(n, task, strict)).where("_keep").drop("_rn", "_rn_total", "_keep")
 
 
 def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order: str = "round_id",
@@ -196,15 +202,15 @@ def cap_profiled(samples: DataFrame, max_profile: int, task: str = "task", order
 
 
 def first_n_and_cap(samples: DataFrame, n: int, max_profile: int, task: str = "task", order: str = "round_id",
-                    passed: str = "passed") -> DataFrame:
+                    passed: str = "passed", strict: bool = True) -> DataFrame:
     """``cap_profiled(first_n_samples(...))`` in one skew-safe pass: the first n samples form a prefix,
-    so the running pass count over all samples equals the one inside the prefix."""
+    so the running pass count over all samples equals the one inside the prefix. ``strict`` is that of
+    ``first_n_samples``."""
     from graderoom.operators.ranking import running_within
 
     run = running_within(samples, task, order, values={"_rn": F.lit(1), "_npass": F.col(passed).cast("int")},
                          totals=True)
-    keep = F.coalesce(_check_enough(n, task).cast("boolean"), F.col("_rn") <= n)
-    run = run.withColumn("_keep", keep).where("_keep")
+    run = run.withColumn("_keep", _within_first(n, task, strict)).where("_keep")
     return run.withColumn("profiled", F.col(passed) & (F.col("_npass") <= max_profile)).drop(
         "_rn", "_rn_total", "_npass", "_npass_total", "_keep")
 

@@ -123,14 +123,15 @@ def curate_perf_tasks(profiles: DataFrame, min_clusters: int = 4) -> DataFrame:
 
 def efficiency_run(samples: DataFrame, ladder: DataFrame, n_samples: int, min_correct: int,
                    max_profile: int, stored: DataFrame | None = None, options: dict | None = None,
-                   finished: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   finished: DataFrame | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Perf tasks only: first n samples -> cap profiled passing samples -> ladder match -> dps per
     task (tasks below min_correct get null) -> summary.
 
     With ``stored`` (profile_key, run, cost) costs come from the profiles stored under the samples' text and
     ``options``; see ``perf.profiles_wanted`` for those to be run first. With ``finished`` (the first result and the
     columns n_samples, min_correct, max_profile and options as written by ``finished_tasks``) tasks finished under
-    an equal configuration keep that result and are not computed again."""
+    an equal configuration keep that result and are not computed again. A task with fewer than ``n_samples`` samples
+    fails the run; without ``strict`` it is scored on those it has."""
     if not min_correct <= max_profile <= n_samples:
         raise ValueError("need min_correct <= max_profile <= n_samples")
     s = samples.join(ladder.select("task").distinct(), "task", "left_semi")
@@ -140,7 +141,7 @@ def efficiency_run(samples: DataFrame, ladder: DataFrame, n_samples: int, min_co
         equal = reduce(and_, [F.col(name).eqNullSafe(F.lit(value)) for name, value in config.items()])
         done = finished.where(equal).drop(*config).join(ladder.select("task").distinct(), "task", "left_semi")
         s = s.join(done.select("task"), "task", "left_anti")
-    s = P.first_n_and_cap(s, n_samples, max_profile)
+    s = P.first_n_and_cap(s, n_samples, max_profile, strict=strict)
     if stored is not None:
         s = P.with_stored_costs(P.profile_key(s, options or {}), stored)
     scored = P.match_reference_ladder(s, ladder)
