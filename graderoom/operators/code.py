@@ -181,9 +181,10 @@ def _is_literal(s: pd.Series) -> pd.Series:
 def fenced_literals(df: DataFrame, text: str = "text", out: str = "literal") -> DataFrame:
     """One row per line of the first fence that is a list of Python literals once its comment is cut and brackets
     are put around it: numbers, strings, tuples, lists, sets, dicts, True, False, None."""
-    lines = df.withColumn("_line", F.explode(T.fenced_literal_lines(text)))
     n = df.sparkSession.sparkContext.defaultParallelism * 2
-    found = lines.withColumn(out, F.concat(F.lit("["), "_line", F.lit("]"))).drop("_line").repartition(n)
+    spread = df.repartition(n)  # whole texts: their lines are cut on all cores, and fewer rows are shuffled
+    lines = spread.withColumn("_line", F.explode(T.fenced_literal_lines(text)))
+    found = lines.withColumn(out, F.concat(F.lit("["), "_line", F.lit("]"))).drop("_line")
     return found.where(_is_literal(F.col(out)))
 
 
