@@ -122,7 +122,7 @@ def index_ingredients(ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = ingredients.withColumn("_tk", F.concat_ws("\x1f", "task_id", "kind"))
     idx = index_within(keyed, "_tk", "value_text", "ing_idx").select("task_id", "kind", "ing_idx",
                                                                       F.col("value_text").alias("ingredient"))
-    counts = ingredients.groupBy("task_id", "kind").agg(F.count(F.lit(1)).alias("n_ing"))
+    counts = idx.groupBy("task_id", "kind").agg(F.count(F.lit(1)).alias("n_ing"))  # of the numbered rows: found once
     return idx, counts
 
 

@@ -88,13 +88,16 @@ def harvest_values(decoded: DataFrame) -> DataFrame:
     return decoded.select("task_id", F.explode(_ingredients(F.col("typed"))).alias("_i")).select("task_id", "_i.*").distinct()
 
 
-def with_draws(rows: DataFrame, ing: tuple[DataFrame, DataFrame], key: list[str], seed: int) -> DataFrame:
+def with_draws(rows: DataFrame, ing: tuple[DataFrame, DataFrame], key: list[str], seed: int,
+               wanted: Column | None = None) -> DataFrame:
     """Adds ``_drawn``: up to ``DRAWN`` ingredients of each kind of the row's task, drawn by the row's key.
+    ``wanted``, a condition on the key and the ingredients' ``kind``, leaves out kinds that a row cannot use.
 
     The look-up joins on (task, kind, index), so that the rows of a hot task are spread over its ingredients."""
     idx, counts = ing
     pick = lambda n: F.floor(uniform(seed, *key, F.col("kind"), n) * F.col("n_ing")).cast("long")
-    asked = rows.select(*key).join(counts, "task_id").select(
+    kinds = rows.select(*key).join(counts, "task_id")
+    asked = (kinds if wanted is None else kinds.where(wanted)).select(
         *key, "kind", F.posexplode(F.array(*[pick(n) for n in range(DRAWN)])).alias("_at", "ing_idx"))
     found = asked.join(idx, ["task_id", "kind", "ing_idx"]).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("kind", "_at", F.col("ingredient").alias("value_text")))).alias("_d"))
@@ -112,7 +115,9 @@ def generate_typed(slots: DataFrame, ing: tuple[DataFrame, DataFrame], seed: int
     Numbers lie within 100 of 0, strings have up to 10 letters and containers up to 10 items, a fifth of the lists of
     mixed kinds; half of the scalars are ingredients of the task."""
     key = ["task_id", "kind", "gen_id"]
-    d = with_draws(slots.withColumnRenamed("kind", "_kind"), ing, ["task_id", "_kind", "gen_id"], seed).withColumnRenamed("_kind", "kind")
+    # a scalar takes ingredients of its own kind, a container those of any; fresh complex numbers take none
+    wanted = (F.col("kind") != "complex") & (F.col("_kind").isin("list", "tuple", "set", "dict") | (F.col("_kind") == F.col("kind")))
+    d = with_draws(slots.withColumnRenamed("kind", "_kind"), ing, ["task_id", "_kind", "gen_id"], seed, wanted).withColumnRenamed("_kind", "kind")
     return d.withColumn("typed", _generate(F.col("kind"), _key_text(key, seed), F.col("_drawn"))).drop("_drawn")
 
 
