@@ -15,14 +15,19 @@ from graderoom.registry import register
 from graderoom.session import scratch_path
 from graderoom.streaming import jobs as S
 
-N_FILES = 8
+N_BATCHES = 4
+
+
+def batch_files(spark) -> int:
+    """Files of a micro-batch: as many as there are cores, so that all of them read and write."""
+    return max(2, spark.sparkContext.defaultParallelism)
 
 
 def f1_stream(spark, sf_dir, label):
     s = Inputs(spark, sf_dir).v("f1_samples")
     folder = scratch_path(spark, label + "-src")
-    S.write_in_order(s, folder, N_FILES, F.xxhash64("sample_id"), fmt="json")
-    return S.file_stream(spark, folder, s.schema, "json", files_per_batch=2)
+    S.write_in_order(s, folder, N_BATCHES * batch_files(spark), F.xxhash64("sample_id"), fmt="json")
+    return S.file_stream(spark, folder, s.schema, "json", files_per_batch=batch_files(spark))
 
 
 def events_stream(spark, sf_dir, label, with_copies=False, closed=False):
@@ -32,8 +37,8 @@ def events_stream(spark, sf_dir, label, with_copies=False, closed=False):
     if closed:  # the watermark passes the last windows and sessions
         e = S.close_input(e, "ts", "3 hours")
     folder = scratch_path(spark, label + "-src")
-    S.write_in_order(e, folder, N_FILES, "ts")
-    return S.file_stream(spark, folder, e.schema, files_per_batch=2)
+    S.write_in_order(e, folder, N_BATCHES * batch_files(spark), "ts")
+    return S.file_stream(spark, folder, e.schema, files_per_batch=batch_files(spark))
 
 
 @register("stream_sample_ingest", cte("f1_samples") + "select sample_id, task_id, model from f1_samples")
@@ -115,7 +120,7 @@ def q_stream_repetition_state(spark, sf_dir):
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / CHUNK).cast("int") - 1, F.lit(0))),
         lambda i: F.substring("text", i * CHUNK + 1, CHUNK))).alias("chunk_idx", "chunk"))
     folder = scratch_path(spark, "guard-src")
-    S.write_in_order(chunks, folder, N_FILES, F.xxhash64("doc_id", "chunk_idx"))  # chunks come in no order
-    stream = S.file_stream(spark, folder, chunks.schema, files_per_batch=2)
+    S.write_in_order(chunks, folder, N_BATCHES * batch_files(spark), F.xxhash64("doc_id", "chunk_idx"))  # chunks come in no order
+    stream = S.file_stream(spark, folder, chunks.schema, files_per_batch=batch_files(spark))
     out = S.run_update(S.repetition_guard(stream), ["doc_id"], "guard")
     return out.select("doc_id", "cancelled", "cancel_at", "received")
