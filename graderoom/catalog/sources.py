@@ -242,6 +242,6 @@ def q_write_perf_brief(spark, sf_dir):
     brief = per_task.join(profiled, "task", "left")
     path = scratch_path(spark, "perf-brief")
     brief.write.mode("overwrite").json(path)
-    back = spark.read.json(path)
+    back = spark.read.schema(brief.schema).json(path)  # JSON leaves nulls out: a column without values would be lost
     return back.select("task", r6("dps").alias("dps"), r6("dps_norm").alias("dps_norm"), "n_profiled",
                        F.coalesce(F.size("profiled_solutions"), F.lit(0)).cast("bigint").alias("n_listed"))

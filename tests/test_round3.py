@@ -54,6 +54,16 @@ def test_tasks_with_few_samples_are_scored_on_those_they_have(spark, few, name):
     assert rows and _bag(tuple(r) for r in got.select(*order).collect()) == rows
 
 
+@pytest.mark.parametrize("n_passing", [0, 3])
+def test_brief_has_its_columns_where_no_task_is_scored(spark, n_passing):
+    folder = scratch_path(spark, "unscored")
+    spark.range(90).select(
+        F.col("id").alias("event_id"), (F.col("id") % 2).alias("user_id"), (1.0 + F.col("id") % 7).alias("value"),
+        F.when(F.col("id") < n_passing, "view").otherwise("error").alias("event_type")).write.parquet(f"{folder}/events.parquet")
+    got = QUERIES["write_perf_brief"](spark, folder).select("task", "dps", "dps_norm", "n_profiled", "n_listed").collect()
+    assert sorted(map(tuple, got)) == [(0, None, None, None, (n_passing + 1) // 2), (1, None, None, None, n_passing // 2)]
+
+
 def test_strict_still_fails_on_few_samples(spark):
     s = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 1, True)], "task string, round_id int, passed boolean")
     assert sorted(tuple(r) for r in P.first_n_samples(s, 2, strict=False).collect()) == [("a", 1, True), ("a", 2, True), ("b", 1, True)]
